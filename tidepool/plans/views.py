@@ -180,3 +180,26 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(specialties, F.col("s_suppkey")).alias("specialty"),
         _pick(UNITS, F.col("s_nationkey")).alias("home_unit"),
     )
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as it arrives: one JSON text per event, keyed by the
+    event id, arriving 0-6 minutes after its event time. Three fault shapes
+    ride along, derived from the id: a truncated line (id % 50 = 7), a vital
+    whose ``value`` key was renamed ``val`` (id % 50 = 13) and an unknown
+    top-level key (id % 50 = 17)."""
+    ev = events(spark, sf_dir)
+    env = event_envelope(ev)
+    text = F.to_json(F.struct(*[F.col(c) for c in env.columns]), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    fault = F.col("event_id") % 50
+    raw = (
+        F.when(fault == 7, F.substring(text, 1, 12))
+        .when(fault == 13, F.regexp_replace(text, '"value":', '"val":'))
+        .when(fault == 17, F.concat(F.regexp_replace(text, "}$", ""), F.lit(',"source_system":"legacy"}')))
+        .otherwise(text)
+    )
+    return env.select(
+        F.col("event_id").cast("string").alias("kafka_key"),
+        (F.col("event_ts") + F.make_interval(mins=(F.col("event_id") % 7).cast("int"))).alias("kafka_timestamp"),
+        raw.alias("_raw"),
+    )

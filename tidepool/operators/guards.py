@@ -177,8 +177,8 @@ def redact_values(texts: DataFrame, values: DataFrame, key: str, text_col: str,
     joined = texts.join(per_key, key, "left")
     vals = F.coalesce(F.col("__vals"), F.array().cast("array<string>"))
     redacted = F.aggregate(vals, F.col(text_col), lambda acc, v: F.replace(acc, v, F.lit(MASK_LITERAL)))
-    leaked = F.size(F.filter(vals, lambda v: F.instr(F.col(text_col), v) > 0))
-    return joined.withColumns({text_col: redacted, "leaked_values": leaked}).drop("__vals")
+    leaked = F.size(F.filter(vals, lambda v: F.contains(F.col(text_col), v)))
+    return joined.withColumn("leaked_values", leaked).withColumn(text_col, redacted).drop("__vals")
 
 
 # ---------------------------------------------------------------------------
@@ -224,7 +224,8 @@ def unasked_filters(question: Column, sql: Column, dimensions: Mapping[str, Mapp
             is_dim = F.lower(col_name) == dim
             syn_alts = [s for s, tgt in spec.get("synonyms", {}).items()]
             # the value itself, as a whole word
-            direct = F.coalesce(q.rlike(F.concat(F.lit(r"\b"), F.lower(F.regexp_replace(value, r"([\\.^$|?*+()\[\]{}])", r"\\$1")), F.lit(r"\b"))), F.lit(False))
+            escaped = F.regexp_replace(F.lower(value), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+            direct = F.coalesce(F.regexp_like(q, F.concat(F.lit(r"\b"), escaped, F.lit(r"\b"))), F.lit(False))
             syn = F.lit(False)
             for s in syn_alts:
                 tgt = spec["synonyms"][s]

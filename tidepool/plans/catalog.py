@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.plans import governance, identity, lakehouse, profiling, quality  # noqa: F401
+from tidepool.plans import governance, identity, lakehouse, operations, profiling, quality  # noqa: F401
 from tidepool.plans.registry import ORACLE, QUERIES
 
 

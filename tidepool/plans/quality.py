@@ -271,3 +271,27 @@ def q_failing_expectations(spark, sf_dir):
 def q_mask_check(spark, sf_dir):
     masked = G.mask_columns(V.patients_current(spark, sf_dir), "dim_patients", role="analyst")
     return CC.mask_check(masked, ["full_name", "mrn"], MASK_LITERAL)
+
+
+CATALOG_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(
+    "table_row_counts",
+    "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, 'TABLE' AS table_type, count(*) AS row_count FROM {t}" for t in CATALOG_TABLES),
+)
+def q_table_row_counts(spark, sf_dir):
+    """Tables of the catalog with type and row count (names starting with
+    '_' are internal and skipped): one count aggregate per table, unioned."""
+    from tidepool.sources.tables import read_table
+
+    out = None
+    for t in CATALOG_TABLES:
+        if t.startswith("_"):
+            continue
+        c = read_table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(t).alias("table_name"), F.lit("TABLE").alias("table_type"), "row_count"
+        )
+        out = c if out is None else out.unionByName(c)
+    return out

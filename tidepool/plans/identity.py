@@ -111,7 +111,7 @@ def truth_components(spark, sf_dir) -> DataFrame:
 
 def pair_candidates(adm: DataFrame) -> DataFrame:
     c = I.candidates(adm).filter(F.size("patient_ids") == 2)
-    return c.select("check", "key", F.col("patient_ids")[0].alias("patient_id_a"), F.col("patient_ids")[1].alias("patient_id_b"))
+    return c.select("check", "key", F.get("patient_ids", 0).alias("patient_id_a"), F.get("patient_ids", 1).alias("patient_id_b"))
 
 
 def decisions(spark, sf_dir) -> DataFrame:

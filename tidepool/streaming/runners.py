@@ -14,7 +14,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import GroupState, GroupStateTimeout, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidepool.contracts import ALERT_BANDS, ENCOUNTER_WATERMARK, EVENT_SCHEMA, VITALS_WATERMARK, contract_keys
 from tidepool.operators import bronze, cdc, expectations, live

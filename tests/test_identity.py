@@ -57,10 +57,11 @@ def test_deletion_neighbourhood_finds_every_close_pair(spark):
     names = base + ["".join(rng.choice("abn ") for _ in range(rng.randint(2, 7))) for _ in range(40)]
     rows = [(f"id{i:03d}", None, None, n, "1970-01-01", "x") for i, n in enumerate(names)]
     a = spark.createDataFrame(rows, ADM)
-    got = {(r.patient_id_a, r.patient_id_b) for r in I.fuzzy_duplicates(a).collect()}
     people = sorted(set((f"id{i:03d}", n.lower()) for i, n in enumerate(names)))
     want = {(x, y) for (x, nx), (y, ny) in __import__("itertools").combinations(people, 2) if 0 < _lev(nx, ny) <= 2}
-    assert got == want
+    for max_block in (0, 64):  # hot-block path (deletion neighbourhoods) and pairwise path
+        got = {(r.patient_id_a, r.patient_id_b) for r in I.fuzzy_duplicates(a, max_block=max_block).collect()}
+        assert got == want
 
 
 def test_components_chain_and_person_map(spark):

@@ -100,6 +100,18 @@ def tokens(text: Column) -> Column:
     return F.transform(kept, stem)
 
 
+def token_rows(df: DataFrame, id_col: str, text_col: str, out: str = "term") -> DataFrame:
+    """The same tokens as ``tokens`` but as rows ``(id, term)`` (with
+    repeats): words and identifier parts come from generators and the stop
+    word / length filters and stemming are plain column expressions, so the
+    whole pipeline runs in generated code instead of per-element lambdas."""
+    w = df.select(F.col(id_col), F.explode(raw_words(F.col(text_col))).alias("__w"))
+    parts = F.when(F.instr("__w", "_") > 0, F.concat(F.array("__w"), F.split("__w", "_"))).otherwise(F.array("__w"))
+    t = w.select(id_col, F.explode(parts).alias("__t"))
+    t = t.filter((F.length("__t") >= 2) & ~F.col("__t").isin(*STOPWORDS))
+    return t.select(id_col, stem(F.col("__t")).alias(out))
+
+
 def query_terms(text: Column) -> Column:
     """Distinct query tokens plus the tokens of the synonyms of each raw word."""
     syn = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.lit(" ".join(v)))])
@@ -113,10 +125,7 @@ def keyword_scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, fiel
     q = queries.select(F.col(qid).alias("q"), F.explode(F.col("terms")).alias("term")).distinct()
     parts = []
     for field, weight in fields:
-        parts.append(
-            docs.select(F.col(did).alias("d"), F.explode(F.array_distinct(tokens(F.col(field)))).alias("term"))
-            .withColumn("w", F.lit(weight))
-        )
+        parts.append(token_rows(docs.select(F.col(did).alias("d"), field), "d", field).distinct().withColumn("w", F.lit(weight)))
     idx = parts[0]
     for p in parts[1:]:
         idx = idx.unionByName(p)

@@ -48,11 +48,11 @@ def overlap_ranked(spark, sf_dir, depth: int) -> DataFrame:
     (through the same term join)."""
     q = questions(spark, sf_dir).select(F.col("item_id").alias("q"), "terms")
     qn = q.select("q", F.size("terms").alias("nq"))
-    dt = documents(spark, sf_dir).select(F.col("doc_id").alias("d"), F.array_distinct(SR.tokens(F.col("text"))).alias("dterms"))
-    dn = dt.select("d", F.size("dterms").alias("nd"))
+    dt = SR.token_rows(documents(spark, sf_dir).select(F.col("doc_id").alias("d"), "text"), "d", "text").distinct()
+    dn = dt.groupBy("d").agg(F.count(F.lit(1)).alias("nd"))
     inter = (
         q.select("q", F.explode("terms").alias("term")).distinct()
-        .join(dt.select("d", F.explode("dterms").alias("term")), "term")
+        .join(dt, "term")
         .groupBy("q", "d").agg(F.count(F.lit(1)).alias("i"))
     )
     j = inter.join(qn, "q").join(dn, "d").withColumn("jac", F.col("i") / (F.col("nq") + F.col("nd") - F.col("i")))
@@ -120,8 +120,13 @@ def _docs_sql(depth: int) -> str:
 )
 def q_text_tokens(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    t = F.array_distinct(SR.tokens(F.col("text")))
-    return d.select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(F.array_sort(t), " ")).alias("tokens_md5"))
+    t = SR.token_rows(d, "doc_id", "text").distinct()
+    per = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.array_sort(F.collect_list("term")).alias("ts"))
+    # documents without any token still get a row
+    return d.select("doc_id").join(per, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+        F.md5(F.array_join(F.coalesce("ts", F.array().cast("array<string>")), " ")).alias("tokens_md5"),
+    )
 
 
 @query("keyword_topk", _docs_sql(3) + "SELECT q, d, score, rank FROM kw")

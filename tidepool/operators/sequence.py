@@ -44,12 +44,11 @@ def carry_forward(
     w_seg = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.select(*others, *[F.last(c, ignorenulls=True).over(w_seg).alias(c) for c in columns])
 
-    # One row per (key, segment): the segment's last non-NULL value per column.
-    # max_by skips rows whose ordering is NULL, so NULL values are passed over.
+    # One row per (key, segment): the carried value at the segment's last row
+    # (= its last non-NULL value). Taken from ``local``, so the input is
+    # shuffled once and both branches read the same exchange.
     rank = F.struct(*_cols(order))
-    summary = df.groupBy(*part).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns]
-    )
+    summary = local.groupBy(*part).agg(*[F.max_by(F.col(c), rank).alias(c) for c in columns])
     w_prev = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*part, *[F.last(c, ignorenulls=True).over(w_prev).alias(f"__in_{c}") for c in columns])
     joined = local.join(carry, on=part, how="left")
@@ -80,7 +79,7 @@ def next_value(
     part = [*keys, segment]
     w_seg = Window.partitionBy(*part).orderBy(*order)
     local = df.withColumn(alias, F.lead(value).over(w_seg))
-    firsts = df.groupBy(*part).agg(F.min(value).alias("__first"))
+    firsts = local.groupBy(*part).agg(F.min(value).alias("__first"))
     w_next = Window.partitionBy(*keys).orderBy(segment)
     nxt = firsts.select(*part, F.lead("__first").over(w_next).alias("__next_seg"))
     return (

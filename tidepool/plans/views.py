@@ -112,7 +112,10 @@ HISTORY_COLUMNS = ["patient_id", "encounter_type", "unit", "attending_provider_i
 
 
 def cdc_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc_flatten(event_envelope(events(spark, sf_dir)))
+    # the raw-type filter is the same rows as the envelope filter, but it
+    # reaches the parquet scan as a pushed filter
+    raw = events(spark, sf_dir).filter(F.col("event_type").isin("signup", "click", "error"))
+    return cdc_flatten(event_envelope(raw))
 
 
 def encounter_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +142,8 @@ def vitals_project(envelope: DataFrame) -> DataFrame:
 
 def fct_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings kept by the plausibility expectation (NULL = violation)."""
-    v = vitals_project(event_envelope(events(spark, sf_dir)))
+    raw = events(spark, sf_dir).filter(F.col("event_type").isin("view", "purchase"))
+    v = vitals_project(event_envelope(raw))
     return v.filter(F.coalesce(F.expr(plausible_value_sql()), F.lit(False)))
 
 
@@ -149,7 +153,7 @@ def heart_rate_band() -> tuple[float, float]:
 
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """silver_patient_admissions: one row per admission with its snapshot."""
-    env = event_envelope(events(spark, sf_dir))
+    env = event_envelope(events(spark, sf_dir).filter(F.col("event_type") == "signup"))
     return env.filter("event_type = 'admitted' AND patient IS NOT NULL").select(
         "patient_id", "encounter_id", "event_ts",
         F.col("patient.full_name").alias("full_name"),
@@ -160,7 +164,7 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patients_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dim_patients: SCD1 partial over the demographic snapshots."""
-    env = event_envelope(events(spark, sf_dir))
+    env = event_envelope(events(spark, sf_dir).filter(F.col("event_type") == "signup"))
     snap = env.filter("event_type = 'admitted' AND patient IS NOT NULL").select(
         "patient_id", "event_ts", "event_id",
         F.col("patient.mrn").alias("mrn"), F.col("patient.full_name").alias("full_name"),

@@ -39,9 +39,9 @@ def test_result_guard_and_query_log(spark):
     g = G.result_guard(res).first()
     assert g.FULL_NAME == "***REDACTED***" and g.patient_count is None and g.patient_count_suppressed and g.total == 40
     log = spark.createDataFrame(
-        [("How many patients in the PICU?", "SELECT COUNT(*) AS n FROM healthcare_agentic_de.gold.fct_encounters WHERE unit = 'ICU'"),
-         ("icu census", "SELECT count(*) AS c FROM healthcare_agentic_de.silver.silver_fct_encounters WHERE unit = 'ICU'"),
-         ("patients in intensive care", "SELECT count(*) FROM healthcare_agentic_de.gold.fct_encounters WHERE unit = 'ICU'")],
+        [("How many patients in the PICU?", "SELECT COUNT(*) AS n FROM main.gold.fct_encounters WHERE unit = 'ICU'"),
+         ("icu census", "SELECT count(*) AS c FROM main.silver.silver_fct_encounters WHERE unit = 'ICU'"),
+         ("patients in intensive care", "SELECT count(*) FROM main.gold.fct_encounters WHERE unit = 'ICU'")],
         "q string, sql string",
     )
     out = log.select(
@@ -49,7 +49,7 @@ def test_result_guard_and_query_log(spark):
         G.count_aliases(F.col("sql")).alias("c"), G.reads_patient_data(F.col("sql")).alias("p"),
     ).collect()
     assert out[0].u == ["unit = 'ICU'"] and out[1].u == [] and out[2].u == []
-    assert out[1].o == ["healthcare_agentic_de.silver.silver_fct_encounters"] and out[0].o == []
+    assert out[1].o == ["main.silver.silver_fct_encounters"] and out[0].o == []
     assert out[0].c == ["n"] and out[1].p is False and out[0].p is True
 
 

@@ -36,7 +36,7 @@ TABLE_REF_PATTERN = r"(?i)\b(?:from|join)\s+([`\w.]+)"
 EQ_FILTER_PATTERN = r"`?(\w+)`?\s*=\s*'([^']*)'"
 COUNT_ALIAS_PATTERN = r"(?i)\bcount\s*\((?:[^()]|\([^()]*\))*\)\s*(?:as\s+)?`?(\w+)`?"
 DISALLOWED_SCHEMAS = ("bronze", "silver", "ops", "information_schema", "system")
-GOLD_SCHEMA = "healthcare_agentic_de.gold"
+GOLD_SCHEMA = "main.gold"
 PATIENT_TABLES = ("dim_patients", "fct_encounters", "fct_encounter_history", "fct_vitals", "gold_live_vitals_by_unit")
 MRN_PATTERN = r"^MRN-\d{6}$"
 UNTRUSTED_OPEN, UNTRUSTED_CLOSE = "<untrusted_data>", "</untrusted_data>"

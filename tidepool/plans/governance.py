@@ -293,7 +293,7 @@ def query_log(spark, sf_dir) -> DataFrame:
     hist = V.encounter_history(spark, sf_dir).filter(F.col("unit").isNotNull())
     w = F.lag("unit").over(Window.partitionBy("encounter_id").orderBy("valid_from"))
     h = hist.withColumn("asked_unit", F.coalesce(w, F.col("unit")))
-    schema = F.when(F.col("status") == "discharged", F.lit("healthcare_agentic_de.silver.silver_fct_encounters")).otherwise(F.lit("healthcare_agentic_de.gold.fct_encounters"))
+    schema = F.when(F.col("status") == "discharged", F.lit("main.silver.silver_fct_encounters")).otherwise(F.lit("main.gold.fct_encounters"))
     return h.select(
         "encounter_id", "valid_from",
         F.concat(F.lit("How many patients are in "), F.col("asked_unit"), F.lit(" right now?")).alias("question"),
@@ -308,7 +308,7 @@ ql AS (SELECT encounter_id, valid_from, unit, status,
          COALESCE(lag(unit) OVER (PARTITION BY encounter_id ORDER BY valid_from), unit) AS asked_unit
        FROM fct_encounter_history WHERE unit IS NOT NULL)
 SELECT encounter_id, valid_from,
-  CASE WHEN status = 'discharged' THEN 'healthcare_agentic_de.silver.silver_fct_encounters' ELSE '' END AS outside_gold,
+  CASE WHEN status = 'discharged' THEN 'main.silver.silver_fct_encounters' ELSE '' END AS outside_gold,
   CASE WHEN asked_unit = unit THEN '' ELSE 'unit = ''' || unit || '''' END AS unasked,
   status IS DISTINCT FROM 'discharged' AS reads_patient_data, 'n' AS count_aliases
 FROM ql""",

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import guards as G
 from tidepool.operators import metrics as M
-from tidepool.operators import scoring as SC
+from tidepool.functions import vitals as SC
 
 
 def test_injection_scan(spark):

@@ -15,90 +15,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------------------
-# Tokenizer stop words, stem suffixes, query synonyms.
-# ---------------------------------------------------------------------------
-STOPWORDS = (
-    "the", "and", "for", "but", "not", "are", "was", "were", "with", "from", "that", "this", "has", "have",
-    "into", "its", "our", "out", "all", "any", "can", "why", "how", "what", "when", "who", "does", "did",
-    "get", "got", "one", "too", "very", "just", "still", "than", "then", "there", "they", "them", "been",
-    "being", "will", "would", "should", "could", "about", "after", "before", "while", "every", "each",
-)
-STEM_SUFFIXES = ("ing", "ed", "es", "s")
-SYNONYMS = {
-    "lag": ["backlog", "behind"],
-    "lagging": ["backlog", "behind"],
-    "slow": ["behind", "duration"],
-    "down": ["outage", "fails", "unavailable"],
-    "outage": ["down", "unavailable"],
-    "crash": ["fails", "failed"],
-    "crashed": ["fails", "failed"],
-    "zero": ["0", "sentinel"],
-    "0": ["sentinel", "zero"],
-    "silent": ["silence", "stops", "sending"],
-    "quiet": ["silence", "stops", "sending"],
-    "green": ["healthy", "silence"],
-    "nothing": ["silence", "stops"],
-    "flood": ["spike", "floods", "volume"],
-    "overload": ["spike", "volume", "backlog"],
-    "spike": ["volume", "10x"],
-    "timezone": ["time", "zone", "offset"],
-    "clock": ["skew", "time"],
-    "1970": ["clock", "skew", "reset"],
-    "fahrenheit": ["unit", "temp", "celsius"],
-    "duplicate": ["duplicates", "dedup", "replay"],
-    "duplicates": ["dedup", "replay"],
-    "transfer": ["transfers", "unit", "transferred"],
-    "transferred": ["transfer", "unit"],
-    "wrong": ["mismatch", "misattribute"],
-    "phi": ["masked", "mask", "pii"],
-    "name": ["masked", "phi"],
-    "count": ["counts", "aggregates", "counting"],
-    "500": ["cap", "capped", "rows"],
-    "deploy": ["deployment", "release"],
-    "deployed": ["deployment", "deploy"],
-    "rollback": ["previous", "version", "deploy"],
-    "permission": ["permission_denied", "grant", "access"],
-    "denied": ["permission", "grant"],
-    "403": ["permission", "access"],
-    "oom": ["memory", "infrastructure"],
-    "memory": ["oom"],
-    "quota": ["capacity", "gcp"],
-    "cost": ["dbu", "budget", "spend"],
-    "stale": ["freshness", "fresh", "old"],
-    "late": ["watermark", "delay", "late"],
-    "unknown": ["contract", "hard-stop", "unrecognized"],
-}
-WORD_PATTERN = "[a-z0-9_]+"
-MAX_VECTOR_QUERIES = 1_000
-
-
-def stem(t: Column) -> Column:
-    """Drop the first matching suffix (in order) when the word is more than
-    three characters longer than it."""
-    expr = None
-    for suf in STEM_SUFFIXES:
-        cond = (F.length(t) > len(suf) + 3) & t.endswith(suf)
-        cut = F.substr(t, F.lit(1), F.length(t) - len(suf))
-        expr = F.when(cond, cut) if expr is None else expr.when(cond, cut)
-    return expr.otherwise(t)
-
-
-def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
-
-
-def tokens(text: Column) -> Column:
-    """Words ``[a-z0-9_]+``; identifiers also as their ``_`` parts; length
-    >= 2, not a stop word; suffix-stemmed. An array (with repeats)."""
-    words = raw_words(text)
-    parts = F.flatten(
-        F.transform(words, lambda w: F.when(F.instr(w, "_") > 0, F.concat(F.array(w), F.filter(F.split(w, "_"), lambda p: p != ""))).otherwise(F.array(w)))
-    )
-    stop = F.array(*[F.lit(s) for s in STOPWORDS])
-    kept = F.filter(parts, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
-    return F.transform(kept, stem)
+from tidepool.functions.text import (  # noqa: F401 - re-exported for callers of the search operators
+    STEM_SUFFIXES,
+    STOPWORDS,
+    SYNONYMS,
+    page_focus,
+    query_terms,
+    raw_words,
+    stem,
+    tokens,
+    word_grams,
+    words_of,
+)
+from tidepool.functions.vectors import dot, unit
 
+MAX_VECTOR_QUERIES = 1_000
 
 def token_rows(df: DataFrame, id_col: str, text_col: str, out: str = "term") -> DataFrame:
     """The same tokens as ``tokens`` but as rows ``(id, term)`` (with
@@ -112,13 +43,6 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, out: str = "term") ->
     return t.select(id_col, stem(F.col("__t")).alias(out))
 
 
-def query_terms(text: Column) -> Column:
-    """Distinct query tokens plus the tokens of the synonyms of each raw word."""
-    syn = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.lit(" ".join(v)))])
-    extra = F.transform(raw_words(text), lambda w: F.coalesce(syn[w], F.lit("")))
-    return F.array_distinct(F.concat(tokens(text), tokens(F.array_join(extra, " "))))
-
-
 def keyword_scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, fields: Sequence[tuple[str, int]]) -> DataFrame:
     """Score = sum over fields of weight x |query terms & field terms|,
     through an inverted index: (term, doc, field) joined to (query, term)."""
@@ -140,16 +64,6 @@ def top_k(scored: DataFrame, group: str, order: Sequence[Column], k: int) -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def unit(vec: Column) -> Column:
-    v = F.transform(vec, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def centroids(vectors: DataFrame, key: str, vec: str) -> DataFrame:
     """Mean unit vector per key (per-dimension averages, partial aggregation)."""
     e = vectors.select(key, F.posexplode(unit(F.col(vec))).alias("i", "x"))
@@ -187,36 +101,6 @@ def rrf(lists: Sequence[DataFrame], group: str, item: str, k_const: int = 60, k:
     return top_k(fused, group, [F.desc("fused"), F.asc(item)], k)
 
 
-def page_focus(text: Column) -> Column:
-    """Title and body lines of a page: stop at the '## Autonomy' heading,
-    keep '# ' titles without the marker, drop other headings, blank lines and
-    the 'Problem ID:' line; joined by spaces."""
-    lines = F.split(text, "\n")
-    stop = F.array_position(F.transform(lines, lambda l: l.startswith("## Autonomy")), F.lit(True))
-    upto = F.when(stop > 0, F.slice(lines, 1, (stop - 1).cast("int"))).otherwise(lines)
-    kept = F.filter(
-        F.transform(upto, lambda l: F.when(l.startswith("# "), F.substr(l, F.lit(3))).when(
-            (l == "") | l.startswith("#") | l.startswith("Problem ID:"), F.lit(None)
-        ).otherwise(l)),
-        lambda l: l.isNotNull(),
-    )
-    return F.array_join(kept, " ")
-
-
-def words_of(text: Column) -> Column:
-    """Whitespace-separated words (no empty strings)."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
-def word_grams(words: Column, n: int = 4) -> Column:
-    """Word n-grams of a words array. Pass a column reference (not an
-    expression): the lambda reads it once per gram."""
-    idx = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.when(F.size(words) >= n, F.transform(idx, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 def passage_hits(passages: DataFrame, pid: str, ptext: str, docs: DataFrame, did: str, dtext: str, n: int = 4) -> DataFrame:
     """(passage, doc) where the doc contains the whole passage text.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepool.contracts import ALERT_BANDS, PHYSICAL_LIMITS, VITAL_ITEMS
 from tidepool.operators import evaluate as E
-from tidepool.operators import scoring as SC
+from tidepool.functions import vitals as SC
 from tidepool.plans import views as V
 from tidepool.plans.registry import query
 

@@ -31,6 +31,13 @@ def test_cooldown_and_latency(spark):
     al = spark.createDataFrame([("f", T0 + timedelta(hours=h)) for h in times], "fingerprint string, ts timestamp_ntz")
     sent = [r.sent for r in O.alert_cooldown(al).orderBy("ts").collect()]
     assert sent == [True, False, False, True, False, False, True, True]
+    rng = random.Random(9)
+    rows = [(f"f{rng.randint(0, 2)}", T0 + timedelta(minutes=rng.randint(0, 60 * 24 * 12))) for _ in range(400)]
+    rows += rows[:5]  # exact duplicates
+    big = spark.createDataFrame(rows, "fingerprint string, ts timestamp_ntz")
+    a = sorted((r.fingerprint, r.ts, r.sent) for r in O.alert_cooldown(big, segment_hours=7).collect())
+    b = sorted((r.fingerprint, r.ts, r.sent) for r in O.alert_cooldown_by_group(big).collect())
+    assert a == b
     vals = list(range(1, 11))
     df = spark.createDataFrame([("c", float(v)) for v in vals], "cfg string, v double")
     r = O.latency_index_pct(df, "cfg", "v").first()

@@ -106,10 +106,9 @@ def page_storm_at(log: DataFrame, now: str, window_minutes: int = 60, threshold:
 COOLDOWN_SCHEMA = "fingerprint string, ts timestamp_ntz, sent boolean"
 
 
-def alert_cooldown(alerts: DataFrame, hours: int = 24) -> DataFrame:
-    """Per fingerprint, an alert is sent only when at least ``hours`` passed
-    since the last *sent* one (a chain over the sorted attempts, grouped per
-    fingerprint with ``applyInPandas``)."""
+def alert_cooldown_by_group(alerts: DataFrame, hours: int = 24) -> DataFrame:
+    """Reference form of the cool-down chain: one pandas group per
+    fingerprint (used to cross-check ``alert_cooldown`` on small data)."""
     gap = pd.Timedelta(hours=hours)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,6 +125,59 @@ def alert_cooldown(alerts: DataFrame, hours: int = 24) -> DataFrame:
     return alerts.select("fingerprint", "ts").groupBy("fingerprint").applyInPandas(chain, COOLDOWN_SCHEMA)
 
 
+def alert_cooldown(alerts: DataFrame, hours: int = 24, segment_hours: int = 24) -> DataFrame:
+    """Per fingerprint, an alert is sent only when at least ``hours`` passed
+    since the last *sent* one.
+
+    The sent alerts form a chain: the first attempt, then repeatedly the first
+    attempt at least ``hours`` later. Without grouping a fingerprint into one
+    task: (1) every distinct (fingerprint, ts) gets its ``next`` attempt by a
+    reverse-time carry-forward segmented by time (``sequence.carry_forward``);
+    (2) binary lifting builds the 2^k-th successor tables by joins on the node
+    key; (3) the chain from each fingerprint's first attempt is expanded by
+    doubling. O(log chain) rounds of joins keyed by (fingerprint, ts);
+    lineage is cut with checkpoints. Duplicate rows of one instant: only the
+    first can be sent.
+    """
+    from tidepool.operators.sequence import carry_forward
+    from tidepool.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(alerts.sparkSession)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = int(hours * 3600 * 1_000_000)
+    seg = int(segment_hours * 3600 * 1_000_000)
+    nodes = alerts.groupBy("fingerprint", "ts").agg(F.count(F.lit(1)).alias("n")).withColumn("t", micros).checkpoint()
+
+    # (1) next attempt at or after t + gap: targets and probes in one stream,
+    # traversed in descending time (ascending -t); at equal time the target
+    # comes first, so the carried target is the earliest one >= probe time.
+    targets = nodes.select("fingerprint", F.col("t").alias("at"), F.lit(0).alias("kind"), F.col("t").alias("tgt"), F.lit(None).cast("long").alias("src"))
+    probes = nodes.select("fingerprint", (F.col("t") + gap).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("tgt"), F.col("t").alias("src"))
+    stream = targets.unionByName(probes).withColumns({"neg": -F.col("at"), "segment": -F.floor(F.col("at") / seg)})
+    filled = carry_forward(stream, ["fingerprint"], ["neg", "kind"], ["tgt"], segment="segment")
+    nxt = filled.filter("kind = 1").select("fingerprint", F.col("src").alias("t"), F.col("tgt").alias("a")).checkpoint()
+
+    # (2) binary lifting: level k maps t -> the 2^k-th successor
+    levels = [nxt]
+    while levels[-1].filter(F.col("a").isNotNull()).limit(1).count() > 0:
+        cur = levels[-1]
+        step = cur.alias("x").join(cur.alias("y"), (F.col("x.fingerprint") == F.col("y.fingerprint")) & (F.col("x.a") == F.col("y.t")), "left")
+        levels.append(step.select(F.col("x.fingerprint").alias("fingerprint"), F.col("x.t").alias("t"), F.col("y.a").alias("a")).checkpoint())
+
+    # (3) the chain from each first attempt, doubling its covered length
+    chain = nodes.groupBy("fingerprint").agg(F.min("t").alias("t"))
+    for lvl in levels:
+        more = chain.join(lvl, ["fingerprint", "t"]).filter(F.col("a").isNotNull()).select("fingerprint", F.col("a").alias("t"))
+        chain = chain.unionByName(more).distinct().checkpoint()
+
+    sent = chain.withColumn("sent", F.lit(True))
+    flags = nodes.join(sent, ["fingerprint", "t"], "left").select("fingerprint", "ts", "n", F.coalesce("sent", F.lit(False)).alias("sent"))
+    # one output row per input row; of equal rows only the first may be sent
+    return flags.select(
+        "fingerprint", "ts", F.posexplode(F.array_repeat(F.col("sent"), F.col("n").cast("int"))).alias("i", "s")
+    ).select("fingerprint", "ts", (F.col("s") & (F.col("i") == 0)).alias("sent"))
+
+
 def fingerprint(keys: Sequence[Column]) -> Column:
     """16 hex chars of SHA-256 over the sorted keys joined by '|'."""
     return F.substring(F.sha2(F.array_join(F.array_sort(F.array(*keys)), "|"), 256), 1, 16)

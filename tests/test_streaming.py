@@ -94,3 +94,17 @@ def test_cooldown_stream_equals_batch(spark, tmp):
     want = {(r.fingerprint, r.ts, r.sent) for r in oplog.alert_cooldown(batch).collect()}
     got = {(r.fingerprint, r.ts, r.sent) for r in spark.sql("SELECT * FROM cool").collect()}
     assert got == want
+
+
+def test_live_rollup_stream_shows_filling_window_and_equals_batch(spark, tmp):
+    rows = [(T0 + timedelta(minutes=m), u, v) for m, u, v in
+            [(0, "ICU", 80.0), (5, "ICU", 150.0), (14, "ED", 60.0), (16, "ICU", 90.0), (31, "ED", 50.0)]]
+    src = os.path.join(tmp, "vitals")
+    spark.createDataFrame(rows, "event_ts timestamp, unit string, value double").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("event_ts timestamp, unit string, value double").parquet(src)
+    q = R.start_memory(R.live_rollup_stream(stream), "live_c", mode="complete")
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.sql("SELECT window_start, unit, reading_count, out_of_range_count FROM live_c").collect())
+    batch = R.live_rollup_stream(spark.createDataFrame(rows, "event_ts timestamp, unit string, value double"))
+    want = sorted(tuple(r) for r in batch.select("window_start", "unit", "reading_count", "out_of_range_count").collect())
+    assert got == want and len(got) == 4  # the newest (30-45 min) window is visible while filling

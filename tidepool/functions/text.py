@@ -128,3 +128,23 @@ def word_grams(words: Column, n: int = 4) -> Column:
     return F.when(F.size(words) >= n, F.transform(idx, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(
         F.array().cast("array<string>")
     )
+
+
+# The cited-problem pattern of an answer ("Problem B1: ...").
+CITED_PATTERN = r"Problem\s+([A-O]\d{1,2}|none)\b"
+
+
+def cited_problem(answer: Column) -> Column:
+    """The problem id an answer cites, NULL when none is cited."""
+    got = F.regexp_extract(answer, CITED_PATTERN, 1)
+    return F.when((got == "") | (got == "none"), F.lit(None)).otherwise(got)
+
+
+def as_number(value: Column) -> Column:
+    """Loosely typed value as a double (NULL when not a number)."""
+    return value.cast("string").try_cast("double")
+
+
+def last_part(name: Column) -> Column:
+    """Last part of a dotted name (``catalog.schema.table`` -> ``table``)."""
+    return F.element_at(F.split(name, r"\."), -1)

@@ -140,3 +140,18 @@ def q_filter_event_types(spark, sf_dir):
 )
 def q_admissions_fact(spark, sf_dir):
     return V.admissions(spark, sf_dir)
+
+
+@query(
+    "live_window_status",
+    S.with_(S.EV, S.CDC, S.HIST, S.VIT, S.LIVE)
+    + """SELECT window_start, window_end, unit, reading_count,
+       window_end <= (SELECT max(event_ts) FROM vit WHERE itemid = 'heart_rate') AS is_complete FROM live""",
+)
+def q_live_window_status(spark, sf_dir):
+    """The live rollup with the still-filling window marked, not hidden: the
+    newest event time is read once (one aggregate) and compared per window."""
+    readings = V.fct_vitals(spark, sf_dir).filter(F.col("itemid") == "heart_rate")
+    high = readings.agg(F.max("event_ts").alias("m")).first()["m"]
+    out = live.mark_complete(live_vitals_by_unit(spark, sf_dir), high)
+    return out.select("window_start", "window_end", "unit", "reading_count", "is_complete")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,12 +41,16 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
     Rows are first reduced to (detector, score) counts of positives and
     negatives - one row per distinct score - so the ordered pass runs over
-    distinct scores only. AUC = P(s+ > s-) + 0.5 P(s+ = s-).
+    distinct scores only, split into score-range segments (``sum_before``).
+    AUC = P(s+ > s-) + 0.5 P(s+ = s-).
     """
+    from tidepool.operators.sequence import range_segment, sum_before
+
     y = F.col("label") == 1
     per = scored.groupBy("detector", "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    w = Window.partitionBy("detector").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    # negatives below each distinct score: a running sum split by score range
+    per = range_segment(per, ["detector"], "score")
+    below = sum_before(per, ["detector"], "score", "neg", "neg_below", segment="__segment")
     return below.groupBy("detector").agg(
         F.round(
             (F.sum(F.col("pos") * F.col("neg_below")) + 0.5 * F.sum(F.col("pos") * F.col("neg"))) / (F.sum("pos") * F.sum("neg")),

@@ -219,15 +219,31 @@ def metric_samples(parts: Sequence[tuple[str, DataFrame, Sequence[str], str]]) -
 
 def latency_index_pct(df: DataFrame, group: str, value: str) -> DataFrame:
     """p50 = element floor(n/2), p90 = element floor(0.9 n) - 1 (0-based; -1
-    wraps to the last), and max of the sorted values per group."""
-    w = Window.partitionBy(group).orderBy(value)
-    r = df.select(group, value, (F.row_number().over(w) - 1).alias("__i"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("__n"))
-    i90 = F.floor(F.col("__n") * 0.9) - 1
-    i90 = F.when(i90 < 0, F.col("__n") + i90).otherwise(i90)
-    return r.groupBy(group).agg(
-        F.first("__n").alias("n"),
-        F.max(F.when(F.col("__i") == F.floor(F.col("__n") / 2), F.col(value))).alias("p50"),
-        F.max(F.when(F.col("__i") == i90, F.col(value))).alias("p90"),
+    wraps to the last), and max of the sorted values per group.
+
+    Exact order statistics without sorting a group in one task: values are
+    reduced to (value, count), the count of smaller values comes from a
+    segmented running sum (``sequence.sum_before``), and the element at index
+    i is the value whose [below, below + count) range holds i.
+    """
+    from tidepool.operators.sequence import range_segment, sum_before
+
+    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
+    seg = range_segment(counts, [group], value)
+    ranked = sum_before(seg, [group], value, "__c", "__below", segment="__segment")
+    n = counts.groupBy(group).agg(F.sum("__c").alias("n"))
+    i50 = F.floor(F.col("n") / 2)
+    i90 = F.floor(F.col("n") * 0.9) - 1
+    i90 = F.when(i90 < 0, F.col("n") + i90).otherwise(i90)
+    j = ranked.join(n, group)
+
+    def holds(i):
+        return (F.col("__below") <= i) & (i < F.col("__below") + F.col("__c"))
+
+    return j.groupBy(group).agg(
+        F.first("n").alias("n"),
+        F.max(F.when(holds(i50), F.col(value))).alias("p50"),
+        F.max(F.when(holds(i90), F.col(value))).alias("p90"),
         F.max(value).alias("max"),
     )
 

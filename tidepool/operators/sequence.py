@@ -95,3 +95,39 @@ def running_max_before(
     """``alias`` = max of ``value`` over the strictly earlier rows of the key."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(alias, F.max(value).over(w))
+
+
+def sum_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    alias: str,
+    segment: str | None = None,
+) -> DataFrame:
+    """``alias`` = sum of ``value`` over the rows of the key strictly before
+    this row in ``order`` (``order`` unique per key). With ``segment`` (a
+    column that is non-decreasing along ``order``), the running sum runs per
+    (key, segment) and the totals of earlier segments are added from a
+    one-row-per-segment summary, so one key is still spread over segments."""
+    keys = list(keys)
+    if segment is None:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(alias, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    part = [*keys, segment]
+    w_seg = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn(alias, F.coalesce(F.sum(value).over(w_seg), F.lit(0)))
+    totals = local.groupBy(*part).agg(F.sum(value).alias("__tot"))
+    w_prev = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*part, F.coalesce(F.sum("__tot").over(w_prev), F.lit(0)).alias("__in"))
+    return local.join(carry, part, "left").withColumn(alias, F.col(alias) + F.col("__in")).drop("__in")
+
+
+def range_segment(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 1024, alias: str = "__segment") -> DataFrame:
+    """Equal-width bucket of ``value`` within each key's [min, max] (one
+    small aggregate joined back on the key)."""
+    keys = list(keys)
+    mm = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    width = F.col("__hi") - F.col("__lo")
+    b = F.when(width > 0, F.floor((F.col(value) - F.col("__lo")) / width * buckets)).otherwise(F.lit(0))
+    return df.join(mm, keys).withColumn(alias, F.least(b, F.lit(buckets - 1)).cast("long")).drop("__lo", "__hi")

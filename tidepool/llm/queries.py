@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import decontamination, packing, simhash, topk_search
+from tidepool.llm import decontamination, packing, simhash, substring_dedup, topk_search
 from tidepool.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer_path())
 
@@ -54,8 +58,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_packing, op7_decontamination, op8_simhash, op10_topk_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op6_packing, op7_decontamination, op8_simhash, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontamination.contamination_sql(), "op10_topk_search": OP10_SQL}
+    return {"op1_substring_dedup": substring_dedup.substring_dedup_sql(), "op7_decontamination": decontamination.contamination_sql(), "op10_topk_search": OP10_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import decontamination, packing, simhash, substring_dedup, topk_search
+from tidepool.llm import decontamination, packing, simhash, substring_dedup, suffix_dedup, topk_search
 from tidepool.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(
         read_columns(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), lambda vec_id: vec_id % 20 == 0
@@ -58,7 +62,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_packing, op7_decontamination, op8_simhash, op10_topk_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:

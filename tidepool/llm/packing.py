@@ -28,8 +28,9 @@ from tidepool.llm.common import byte_slices
 
 SEQUENCE = 2048
 END_ID = 1
+END = END_ID.to_bytes(4, "little")
 #: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 class WordIds:
@@ -37,26 +38,44 @@ class WordIds:
 
     The vocabulary's rules never let a token hold ASCII white space, so a text
     has the ids of its white-space-separated words, one after another; words
-    repeat, and each is tokenized once while it is remembered.
+    repeat, and each is tokenized once while it is remembered. Ids are kept as
+    little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[bytes, np.ndarray] = {}
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.seen: dict[bytes, bytes] = {}
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """A comma or full stop right after an ASCII letter is a token of its
+        own, so ``word,`` has the ids of ``word`` and those of ``,``."""
+        ended = {w for w in words if len(w) > 1 and w[-1] in b".," and (w[-2] | 32) in _LETTERS}
+        new = list(((words - ended) | {w[:-1] for w in ended} | {b".", b","}) - self.seen.keys())
+        self.seen.update(zip(new, self._ids(new)))
+        for w in ended:
+            self.seen[w] = self.seen[w[:-1]] + self.seen[w[-1:]]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, then the end id."""
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words} - self.seen.keys())
+        words = {w for own in split for w in own}
+        new = words - self.seen.keys()
         if len(self.seen) + len(new) > CACHE_WORDS:
             self.seen.clear()
-            new = list({w for words in split for w in words})
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.seen.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, encoded))
-        none, end = np.zeros(0, np.uint32), np.array([END_ID], np.uint32)
+            new = words
+        if new:
+            self._learn(new)
         get = self.seen.__getitem__
-        return [np.concatenate([*map(get, words), end]) if words else end.copy() for words in split]
+        return [b"".join(map(get, own)) + END for own in split]
+
+
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 def cut(total: int, longest: int = SEQUENCE) -> Iterator[tuple[int, int]]:
@@ -85,14 +104,14 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE, with_ids
                 texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
                 rows: list[list] = [[], [], [], [], []]
                 ids: list[np.ndarray] = []
-                for doc_id, own in zip(batch.column("doc_id").to_pylist(), words.encode(texts)):
-                    raw = own.astype("<u4").tobytes()
-                    for start, length in cut(len(own), longest):
+                for doc_id, raw in zip(batch.column("doc_id").to_pylist(), words.encode(texts)):
+                    total = len(raw) // 4
+                    for start, length in cut(total, longest):
                         part = raw[4 * start : 4 * (start + length)]
-                        for column, value in zip(rows, (doc_id, start, length, zlib.crc32(part), len(own))):
+                        for column, value in zip(rows, (doc_id, start, length, zlib.crc32(part), total)):
                             column.append(value)
                         if with_ids:
-                            ids.append(own[start : start + length].astype(np.int64))
+                            ids.append(np.frombuffer(part, "<u4").astype(np.int64))
                 arrays = [pa.array(c, pa.int64()) for c in rows]
                 if with_ids:
                     arrays.append(pa.array(ids, pa.list_(pa.int64())))

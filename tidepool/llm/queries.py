@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import decontamination, packing, simhash, substring_dedup, suffix_dedup, topk_search
+from tidepool.llm import decontamination, packing, simhash, substring_dedup, suffix_dedup, topk_search, toxicity
 from tidepool.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(
+        read_columns(spark, sf_dir, "documents", ["doc_id", "text"]),
+        read_columns(spark, sf_dir, "labels", ["doc_id", "toxic"]),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer_path())
 
@@ -62,7 +69,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:

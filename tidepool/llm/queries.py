@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import decontamination, html_template, packing, simhash, substring_dedup, suffix_dedup, topk_search, toxicity
+from tidepool.llm import decontamination, html_template, language_id, packing, simhash, substring_dedup, suffix_dedup, topk_search, toxicity
 from tidepool.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,13 @@ def op4_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(read_columns(spark, sf_dir, "pages", ["page_id", "url", "html"]))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(
+        read_columns(spark, sf_dir, "pages", ["page_id", "url", "html"]),
+        read_columns(spark, sf_dir, "documents", ["text", "lang"]),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer_path())
 
@@ -73,7 +80,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_html_template, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_html_template, op5_language_id, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:

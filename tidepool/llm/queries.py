@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import decontamination, html_template, language_id, packing, simhash, substring_dedup, suffix_dedup, topk_search, toxicity
+from tidepool.llm import decontamination, html_template, language_id, lm_scoring, packing, simhash, substring_dedup, suffix_dedup, topk_search, toxicity
 from tidepool.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(
         read_columns(spark, sf_dir, "documents", ["doc_id", "text"]),
@@ -80,7 +84,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_html_template, op5_language_id, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_toxicity, op4_html_template, op5_language_id, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:

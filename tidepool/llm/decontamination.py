@@ -126,13 +126,9 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add, lambda seen: seen["total"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): how many words ``benchmark``
-    (item_id, text) also holds, in windows of ``window`` words.
-
-    Returns doc_id, n_words, n_hit, n_items, items_sha256 and contaminated
-    (at least a twentieth of the words is hit).
-    """
+def report(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """doc_id, row_key, n_words, copies (rows), n_hit, items and nulls (items
+    without an id), for each distinct (doc_id, text)."""
     items = cut_lineage(
         benchmark.select(F.col("item_id"), words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0)
     )
@@ -188,28 +184,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         small(windows), (F.col("window") == F.col("item_window")) & (F.col("length") == F.col("item_length")), "left"
     )
     hit = F.col("item_window").isNotNull()
-    report = judged.groupBy("doc_id", "row_key", "n_words").agg(
+    return judged.groupBy("doc_id", "row_key", "n_words").agg(
         F.count_if(F.col("nth").isNull() | (F.col("nth") == 0)).alias("copies"),
-        F.collect_set(F.when(hit, F.struct("start", "length"))).alias("spans"),
+        covered(F.collect_set(F.when(hit, F.struct("start", "length")))).alias("n_hit"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("items"),
         F.max(F.coalesce("nulls", F.lit(0))).alias("nulls"),
     )
-    n_hit = covered(F.col("spans"))
+
+
+def contaminated() -> Column:
+    """At least a twentieth of the words is hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): how many words ``benchmark``
+    (item_id, text) also holds, in windows of ``window`` words.
+
+    Returns doc_id, n_words, n_hit, n_items, items_sha256 and contaminated.
+    """
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return (
-        report.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .withColumn("n_hit", n_hit)
+        report(docs, benchmark, window, gram)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select(
             "doc_id",
             "n_words",
             "n_hit",
             (F.size("items") + F.when(F.col("nulls") > 0, 1).otherwise(0)).cast("long").alias("n_items"),
             F.sha2(names, 256).alias("items_sha256"),
-            ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+            contaminated().alias("contaminated"),
         )
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with its columns, less the contaminated rows."""
+    found = report(docs, benchmark, window, gram).where(contaminated())
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"))
+    own = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_key(F.col("text").cast("string")).alias("row_key"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key"))
+    return own.join(gone, same, "left_anti").select("row.*")
+
+
 def contamination_sql() -> str:
     """The same report in DuckDB SQL."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -123,7 +123,8 @@ def shared_units(rows: DataFrame, kind: Kind, shared: Column, aggregates: list[C
     """Units whose choice stands in more than one place, as ``shared`` judges
     ``aggregates`` over the units of a choice."""
     units = unit_rows(rows, kind)
-    common = units.groupBy(F.col("choice").alias("met")).agg(*aggregates).where(shared).select("met")
+    # Written first, so that the join has two plain sides and a hot choice can be split.
+    common = stage_table(units.groupBy(F.col("choice").alias("met")).agg(*aggregates).where(shared).select("met"))
     return stage_table(units.join(common, F.col("choice") == F.col("met"), "left_semi"))
 
 
@@ -255,7 +256,7 @@ def repeated_spans(
 def keep_mask(n: int, spans) -> np.ndarray:
     """True for the values that no span covers."""
     depth = np.zeros(n + 1, np.int64)
-    for s in spans or ():
+    for s in spans:
         depth[s["from"]] += 1
         depth[s["until"]] -= 1
     return np.cumsum(depth[:n]) == 0

@@ -30,8 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import byte_slices, cut_lineage
+from tidepool.llm.common import byte_slices, cut_lineage, text_key
 from tidepool.llm.graph import components
+from tidepool.llm.passages import keyed, same_row, stage_table
 
 SHINGLE = 3
 DISTANCE = 3
@@ -57,17 +58,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, print) of each row; the print is the fingerprint as a signed long."""
+    """(doc_id, row_key, print) of each row; the print is the fingerprint as a
+    signed long, the row_key tells rows of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text"):
                 texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
                 prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
+                columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(prints)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "print"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, print long")
+    return keyed(docs).mapInArrow(run, "doc_id long, row_key long, print long")
 
 
 def segment_counts(prints: np.ndarray) -> np.ndarray:
@@ -217,6 +219,13 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInArrow(joined, "u long, v long")
 
 
+def rooted(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """doc_id, row_key, print and root (the smallest print that links reach) of each row."""
+    rows = stage_table(fingerprints(docs, shingle))
+    found = components(links(rows.select("print").distinct(), distance)).withColumnRenamed("node", "print")
+    return rows.join(found, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """Fingerprint and component of each row of ``docs`` (doc_id, text).
 
@@ -224,10 +233,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     reach. Returns doc_id, fingerprint (16 hexadecimal digits) and component_id
     (its smallest doc_id).
     """
-    rows = cut_lineage(fingerprints(docs, shingle))
-    found = components(links(rows.select("print").distinct(), distance)).withColumnRenamed("node", "print")
-    rooted = rows.join(found, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(names, "root").select(
+    rows = rooted(docs, shingle, distance)
+    # Written first, so that the join below has two plain sides and a hot component can be split.
+    names = stage_table(rows.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id")))
+    return rows.join(names, F.col("root") == F.col("of")).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with its columns, one row of each component: that of the smallest
+    doc_id (null last), of equal ids that of the smallest text hash."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    kept = rooted(docs, shingle, distance).groupBy("root").agg(F.min(place).alias("kept"))
+    kept = stage_table(kept.select("kept.doc_id", "kept.row_key"))
+    own = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_key(F.col("text").cast("string")).alias("row_key"),
+    )
+    met = own.alias("b").join(kept.alias("k"), same_row("b", "k"), "left_semi")
+    return met.dropDuplicates(["doc_id", "row_key"]).select("row.*")

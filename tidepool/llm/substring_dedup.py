@@ -167,7 +167,9 @@ def removed_spans(rows: DataFrame, bodies: DataFrame, window: int, gram: int) ->
 
 def kept_words(text: bytes, spans) -> tuple[int, list[bytes]]:
     words = text.split()
-    return len(words), [w for w, k in zip(words, keep_mask(len(words), spans)) if k] if spans else words
+    if spans is None or not len(spans):
+        return len(words), words
+    return len(words), [w for w, k in zip(words, keep_mask(len(words), spans)) if k]
 
 
 def digest_row(text: bytes, spans) -> tuple[int, int, str]:

@@ -241,3 +241,19 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` with its columns, less the rows that are predicted to be toxic."""
+    model = fit_on(docs, labels, train_rows)
+    if not model:
+        return docs
+
+    @F.pandas_udf("double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        distance = Distance(model["ordinary"], model["toxic"])
+        for batch in texts:
+            x = [distance.features(t.encode() if t else b"") for t in batch]
+            yield pd.Series(probability(model, np.array(x)) if x else [], dtype="float64")
+
+    return docs.where(of(F.col("text").cast("string")) < THRESHOLD)

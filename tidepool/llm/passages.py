@@ -9,8 +9,8 @@ to one content, kept once with its smallest holder; only contents travel on,
 as text, to be compared in groups of one choice.
 
 A choice with more than ``FULL`` contents (a line that stands in very many
-different surroundings) is not compared in one group: its windows are grouped
-by hash instead, with a partial aggregation, whatever their number.
+different surroundings) is not compared in one group: its contents are searched
+anew with a longer gram, which parts them by what surrounds the line.
 """
 
 from __future__ import annotations
@@ -172,73 +172,59 @@ def cut_texts(held: DataFrame, kind: Kind) -> DataFrame:
     return held.mapInArrow(run, "choice long, content long, n long, owner long, lead long, text binary")
 
 
-def cut_windows(held: DataFrame, kind: Kind) -> DataFrame:
-    """choice, content, n, owner and, for each window of each content, its hash
-    and its place in the content."""
-    names = ["choice", "content", "n", "owner", "window", "offset"]
+SPANS = "array<struct<from:long,until:long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_up = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for doc_id, body, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "wanted"))):
-                raw = np.frombuffer(open_up.decompress(body), np.uint8)
-                values = kind.values(raw, np.array([0, len(raw)]))[0]
-                windows = winnow.PrefixHash(values).runs(kind.window).view(np.int64)
-                first = np.array([w["place"] >> 16 for w in wanted])
-                count = np.array([(w["place"] >> 8 & 255) + 1 for w in wanted])
-                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                own = [np.repeat(np.array([w[c] for w in wanted], np.int64), count) for c in names[:3]]
-                arrays = [pa.array(c) for c in own]
-                arrays += [
-                    pa.array([doc_id], pa.int64()).take(pa.array(np.zeros(len(offset), np.int64))),
-                    pa.array(windows[np.repeat(first, count) + offset]),
-                    pa.array(offset),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return held.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
+@dataclass(frozen=True)
+class Rule:
+    """When something repeats.
+
+    ``aggregates`` over the units of a choice, and ``shared`` judging them, say
+    which choices can matter at all. ``compare`` takes the texts of the contents
+    that ``compared`` holds of, and about how many there are, and returns
+    choice, content and the runs of windows (from, until) of the content's
+    smallest holder that repeat. Any other unit repeats as a whole where
+    ``whole`` holds of its doc_id, its content's owner and n.
+    """
 
-SPANS = "array<struct<from:long,until:long>>"
+    aggregates: list[Column]
+    shared: Column
+    compared: Column
+    compare: Callable[[DataFrame, int], DataFrame]
+    whole: Column
+
+
+def within_full(texts: DataFrame, kind: Kind, rule: Rule) -> DataFrame:
+    """The same as ``compare`` for choices with many contents: each content is
+    a text of its own - it holds exactly its unit's windows - and these texts
+    are searched anew with a longer gram. A gram as long as the window leaves
+    one content to a choice, so this ends."""
+    texts = stage_table(texts.withColumn("row_key", F.xxhash64("choice", "content")))
+    rows = texts.select(F.col("owner").alias("doc_id"), "row_key", "text")
+    finer = Kind(kind.name, kind.window, (kind.gram + kind.window + 1) // 2)
+    gone = removed_spans(rows, packed(rows), finer, rule)
+    return texts.alias("b").withColumnRenamed("owner", "doc_id").alias("b").join(gone.alias("g"), same_row("b", "g")).select(
+        "b.choice",
+        "b.content",
+        F.transform("g.gone", lambda s: F.struct(s["from"].alias("from"), (s["until"] - (kind.window - 1)).alias("until"))).cast(SPANS).alias("spans"),
+    )
 
 
-def repeated_spans(
-    units: DataFrame,
-    bodies: DataFrame,
-    kind: Kind,
-    compare: Callable[[DataFrame], DataFrame],
-    compared: Column,
-    window_repeats: Column,
-    unit_repeats: Column,
-) -> DataFrame:
-    """doc_id, row_key and the spans of values to remove.
-
-    ``compare`` takes the texts of contents (those with ``compared`` true, of
-    choices that are not full) and returns choice, content and the spans of
-    windows (from, until) of the content's smallest holder that repeat;
-    ``window_repeats`` judges the same for a window of a full choice from
-    copies (contents that hold it), least (their smallest owner) and owner.
-    Any other unit repeats as a whole where ``unit_repeats`` is true of its
-    doc_id, owner and n.
-    """
+def removed_spans(rows: DataFrame, bodies: DataFrame, kind: Kind, rule: Rule) -> DataFrame:
+    """doc_id, row_key and the spans of values to remove (gone) of ``rows``
+    (doc_id, row_key, text), whose texts ``bodies`` has packed."""
+    units = shared_units(rows, kind, rule.shared, rule.aggregates)
     contents = contents_of(units)
-    found = compare(cut_texts(with_text(contents.where(compared & (F.col("contents") <= FULL)), bodies), kind))
-    full = contents.where(F.col("contents") > FULL)
+    few = F.col("contents") <= FULL
+    found = rule.compare(cut_texts(with_text(contents.where(rule.compared & few), bodies), kind), units.count())
+    full = contents.where(~few)
     if not full.isEmpty():
-        windows = stage_table(cut_windows(with_text(full, bodies), kind))
-        same = windows.groupBy(F.col("choice").alias("c"), F.col("window").alias("w")).agg(
-            F.count_distinct("content").alias("copies"), F.min("owner").alias("least")
-        )
-        again = windows.join(same, (F.col("choice") == F.col("c")) & (F.col("window") == F.col("w"))).where(window_repeats)
-        found = found.unionByName(
-            again.groupBy("choice", "content").agg(
-                F.collect_list(F.struct(F.col("offset").alias("from"), (F.col("offset") + 1).alias("until"))).cast(SPANS).alias("spans")
-            )
-        )
-    verdict = contents.join(found.withColumnsRenamed({"choice": "c", "content": "t"}), (F.col("choice") == F.col("c")) & (F.col("content") == F.col("t")), "left")
-    verdict = verdict.select(
+        found = found.unionByName(within_full(cut_texts(with_text(full, bodies), kind), kind, rule))
+    found = found.withColumnsRenamed({"choice": "c", "content": "t"})
+    verdict = contents.join(found, (F.col("choice") == F.col("c")) & (F.col("content") == F.col("t")), "left").select(
         F.col("choice").alias("c"), F.col("content").alias("t"), "n", F.col("holder.doc_id").alias("owner"), "spans"
     )
+    verdict = stage_table(verdict)
     first, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
     whole = F.array(F.struct(first.alias("from"), (first + more + kind.window).alias("until"))).cast(SPANS)
     some = F.transform(
@@ -246,7 +232,7 @@ def repeated_spans(
     ).cast(SPANS)
     return (
         units.join(verdict, (F.col("choice") == F.col("c")) & (F.col("content") == F.col("t")))
-        .withColumn("gone", F.when(unit_repeats, whole).otherwise(some))
+        .withColumn("gone", F.when(rule.whole, whole).otherwise(some))
         .where("gone is not null")
         .groupBy("doc_id", "row_key")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidepool.llm.common import text_key
-from tidepool.llm.passages import SPANS, Kind, keep_mask, keyed, map_kept, packed, repeated_spans, same_row, shared_units
+from tidepool.llm.passages import SPANS, Kind, Rule, keep_mask, keyed, map_kept, packed, removed_spans, same_row
 
 WINDOW = 50
 GRAM = 16
@@ -137,34 +137,29 @@ def shard_spans(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     return out[out["spans"].map(len) > 0]
 
 
-def removed_spans(rows: DataFrame, bodies: DataFrame, window: int, gram: int) -> DataFrame:
-    kind = Kind("words", window, gram)
-    units = shared_units(
-        rows.where("doc_id is not null"),
-        kind,
-        F.col("low") < F.col("high"),
-        [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")],
-    )
-    per_content = window + (window - gram) // 2
-    shards = max(1, -(-units.count() * per_content // SHARD_WORDS))
+def smaller_holder(window: int, gram: int) -> Rule:
+    """A window repeats where a document with a smaller doc_id holds it."""
 
-    def compare(texts: DataFrame) -> DataFrame:
+    def compare(texts: DataFrame, units: int) -> DataFrame:
+        shards = max(1, -(-units * (window + (window - gram) // 2) // SHARD_WORDS))
         dealt = texts.withColumn("shard", F.pmod(F.xxhash64("choice"), F.lit(shards)))
         return dealt.groupBy("shard").applyInPandas(
             lambda shard: shard_spans(shard, window), f"choice long, content long, spans {SPANS}"
         )
 
-    return repeated_spans(
-        units,
-        bodies,
-        kind,
-        compare,
+    return Rule(
+        aggregates=[F.min("doc_id").alias("low"), F.max("doc_id").alias("high")],
+        shared=F.col("low") < F.col("high"),
         compared=F.lit(True),
-        window_repeats=F.col("least") < F.col("owner"),
-        unit_repeats=F.col("doc_id") > F.col("owner"),
+        compare=compare,
+        whole=F.col("doc_id") > F.col("owner"),
     )
 
 
+def spans_held_before(rows: DataFrame, bodies: DataFrame, window: int, gram: int) -> DataFrame:
+    return removed_spans(rows.where("doc_id is not null"), bodies, Kind("words", window, gram), smaller_holder(window, gram))
+
+
 def kept_words(text: bytes, spans) -> tuple[int, list[bytes]]:
     words = text.split()
     if spans is None or not len(spans):
@@ -183,7 +178,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     words that also starts in a document with a smaller doc_id."""
     rows = keyed(docs)
     bodies = packed(rows)
-    gone = removed_spans(rows, bodies, window, gram)
+    gone = spans_held_before(rows, bodies, window, gram)
     return map_kept(
         bodies, gone, digest_row, ["n_words", "n_removed", "kept_sha256"], "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
@@ -200,7 +195,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         )
 
     rows = keyed(docs)
-    gone = removed_spans(rows, packed(rows), window, gram)
+    gone = spans_held_before(rows, packed(rows), window, gram)
     own = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("row_key")
     )

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import winnow
-from tidepool.llm.passages import SPANS, Kind, keep_mask, keyed, map_kept, packed, repeated_spans, shared_units
+from tidepool.llm.passages import SPANS, Kind, Rule, keep_mask, keyed, map_kept, packed, removed_spans
 
 WINDOW = 200
 GRAM = 32
@@ -179,31 +179,32 @@ def digest_row(text: bytes, spans) -> tuple[int, int, int, str]:
     return len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest()
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of
-    ``docs`` (doc_id, text), after removing every byte covered by a string of
-    ``window`` bytes that also starts anywhere else."""
-    kind = Kind("bytes", window, gram)
-    rows = keyed(docs)
-    bodies = packed(rows)
-    units = shared_units(rows, kind, F.col("places") > 1, [F.count("*").alias("places")])
-    shards = max(1, -(-units.count() // SHARD_CONTENTS))
+def another_place(window: int) -> Rule:
+    """A window repeats where it starts anywhere else."""
 
-    def compare(texts: DataFrame) -> DataFrame:
+    def compare(texts: DataFrame, units: int) -> DataFrame:
+        shards = max(1, -(-units // SHARD_CONTENTS))
         dealt = texts.withColumn("shard", F.pmod(F.xxhash64("choice"), F.lit(shards)))
         return dealt.groupBy("shard").applyInPandas(
             lambda shard: shard_spans(shard, window), f"choice long, content long, spans {SPANS}"
         )
 
-    gone = repeated_spans(
-        units,
-        bodies,
-        kind,
-        compare,
+    return Rule(
+        aggregates=[F.count("*").alias("places")],
+        shared=F.col("places") > 1,
         compared=F.col("contents") > 1,
-        window_repeats=F.col("copies") > 1,
-        unit_repeats=F.col("n") > 1,
+        compare=compare,
+        whole=F.col("n") > 1,
     )
+
+
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of
+    ``docs`` (doc_id, text), after removing every byte covered by a string of
+    ``window`` bytes that also starts anywhere else."""
+    rows = keyed(docs)
+    bodies = packed(rows)
+    gone = removed_spans(rows, bodies, Kind("bytes", window, gram), another_place(window))
     return map_kept(
         bodies,
         gone,

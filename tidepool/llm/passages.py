@@ -203,10 +203,12 @@ def within_full(texts: DataFrame, kind: Kind, rule: Rule) -> DataFrame:
     rows = texts.select(F.col("owner").alias("doc_id"), "row_key", "text")
     finer = Kind(kind.name, kind.window, (kind.gram + kind.window + 1) // 2)
     gone = removed_spans(rows, packed(rows), finer, rule)
-    return texts.alias("b").withColumnRenamed("owner", "doc_id").alias("b").join(gone.alias("g"), same_row("b", "g")).select(
-        "b.choice",
-        "b.content",
-        F.transform("g.gone", lambda s: F.struct(s["from"].alias("from"), (s["until"] - (kind.window - 1)).alias("until"))).cast(SPANS).alias("spans"),
+    windows = F.transform(
+        "g.gone", lambda s: F.struct(s["from"].alias("from"), (s["until"] - (kind.window - 1)).alias("until"))
+    )
+    named = texts.withColumnRenamed("owner", "doc_id")
+    return named.alias("b").join(gone.alias("g"), same_row("b", "g")).select(
+        "b.choice", "b.content", windows.cast(SPANS).alias("spans")
     )
 
 
@@ -235,7 +237,7 @@ def removed_spans(rows: DataFrame, bodies: DataFrame, kind: Kind, rule: Rule) ->
         .withColumn("gone", F.when(rule.whole, whole).otherwise(some))
         .where("gone is not null")
         .groupBy("doc_id", "row_key")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+        .agg(F.flatten(F.collect_list("gone")).alias("gone"))
     )
 
 

@@ -65,3 +65,29 @@ def test_permissive_parse_and_rescue(spark):
 def test_source_switch_rejects_unknown(spark):
     with pytest.raises(ValueError):
         SRC.read_events(spark, "ftp")
+
+
+GATE = [
+    X.Expectation("has_value", "v IS NOT NULL", X.DROP),
+    X.Expectation("known_event_type", "event_type IS NULL OR event_type IN ('admitted')", X.FAIL),
+]
+
+
+@pytest.mark.parametrize("narrow", [lambda d: d, lambda d: d.filter("event_type = 'admitted'"), lambda d: d.limit(1), lambda d: d.select("v").filter("v > 5")])
+def test_hard_stop_sees_rows_that_later_filters_would_skip(spark, tmp, narrow):
+    schema = "event_type string, v double"
+    spark.createDataFrame([("admitted", 9.0)] * 3, schema).coalesce(1).write.parquet(f"{tmp}/b")
+    spark.createDataFrame([("merged", None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp}/b")
+    bronze = spark.read.parquet(f"{tmp}/b")
+    with pytest.raises(Exception, match="known_event_type"):
+        narrow(X.apply_expectations(bronze, GATE)).collect()
+    assert narrow(X.apply_expectations(bronze.filter("event_type = 'admitted'"), GATE)).count() >= 1
+
+
+def test_hard_stop_on_a_stream_sees_rows_that_later_filters_would_skip(spark, tmp):
+    schema = "event_type string, v double"
+    spark.createDataFrame([("admitted", 9.0), ("merged", None)], schema).write.parquet(f"{tmp}/s")
+    stream = X.apply_expectations(spark.readStream.schema(schema).parquet(f"{tmp}/s"), GATE).filter("event_type = 'admitted'")
+    q = stream.writeStream.format("memory").queryName("hard_stop").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="known_event_type"):
+        q.awaitTermination()

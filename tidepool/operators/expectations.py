@@ -68,13 +68,23 @@ def expect_drop(df: DataFrame, expectations: Sequence[Expectation]) -> DataFrame
 
 
 def expect_fail(df: DataFrame, expectations: Sequence[Expectation]) -> DataFrame:
-    """Fail the whole query on the first violating row of a fail expectation.
-    The check is a filter predicate, so the optimizer cannot prune it."""
-    for e in expectations:
-        if e.action == FAIL:
-            msg = F.lit(f"expectation {e.name} violated: {e.condition}")
-            df = df.filter(F.when(~e.passed(), F.raise_error(msg)).isNull())
-    return df
+    """Fail the whole query if any row violates a fail expectation.
+
+    The check is a pass of its own over ``df`` as it comes in: a scalar subquery
+    that raises, so filters, limits or pruning further down neither reach its
+    scan nor skip it. A stream has no subqueries; there the check is an observed
+    metric, and no filter is moved below an observation."""
+    failing_rules = [e for e in expectations if e.action == FAIL]
+    if not failing_rules:
+        return df
+    raised = [
+        F.max(F.when(~e.passed(), F.raise_error(F.lit(f"expectation {e.name} violated: {e.condition}")).cast("string"))).alias(e.name)
+        for e in failing_rules
+    ]
+    if df.isStreaming:
+        return df.observe("hard_stop_" + "_".join(e.name for e in failing_rules), *raised)
+    stop = df.agg(*raised).select(F.concat_ws("", *[F.col(e.name) for e in failing_rules]).alias("stop"))
+    return df.filter(stop.scalar() == "")
 
 
 def apply_expectations(df: DataFrame, expectations: Sequence[Expectation]) -> DataFrame:

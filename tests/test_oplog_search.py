@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -78,7 +79,7 @@ def test_passage_hits_equal_brute_force(spark):
     P = spark.createDataFrame(list(enumerate(passages)), "pid int, pt string")
     D = spark.createDataFrame(list(enumerate(docs)), "did int, dt string")
     got = {(r.pid, r.did) for r in SR.passage_hits(P, "pid", "pt", D, "did", "dt").collect()}
-    want = {(i, j) for (i, p), (j, d) in itertools.product(enumerate(passages), enumerate(docs)) if len(p.split()) >= 3 and p in d}
+    want = {(i, j) for (i, p), (j, d) in itertools.product(enumerate(passages), enumerate(docs)) if p.split() and p in d}
     assert got == want
 
 
@@ -87,3 +88,40 @@ def test_rrf_and_topk(spark):
     b = spark.createDataFrame([("q", "y", 1), ("q", "z", 2)], "q string, d string, rank int")
     out = [r.d for r in SR.rrf([a, b], "q", "d", k=2).orderBy("rank").collect()]
     assert out == ["y", "x"]
+
+
+def test_trailing_alarm_counts_across_the_hour(spark):
+    t0 = datetime(2026, 9, 21, 8, 0)
+    minutes = [55, 57, 59, 61, 63, 65, 65, 300, 359.999, 360, 361]
+    log = spark.createDataFrame([("notify_and_page", t0 + timedelta(minutes=m)) for m in minutes] + [("other", t0)], "tool string, ts timestamp_ntz")
+    got = {r.evaluated_at: (r.pages, r.alarm) for r in O.page_counts(log, 60, 5).collect()}
+    want = {}
+    for m in minutes:
+        n = sum(m - 60 <= x <= m for x in minutes)
+        want[t0 + timedelta(minutes=m)] = (n, n > 5)
+    assert got == want and any(alarm for _, alarm in want.values())
+    at = O.page_storm_at(log, "2026-09-21 09:55:00").first()
+    assert (at.pages, at.alarm) == (7, True)  # the page at 08:55 stands exactly at the cutoff
+
+
+def test_passages_of_any_length_are_found(spark):
+    passages = ["hello world", "lo", "ello wor", "x", "one two three", "a  b", "zz top", "", None, "the longest of all these passages here"]
+    texts = ["say hello world", "xhello worldy", "hello  world", "one two three four", "a  b", "", None, "we: the longest of all these passages here."]
+    p = spark.createDataFrame(list(enumerate(passages)), "item_id int, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {tuple(r) for r in SR.passage_hits(p, "item_id", "text", d, "doc_id", "text").collect()}
+    assert got == {(i, j) for i, a in enumerate(passages) for j, b in enumerate(texts) if a and b is not None and a in b}
+
+
+def test_more_vector_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(SR, "VECTOR_BLOCK", 16)
+    rng = random.Random(4)
+    vecs = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(vecs, "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(1000 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(1100)], "qid int, vec array<double>")
+    got = SR.cosine_topk(df, "vec_id", "embedding", q, "qid", "vec", 2).collect()
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    best = {}
+    for r in q.collect():
+        best[r.qid] = max((sum(a * b for a, b in zip(unit(r.vec), unit(v))), -i) for i, v in vecs)
+    assert len(got) == 2200 and all(r.d == -best[r.q][1] for r in got if r["rank"] == 1)

@@ -91,3 +91,50 @@ def test_hard_stop_on_a_stream_sees_rows_that_later_filters_would_skip(spark, tm
     q = stream.writeStream.format("memory").queryName("hard_stop").trigger(availableNow=True).start()
     with pytest.raises(Exception, match="known_event_type"):
         q.awaitTermination()
+
+
+FULL = {
+    "event_id": "a", "event_type": "vitals_reading", "event_ts": "2026-09-21T08:00:00Z", "patient_id": "p", "encounter_id": "e",
+    "schema_version": 1, "notes": "n",
+    "patient": {"mrn": "m", "full_name": "f", "birth_date": "b", "gender": "g", "region": "r"},
+    "encounter": {"encounter_type": "t", "unit": "u", "attending_provider_id": "a", "status": "s"},
+    "transfer": {"from_unit": "u", "to_unit": "v"},
+    "vital": {"itemid": "heart_rate", "value": 80.0, "valueuom": "bpm"},
+}
+
+
+def test_contract_of_each_field(spark):
+    import copy
+    import json
+
+    cases = [("whole", FULL, [])]
+    optional = {"schema_version", "notes", "patient", "encounter", "transfer", "vital"}
+    for name in FULL:
+        r = copy.deepcopy(FULL)
+        del r[name]
+        cases.append((f"no {name}", r, [] if name in optional else ["missing_event_type" if name == "event_type" else f"missing:{name}"]))
+        if isinstance(FULL[name], dict):
+            for child in FULL[name]:
+                r = copy.deepcopy(FULL)
+                del r[name][child]
+                cases.append((f"no {name}.{child}", r, [f"missing:{name}.{child}"]))
+                r = copy.deepcopy(FULL)
+                r[name][child] = None
+                cases.append((f"null {name}.{child}", r, [f"missing:{name}.{child}"]))
+    for path, bad in (("event_ts", "not a time"), ("vital.value", "high"), ("vital.value", [1]), ("patient", "p"), ("transfer", 3)):
+        r = copy.deepcopy(FULL)
+        at, _, child = path.partition(".")
+        if child:
+            r[at][child] = bad
+        else:
+            r[at] = bad
+        cases.append((f"bad {path} {bad}", r, [f"wrong_type:{path}"]))
+    cases.append(("bare", {"event_type": "admitted"}, ["missing:encounter_id", "missing:event_id", "missing:event_ts", "missing:patient_id"]))
+    raw = spark.createDataFrame([(n, json.dumps(r)) for n, r, _ in cases], "i string, _raw string")
+    p = SRC.rescue_unknown_fields(SRC.parse_permissive(raw, keep_raw=True), contract_keys(EVENT_SCHEMA))
+    flat = p.select("i", "_raw", "_corrupt_record", "_rescued_data", "payload.*")
+    got = {r.i: [x for x in r.violations if x not in ("corrupt_record", "unknown_field")] for r in CC.validate_contract(flat).collect()}
+    for name, _, want in cases:
+        assert got[name] == want, name
+    valid = {r.i: r.is_valid for r in CC.validate_contract(flat).collect()}
+    assert valid["whole"] and not valid["bare"] and not valid["bad event_ts not a time"]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidepool.contracts import ALERT_BANDS, ALLOWED_EVENT_TYPES, VITAL_ITEMS
+from tidepool.contracts import ALERT_BANDS, ALLOWED_EVENT_TYPES, EVENT_SCHEMA, VITAL_ITEMS
 
 
 def _band_outside(item, value):
@@ -17,22 +18,42 @@ def _band_outside(item, value):
     return out
 
 
+#: Envelope fields a record may leave out (fixed values); any other field of
+#: the envelope, and every field of a sub-record that is there, is required.
+OPTIONAL_FIELDS = ("schema_version", "patient", "encounter", "transfer", "vital", "notes")
+
+
+def _field_checks(raw: Column, schema: T.StructType, prefix: str = "", optional: Sequence[str] = ()) -> list[Column]:
+    """A violation for each field that is missing though required, or that is
+    there in the raw record and could not be read as its type."""
+    out: list[Column] = []
+    for f in schema.fields:
+        path = f"{prefix}{f.name}"
+        sent = F.variant_get(raw, f"$.{path}", "variant")
+        there = sent.isNotNull() & ~F.is_variant_null(sent)
+        if f.name not in optional and path != "event_type":
+            out.append(F.when(~there, F.lit(f"missing:{path}")))
+        out.append(F.when(there & F.col(path).isNull(), F.lit(f"wrong_type:{path}")))
+        if isinstance(f.dataType, T.StructType):
+            out += [F.when(F.col(path).isNotNull(), c) for c in _field_checks(raw, f.dataType, f"{path}.")]
+    return out
+
+
 def validate_contract(bronze: DataFrame, raw_col: str = "_raw") -> DataFrame:
     """Per parsed event: ``violations`` (unknown field, unknown/missing event
-    type, unknown item, wrong type, corrupt) and ``out_of_range`` - a value
-    outside its alert band is flagged, never a violation by itself."""
-    vital_raw = F.from_json(F.from_json(F.col(raw_col), "map<string,string>")["vital"], "map<string,string>")
-    wrong_value_type = vital_raw["value"].isNotNull() & F.col("vital.value").isNull()
+    type, unknown item, missing required field, wrong type, corrupt) and
+    ``out_of_range`` - a value outside its alert band is flagged, never a
+    violation by itself. The raw text is parsed once, to a variant."""
     item = F.col("vital.itemid")
+    readable = F.col("_corrupt_record").isNull()
+    raw = F.try_parse_json(F.col(raw_col))
     checks = [
-        F.when(F.col("_corrupt_record").isNotNull(), F.lit("corrupt_record")),
+        F.when(~readable, F.lit("corrupt_record")),
         F.when(F.col("_rescued_data").isNotNull(), F.lit("unknown_field")),
         F.when(F.col("event_type").isNull(), F.lit("missing_event_type")),
         F.when(~F.col("event_type").isin(*ALLOWED_EVENT_TYPES), F.lit("unknown_event_type")),
         F.when(F.col("vital").isNotNull() & ~item.isin(*VITAL_ITEMS), F.lit("unknown_item")),
-        F.when(F.col("vital").isNotNull() & wrong_value_type, F.lit("wrong_type:vital.value")),
-        F.when(F.col("vital").isNotNull() & vital_raw["value"].isNull() & F.col("_corrupt_record").isNull(),
-               F.lit("missing:vital.value")),
+        *(F.when(readable, c) for c in _field_checks(raw, EVENT_SCHEMA, optional=OPTIONAL_FIELDS)),
     ]
     violations = F.array_sort(F.array_compact(F.array(*checks)))
     return bronze.withColumns(

@@ -87,19 +87,28 @@ def success_streak(approvals: DataFrame, allowed_tools: Sequence[str], needed: i
 
 
 def page_counts(log: DataFrame, window_minutes: int, threshold: int, tool: str = "notify_and_page") -> DataFrame:
-    """Alarm per evaluation time ``now`` (each ``window``-aligned boundary):
-    pages in ``[now - window, now)`` above ``threshold``."""
-    pages = log.filter(F.col("tool") == tool)
-    w = F.window("ts", f"{window_minutes} minutes")
-    return pages.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("pages")).select(
-        F.col("w.end").alias("evaluated_at"), "pages", (F.col("pages") > threshold).alias("alarm")
-    )
+    """The trailing alarm at each page: pages in ``[ts - window, ts]``, alarm
+    above ``threshold``. One row per page time.
+
+    Counts per instant are dealt to time segments as long as the window; each
+    segment also gets the one before it as look-back, so a running range frame
+    inside a segment sees its whole window and no task holds the entire log.
+    """
+    window = F.lit(window_minutes * 60_000_000).cast("long")
+    at = log.filter(F.col("tool") == tool).groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
+    at = at.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    own = F.floor(F.col("us") / window)
+    dealt = at.withColumn("segment", F.explode(F.array(own, own + 1))).withColumn("own", own)
+    trailing = Window.partitionBy("segment").orderBy("us").rangeBetween(-window_minutes * 60_000_000, 0)
+    seen = dealt.withColumn("pages", F.sum("n").over(trailing)).filter(F.col("segment") == F.col("own"))
+    return seen.select(F.col("ts").alias("evaluated_at"), "pages", (F.col("pages") > threshold).alias("alarm"))
 
 
 def page_storm_at(log: DataFrame, now: str, window_minutes: int = 60, threshold: int = 5, tool: str = "notify_and_page") -> DataFrame:
-    """The alarm at one instant: pages in the trailing window > threshold."""
+    """The alarm at one instant: pages since ``now - window`` (that instant
+    included) above the threshold. Pages after ``now`` are not in the log yet."""
     t = F.lit(now).cast("timestamp_ntz")
-    recent = log.filter((F.col("tool") == tool) & (F.col("ts") > t - F.expr(f"INTERVAL {window_minutes} MINUTES")) & (F.col("ts") <= t))
+    recent = log.filter((F.col("tool") == tool) & (F.col("ts") >= t - F.expr(f"INTERVAL {window_minutes} MINUTES")) & (F.col("ts") <= t))
     return recent.agg(F.count(F.lit(1)).alias("pages")).withColumn("alarm", F.col("pages") > threshold)
 
 

@@ -29,7 +29,7 @@ from tidepool.functions.text import (  # noqa: F401 - re-exported for callers of
 )
 from tidepool.functions.vectors import dot, unit
 
-MAX_VECTOR_QUERIES = 1_000
+VECTOR_BLOCK = 256
 
 def token_rows(df: DataFrame, id_col: str, text_col: str, out: str = "term") -> DataFrame:
     """The same tokens as ``tokens`` but as rows ``(id, term)`` (with
@@ -74,18 +74,14 @@ def centroids(vectors: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def cosine_topk(corpus: DataFrame, cid: str, vec: str, queries: DataFrame, qid: str, qvec: str, k: int) -> DataFrame:
-    """Exact top-k by cosine for a small query set. The queries are read
-    once (their number is checked against ``MAX_VECTOR_QUERIES``) and applied
-    to every corpus row as a constant array - a map over the corpus, no join."""
-    n = queries.count()
-    if n > MAX_VECTOR_QUERIES:
-        raise ValueError(f"{n} vector queries; at most {MAX_VECTOR_QUERIES} are applied as a constant")
-    rows = queries.select(qid, unit(F.col(qvec)).alias("u")).collect()
-    qarr = F.array(
-        *[F.struct(F.lit(r[qid]).alias("q"), F.array(*[F.lit(float(x)) for x in r["u"]]).alias("u")) for r in rows]
-    )
-    c = corpus.select(F.col(cid).alias("d"), unit(F.col(vec)).alias("v"))
-    sims = c.select("d", F.explode(F.transform(qarr, lambda q: F.struct(q["q"].alias("q"), dot(q["u"], F.col("v")).alias("sim")))).alias("s"))
+    """Exact top-k by cosine for any number of queries. The queries are dealt
+    into blocks of about ``VECTOR_BLOCK``, one row each; every corpus row meets
+    every block, and Spark keeps each partition's k best before the shuffle."""
+    blocks = max(1, -(-queries.count() // VECTOR_BLOCK))
+    asked = queries.select(F.struct(F.col(qid).alias("q"), unit(F.col(qvec)).alias("u")).alias("one"), F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("block"))
+    asked = asked.groupBy("block").agg(F.collect_list("one").alias("some"))
+    c = corpus.select(F.col(cid).alias("d"), unit(F.col(vec)).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    sims = c.join(asked, "block").select("d", F.explode(F.transform("some", lambda q: F.struct(q["q"].alias("q"), dot(q["u"], F.col("v")).alias("sim")))).alias("s"))
     scored = sims.select(F.col("s.q").alias("q"), "d", F.col("s.sim").alias("sim"))
     return top_k(scored, "q", [F.desc("sim"), F.asc("d")], k)
 
@@ -101,6 +97,30 @@ def rrf(lists: Sequence[DataFrame], group: str, item: str, k_const: int = 60, k:
     return top_k(fused, group, [F.desc("fused"), F.asc(item)], k)
 
 
+def _char_grams(word: Column) -> Column:
+    """The distinct runs of one, two and three characters of a word."""
+    starts = F.sequence(F.lit(1), F.length(word))
+
+    def runs(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(word, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
+def _short_candidates(short: DataFrame, words: DataFrame) -> DataFrame:
+    """(p, pt, d) for passages of one or two words, which a document may cut on
+    both sides: their longer word stands inside a word of the document. The
+    distinct words of all documents are searched by runs of characters, and
+    documents are reached through the words found."""
+    held = words.select("d", F.explode(F.array_distinct("w")).alias("word"))
+    grams = held.select("word").distinct().select("word", F.explode(_char_grams(F.col("word"))).alias("gram"))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    asked = short.select("p", "pt", longest.alias("own"))
+    asked = asked.withColumn("gram", F.substring("own", F.lit(1), F.least(F.lit(3), F.length("own"))))
+    found = asked.join(grams, "gram").filter(F.contains("word", "own")).select("p", "pt", "word")
+    return found.join(held, "word").select("p", "pt", "d")
+
+
 def passage_hits(passages: DataFrame, pid: str, ptext: str, docs: DataFrame, did: str, dtext: str, n: int = 4) -> DataFrame:
     """(passage, doc) where the doc contains the whole passage text.
 
@@ -108,9 +128,10 @@ def passage_hits(passages: DataFrame, pid: str, ptext: str, docs: DataFrame, did
     may be cut mid-word) occur in the doc as whole whitespace words, and so do
     its interior word n-grams. Each passage is keyed by one interior n-gram
     (or, with fewer than n + 2 words, one interior word) - the smallest by
-    hash - and joined to the docs' n-gram / word index; only those candidates
-    are verified with ``contains``. Passages of at most two words have no
-    interior word and are not matched by this operator.
+    hash - and joined to the docs' n-gram / word index. Passages of one or two
+    words have no interior and are found through the documents' vocabulary.
+    Only candidates are verified with ``contains``. A passage without a word
+    is no passage.
     """
     pw = passages.select(F.col(pid).alias("p"), F.col(ptext).alias("pt")).withColumn("w", words_of(F.col("pt")))
     pw = pw.withColumn("inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(1))))
@@ -121,6 +142,7 @@ def passage_hits(passages: DataFrame, pid: str, ptext: str, docs: DataFrame, did
     d = docs.select(F.col(did).alias("d"), F.col(dtext).alias("dt"))
     dw = d.select("d", words_of(F.col("dt")).alias("w"))
     index = dw.select("d", F.explode(F.array_distinct(F.concat(word_grams(F.col("w"), n), F.col("w")))).alias("gram"))
-    cand = keyed.join(index, "gram").select("p", "pt", "d").distinct()
+    short = pw.filter((F.size("w") >= 1) & (F.size("w") <= 2))
+    cand = keyed.join(index, "gram").select("p", "pt", "d").unionByName(_short_candidates(short, dw)).distinct()
     full = cand.join(d, "d")
     return full.filter(F.contains(F.col("dt"), F.col("pt"))).select(F.col("p").alias(pid), F.col("d").alias(did))

@@ -144,8 +144,9 @@ def q_success_streak(spark, sf_dir):
 
 @query(
     "page_storm",
-    PRE + """SELECT time_bucket(INTERVAL 60 MINUTE, ts) + INTERVAL 60 MINUTE AS evaluated_at, count(*) AS pages, count(*) > 5 AS alarm
-    FROM aud WHERE tool = 'notify_and_page' GROUP BY 1""",
+    PRE + """SELECT ts AS evaluated_at, CAST(p AS BIGINT) AS pages, p > 5 AS alarm
+    FROM (SELECT ts, sum(n) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS p
+          FROM (SELECT ts, count(*) AS n FROM aud WHERE tool = 'notify_and_page' GROUP BY ts) q) r""",
 )
 def q_page_storm(spark, sf_dir):
     return O.page_counts(audit(spark, sf_dir), 60, 5)

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidepool.contracts import ALERT_BANDS, ENCOUNTER_WATERMARK, EVENT_SCHEMA, VITALS_WATERMARK, contract_keys
@@ -67,13 +67,43 @@ def start_memory(df: DataFrame, name: str, mode: str = "append", checkpoint: str
     return w.start()
 
 
-def dropped_by_watermark(q: StreamingQuery) -> int:
-    """Rows the stateful operators dropped as too late, over all progress."""
-    total = 0
-    for p in q.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            total += (op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark)
-    return total
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that stateful operators drop as too late, query by
+    query, over every progress report (a query itself keeps only the last few).
+
+    ``with LateRows(spark) as late: ...; late.total(q)``
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.seen = spark, {}
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        # A batch may be reported again without new rows: its last report counts.
+        self.seen[str(p.runId), p.batchId] = max(
+            self.seen.get((str(p.runId), p.batchId), 0), sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        )
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self, q: StreamingQuery) -> int:
+        """Late rows of one run of a query, once its reports have come in."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(n for (run, _), n in self.seen.items() if run == str(q.runId))
 
 
 # ---------------------------------------------------------------------------

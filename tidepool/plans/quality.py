@@ -117,10 +117,12 @@ def _band_sql() -> str:
     "validate_contract",
     S.with_(S.EV)
     + f"""SELECT event_id,
-       CASE WHEN {_CORRUPT} THEN 'corrupt_record,missing_event_type'
-            WHEN {_RENAMED} THEN 'missing:vital.value,unknown_field'
-            WHEN {_EXTRA} THEN 'unknown_field' ELSE '' END AS violations,
-       NOT ({_CORRUPT} OR {_RENAMED} OR {_EXTRA}) AS is_valid,
+       CASE WHEN {_CORRUPT} THEN 'corrupt_record,missing_event_type' ELSE concat_ws(',',
+            -- the feed never sends the unit a patient is moved from
+            CASE WHEN raw_type = 'click' THEN 'missing:transfer.from_unit' END,
+            CASE WHEN {_RENAMED} THEN 'missing:vital.value' END,
+            CASE WHEN {_RENAMED} OR {_EXTRA} THEN 'unknown_field' END) END AS violations,
+       NOT ({_CORRUPT} OR {_RENAMED} OR {_EXTRA} OR raw_type = 'click') AS is_valid,
        CASE WHEN {_CORRUPT} OR {_RENAMED} THEN false ELSE {_band_sql()} END AS out_of_range
     FROM ev""",
 )

@@ -59,9 +59,8 @@ def test_deletion_neighbourhood_finds_every_close_pair(spark):
     a = spark.createDataFrame(rows, ADM)
     people = sorted(set((f"id{i:03d}", n.lower()) for i, n in enumerate(names)))
     want = {(x, y) for (x, nx), (y, ny) in __import__("itertools").combinations(people, 2) if 0 < _lev(nx, ny) <= 2}
-    for max_block in (0, 64):  # hot-block path (deletion neighbourhoods) and pairwise path
-        got = {(r.patient_id_a, r.patient_id_b) for r in I.fuzzy_duplicates(a, max_block=max_block).collect()}
-        assert got == want
+    got = {(r.patient_id_a, r.patient_id_b) for r in I.fuzzy_duplicates(a).collect()}
+    assert got == want
 
 
 def test_components_chain_and_person_map(spark):
@@ -87,3 +86,8 @@ def test_two_copies_are_not_false_alarms(spark):
     flagged = spark.createDataFrame([("b", "c")], "patient_id_a string, patient_id_b string")
     s = {r.kind: (r.planted, r.caught, r.missed) for r in I.score_checks(flagged, truth, comps).collect()}
     assert s["not_planted"][1] == 0 and s["k"] == (2, 0, 2)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)], "src string, dst string")
+    assert {r.component for r in I.connected_components(edges).collect()} == {"n0000"}

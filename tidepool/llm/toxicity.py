@@ -15,14 +15,14 @@ look frequent.
 
 The fit reads at most ``TRAIN_ROWS`` labelled rows (those whose id has the
 smallest hash; it is broadcast by id, 16 bytes a row) and runs as one task. It
-is cross-fitted: each quarter is scored with the dictionaries of the others to
-calibrate, and the final dictionaries come from all. Every document is scored
+is cross-fitted: each half is scored with the dictionaries of the other to
+calibrate, and the final dictionaries come from both. Every document is scored
 over its whole text, where it is read; nothing is shuffled but the fit's rows.
 
 Null, empty and odd rows: a null or empty text has no windows and gets the
 model's score for that; a null doc_id counts as the empty string in the folds;
 rows without a label, or with a null one, are not learnt from; if an id has
-several labels the largest holds. With fewer than four toxic or four ordinary
+several labels the largest holds. With fewer than two toxic or two ordinary
 rows to learn from, every score is 0. An empty table gives an empty result.
 """
 
@@ -42,11 +42,13 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import byte_slices, crc_mod
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
+#: The ordinary dictionary is trained on the windows of so many texts.
+PLAIN_TEXTS = 2_000
 WINDOW_WORDS = 8
 ORDINARY_BYTES = 60_000
 TOXIC_BYTES = 2_000
-FOLDS = 4
+FOLDS = 2
 GAINS = (2, 3, 4, 6)
 PIECE_BYTES = range(5, 13)
 STANDS_OUT = 20
@@ -79,11 +81,18 @@ def pieces(word: bytes) -> set[bytes]:
 
 
 def piece_counts(texts: list[bytes], of: set[bytes] | None = None) -> Counter:
-    """In how many (text, word) pairs each piece stands."""
+    """In how many (text, word) pairs each piece (``of`` these) stands."""
     words = Counter(w for t in texts for w in set(t.split()))
+    least = PIECE_BYTES[0]
+    cores = None if of is None else {p[a : a + least] for p in of for a in range(len(p) - least + 1)}
     counts: Counter = Counter()
-    for w, n in words.items():
-        for p in pieces(w) if of is None else pieces(w) & of:
+    for word, n in words.items():
+        if cores is None:
+            found = pieces(word)
+        else:  # a word without any of their shortest parts has none of the pieces
+            w = b" " + word
+            found = pieces(word) & of if any(w[a : a + least] in cores for a in range(len(w) - least + 1)) else ()
+        for p in found:
             counts[p] += n
     return counts
 
@@ -119,7 +128,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
                 parts.append((b" " + w)[min(a for a, _ in own) : max(b for _, b in own)])
         if parts:
             samples.append(b"".join(parts) + b" ")
-    plain = [w for t in ordinary for w in windows(t, 2 * WINDOW_WORDS)]
+    plain = [w for t in ordinary[:PLAIN_TEXTS] for w in windows(t, 2 * WINDOW_WORDS)]
     return train(plain, ORDINARY_BYTES), train(samples, TOXIC_BYTES) if samples else b""
 
 

@@ -107,8 +107,10 @@ def q_governed_where(spark, sf_dir):
 @query(
     "governed_aggregate",
     GOLD_CTES
-    + """SELECT unit, encounter_type, CASE WHEN c > 0 AND c < 11 THEN NULL ELSE v END AS value, COALESCE(c > 0 AND c < 11, false) AS suppressed
-    FROM (SELECT unit, encounter_type, count(*) AS v, count(DISTINCT patient_id) AS c FROM fct_encounters GROUP BY unit, encounter_type) q""",
+    + """SELECT unit, encounter_type, CASE WHEN c > 0 AND c < 11 THEN NULL ELSE v END AS value, COALESCE(c > 0 AND c < 11, false) AS suppressed,
+      count(*) OVER () > 500 AS truncated
+    FROM (SELECT unit, encounter_type, count(*) AS v, count(DISTINCT patient_id) AS c FROM fct_encounters GROUP BY unit, encounter_type) q
+    QUALIFY row_number() OVER (ORDER BY unit NULLS FIRST, encounter_type NULLS FIRST) <= 500""",
 )
 def q_governed_aggregate(spark, sf_dir):
     return GV.governed_aggregate(V.encounters_current(spark, sf_dir), "fct_encounters", "count", group_by=["unit", "encounter_type"])
@@ -117,9 +119,11 @@ def q_governed_aggregate(spark, sf_dir):
 @query(
     "suppress_small_cells",
     GOLD_CTES
-    + """SELECT attending_provider_id, CASE WHEN c > 0 AND c < 11 THEN NULL ELSE v END AS value, COALESCE(c > 0 AND c < 11, false) AS suppressed
+    + """SELECT attending_provider_id, CASE WHEN c > 0 AND c < 11 THEN NULL ELSE v END AS value, COALESCE(c > 0 AND c < 11, false) AS suppressed,
+      count(*) OVER () > 500 AS truncated
     FROM (SELECT attending_provider_id, count(DISTINCT patient_id) AS v, count(DISTINCT patient_id) AS c
-          FROM fct_encounter_history WHERE status = 'in-progress' GROUP BY attending_provider_id) q""",
+          FROM fct_encounter_history WHERE status = 'in-progress' GROUP BY attending_provider_id) q
+    QUALIFY row_number() OVER (ORDER BY attending_provider_id NULLS FIRST) <= 500""",
 )
 def q_suppress_small_cells(spark, sf_dir):
     return GV.governed_aggregate(

@@ -41,11 +41,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Fill in the defaults above where the running session leaves them unset."""
+    """Fill in the defaults above where the running session leaves them unset.
+    The time zone is no default: results are defined in UTC, so it is set."""
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
-    # Results and oracle parity assume UTC wall-clock arithmetic.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -54,14 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the launcher (a shared filesystem path) and is
-    used as is. Only when it is unset - local tests - is a scratch folder
-    created and registered.
+    used as is. Only in a local session may it be unset: a scratch folder is
+    created and registered then. Elsewhere executors could not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tidepool-ckpt-", dir=os.environ.get("TIDEPOOL_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

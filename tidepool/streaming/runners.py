@@ -113,12 +113,12 @@ class ScdMerger:
     """``foreachBatch`` sink keeping SCD1 and SCD2 tables equal to the batch
     result for any arrival order.
 
-    Each micro-batch is appended to the change log (keyed by batch id, so a
-    replayed batch overwrites itself), then the keys it touched are
-    re-derived from the whole log and their buckets of the target tables are
-    rewritten (dynamic partition overwrite by ``pmod(hash(key), buckets)``).
-    Late, out-of-order changes are therefore inserted into history, not
-    appended.
+    Each micro-batch is appended to the change log, which is partitioned by
+    bucket (a hash of the key) and batch id, so a replayed batch overwrites
+    itself. The buckets it touched - and no other part of the log - are read
+    again, and their partitions of the target tables are rewritten. Late,
+    out-of-order changes are therefore inserted into history, not appended.
+    ``buckets`` sets how much of the log a key shares a partition with.
     """
 
     def __init__(self, root: str, key: str = "encounter_id", sequence: str = "event_ts", tiebreak: str = "event_id",
@@ -132,18 +132,22 @@ class ScdMerger:
     def _bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.hash(F.col(self.key)), F.lit(self.buckets)))
 
+    def _replace(self, df: DataFrame, path: str, *partitions: str) -> None:
+        out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("bucket", *partitions).parquet(path)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         cols = [self.key, self.seq, self.tie, *[c for c in self.columns if c not in (self.key,)]]
-        changes = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(batch_id))
-        changes.write.mode("overwrite").partitionBy("batch_id").parquet(self.log)
-        touched = changes.select("bucket").distinct()
-        log = spark.read.parquet(self.log).join(touched, "bucket", "left_semi")
+        changes = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(batch_id)).persist()
+        self._replace(changes, self.log, "batch_id")
+        touched = [r.bucket for r in changes.select("bucket").distinct().collect()]  # at most ``buckets``
+        changes.unpersist()
+        log = spark.read.parquet(self.log).filter(F.col("bucket").isin(touched))
         s1 = cdc.scd1_partial(log, [self.key], self.seq, self.columns, self.tie)
-        s2 = cdc.scd2_history(log, [self.key], self.seq, self.columns, self.tie, "valid_from", "valid_to", segment=None)
-        self._bucket(s1).write.mode("overwrite").partitionBy("bucket").parquet(self.scd1)
-        self._bucket(s2).write.mode("overwrite").partitionBy("bucket").parquet(self.scd2)
+        s2 = cdc.scd2_history(log, [self.key], self.seq, self.columns, self.tie, "valid_from", "valid_to")
+        self._replace(self._bucket(s1), self.scd1)
+        self._replace(self._bucket(s2), self.scd2)
 
     def start(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -168,25 +172,17 @@ def alert_cooldown_stream(alerts: DataFrame, hours: int = 24) -> DataFrame:
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         last = pd.Timestamp(last) if last is not None else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values("ts", kind="mergesort")
-            sent = []
-            for t in pdf["ts"]:
-                t = pd.Timestamp(t)
-                ok = last is None or t - last >= gap
-                sent.append(ok)
-                if ok:
-                    last = t
-            yield pd.DataFrame({"fingerprint": pdf["fingerprint"].to_numpy(), "ts": pdf["ts"].to_numpy(), "sent": sent})
+        # A large group arrives in several chunks; only all of them have an order.
+        pdf = pd.concat(list(pdfs)).sort_values("ts", kind="mergesort")
+        sent = []
+        for t in map(pd.Timestamp, pdf["ts"]):
+            sent.append(last is None or t - last >= gap)
+            if sent[-1]:
+                last = t
+        yield pd.DataFrame({"fingerprint": pdf["fingerprint"].to_numpy(), "ts": pdf["ts"].to_numpy(), "sent": sent})
         if last is not None:
             state.update((last.to_pydatetime(),))
 
     return alerts.groupBy("fingerprint").applyInPandasWithState(
         step, COOLDOWN_OUT, COOLDOWN_STATE, "append", GroupStateTimeout.NoTimeout
     )
-
-
-def land_lines(spark: SparkSession, lines: DataFrame, folder: str, files: int = 1) -> None:
-    """Write text lines as new files into a landing folder (test helper for
-    the file source)."""
-    lines.repartition(files).write.mode("append").text(folder)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.operators.quantiles import quantiles
+
 
 def flag_rates(scored: DataFrame) -> DataFrame:
     return scored.groupBy("set", "detector").agg(F.round(F.avg(F.col("flag").cast("double")), 6).alias("flag_rate"))
@@ -64,18 +66,13 @@ def matched_threshold(scored: DataFrame, reference: str, models: Sequence[str],
     stable flag rate) (linear interpolation); recall per positive set = share
     with score > threshold; reported recall = mean over positive sets.
 
-    The reference rate is one scalar, read with a single aggregate before the
-    per-model jobs are planned (a percentile fraction must be a constant).
+    The reference rate is a scalar subquery, so no job runs while planning.
     """
-    target = (
-        scored.filter((F.col("detector") == reference) & (F.col("set") == stable_set))
-        .agg(F.avg(F.col("flag").cast("double")).alias("t"))
-        .first()["t"]
-    )
+    of_reference = scored.filter((F.col("detector") == reference) & (F.col("set") == stable_set))
+    rate = of_reference.agg(F.avg(F.col("flag").cast("double")).alias("t"))
     m = scored.filter(F.col("detector").isin(*models))
-    thr = m.filter(F.col("set") == stable_set).groupBy("detector").agg(
-        F.percentile("score", F.lit(1 - target)).alias("score_threshold")
-    )
+    stable = m.filter(F.col("set") == stable_set).withColumn("rate", rate.scalar())
+    thr = quantiles(stable, ["detector"], "score", {"score_threshold": 1 - F.col("rate")})
     per_set = (
         m.filter(F.col("label") == 1)
         .join(thr, "detector")
@@ -84,7 +81,7 @@ def matched_threshold(scored: DataFrame, reference: str, models: Sequence[str],
     )
     rec = per_set.groupBy("detector").agg(F.round(F.avg("r"), 6).alias("recall"))
     return thr.join(rec, "detector").select(
-        "detector", F.lit(round(target, 6)).alias("stable_false_positive_rate"),
+        "detector", F.round(rate.scalar(), 6).alias("stable_false_positive_rate"),
         F.round("score_threshold", 6).alias("score_threshold"), "recall",
     )
 
@@ -105,7 +102,7 @@ def promote(matched: DataFrame, reference_recall: float) -> DataFrame:
 def threshold_at(scored: DataFrame, detector: str, stable_set: str, fpr: float) -> DataFrame:
     """Quantile of a detector's stable scores at 1 - fpr (one value)."""
     s = scored.filter((F.col("detector") == detector) & (F.col("set") == stable_set))
-    return s.agg(F.percentile("score", F.lit(1 - fpr)).alias("score_threshold"))
+    return quantiles(s, [], "score", {"score_threshold": 1 - fpr})
 
 
 def recall_above(scored: DataFrame, detector: str, threshold: float) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidepool.operators.quantiles import quantiles
+
 TREE_SCHEMA = "tree_id int, psi int, nodes string"
 
 
@@ -121,4 +123,4 @@ def score_column(trees: DataFrame, features: Sequence[str]) -> Column:
 
 def threshold(scored: DataFrame, score_col: str, contamination: float) -> float:
     """Score above which the training rows' top ``contamination`` share lies."""
-    return float(scored.agg(F.percentile(score_col, F.lit(1 - contamination)).alias("t")).first()["t"])
+    return float(quantiles(scored, [], score_col, {"t": 1 - contamination}).first()["t"])

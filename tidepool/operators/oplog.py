@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.operators.quantiles import quantiles
+
 ANALYST_TOOLS = ("ask_genie", "compute_metric", "aggregate_gold_table", "query_gold_table")
 AUDIT_SCHEMA = T.StructType(
     [
@@ -67,11 +69,9 @@ def approval_stats(approvals: DataFrame, since: str, until: str) -> DataFrame:
     )
     minutes = (F.unix_micros(F.col("decided_at").cast("timestamp")) - F.unix_micros(F.col("requested_at").cast("timestamp"))) / 6e7
     decided = F.col("decided_at").isNotNull() & F.col("status").isin("executed", "failed", "rejected")
-    return w.groupBy("status").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("decided_by").alias("approvers"),
-        F.round(F.median(F.when(decided, minutes)), 6).alias("median_decision_minutes"),
-    )
+    typical = quantiles(w.withColumn("minutes", F.when(decided, minutes)), ["status"], "minutes", {"half": 0.5})
+    counts = w.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("decided_by").alias("approvers"))
+    return counts.join(typical, "status", "left").select("status", "n", "approvers", F.round("half", 6).alias("median_decision_minutes"))
 
 
 def success_streak(approvals: DataFrame, allowed_tools: Sequence[str], needed: int = 10) -> DataFrame:

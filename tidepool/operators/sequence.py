@@ -123,11 +123,12 @@ def sum_before(
     return local.join(carry, part, "left").withColumn(alias, F.col(alias) + F.col("__in")).drop("__in")
 
 
-def range_segment(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 1024, alias: str = "__segment") -> DataFrame:
-    """Equal-width bucket of ``value`` within each key's [min, max] (one
-    small aggregate joined back on the key)."""
+def range_segment(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64, alias: str = "__segment") -> DataFrame:
+    """Segment of ``value`` among its key's approximate quantiles (a bounded
+    sketch per key, partially combined): every segment holds about as many
+    rows, wherever the values lie. Non-decreasing along ``value``."""
     keys = list(keys)
-    mm = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    width = F.col("__hi") - F.col("__lo")
-    b = F.when(width > 0, F.floor((F.col(value) - F.col("__lo")) / width * buckets)).otherwise(F.lit(0))
-    return df.join(mm, keys).withColumn(alias, F.least(b, F.lit(buckets - 1)).cast("long")).drop("__lo", "__hi")
+    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)
+    bounds = df.groupBy(*keys).agg(cuts.alias("__cuts"))
+    below = F.aggregate("__cuts", F.lit(0).cast("long"), lambda n, c: n + F.when(c < F.col(value), 1).otherwise(0))
+    return df.join(bounds, keys, "left").withColumn(alias, F.coalesce(below, F.lit(0).cast("long"))).drop("__cuts")

@@ -55,8 +55,8 @@ STEPS = 32
 STREAMS = 128
 ONE_IN = 50
 LEAST_DOCS = 2_000
-SHARE_DOCS = 2_000
-ROUNDS = 6
+SHARE_DOCS = 400
+ROUNDS = 5
 RATE = 0.01
 BROADCAST_WORDS = 200_000
 COUNT_FLUSH = 400_000

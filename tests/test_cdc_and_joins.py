@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidepool.operators import cdc
-from tidepool.operators.joins import asof_interval_join, interval_join_by_residual
+from tidepool.operators.joins import asof_interval_join
 from tidepool.operators.sequence import carry_forward
 
 SCHEMA = "encounter_id string, event_id string, event_ts timestamp_ntz, unit string, status string"
@@ -86,7 +86,11 @@ def test_asof_join_equals_residual_join_on_random_histories(spark):
     h = cdc.scd2_history(h.withColumn("tie", F.col("val")), ["k"], "ts", ["val"], "tie", "f", "to", segment="hour")
     r = spark.createDataFrame(reads, "k string, rid int, t long").withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
     a = asof_interval_join(r, h, "k", "ts", "k", "f", "to", ["val"], segment="hour")
-    b = interval_join_by_residual(r.alias("r"), h.alias("h"), F.col("r.k") == F.col("h.k"), F.col("r.ts"), F.col("h.f"), F.col("h.to"))
+    b = r.alias("r").join(
+        h.alias("h"),
+        (F.col("r.k") == F.col("h.k")) & (F.col("r.ts") >= F.col("h.f")) & (F.col("h.to").isNull() | (F.col("r.ts") < F.col("h.to"))),
+        "left",
+    )
     sa = sorted((x.k, x.rid, x.val) for x in a.collect())
     sb = sorted((x[0], x[1], x["val"]) for x in b.select("r.k", "r.rid", "h.val").collect())
     assert sa == sb

@@ -86,15 +86,6 @@ def asof_interval_join(
     )
 
 
-def interval_join_by_residual(
-    left: DataFrame, right: DataFrame, cond_key: Column, left_ts: Column, valid_from: Column, valid_to: Column
-) -> DataFrame:
-    """Plain equi-join + range residual (the textbook form; used as a
-    cross-check in tests and for bounded right sides)."""
-    cond = cond_key & (left_ts >= valid_from) & (valid_to.isNull() | (left_ts < valid_to))
-    return left.join(right, cond, "left")
-
-
 def blocked_self_join(
     df: DataFrame, block: str, id_col: str, columns: Sequence[str], residual: Column | None = None
 ) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,28 +111,6 @@ def page_storm_at(log: DataFrame, now: str, window_minutes: int = 60, threshold:
     return recent.agg(F.count(F.lit(1)).alias("pages")).withColumn("alarm", F.col("pages") > threshold)
 
 
-COOLDOWN_SCHEMA = "fingerprint string, ts timestamp_ntz, sent boolean"
-
-
-def alert_cooldown_by_group(alerts: DataFrame, hours: int = 24) -> DataFrame:
-    """Reference form of the cool-down chain: one pandas group per
-    fingerprint (used to cross-check ``alert_cooldown`` on small data)."""
-    gap = pd.Timedelta(hours=hours)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="mergesort")
-        ts = pdf["ts"].to_numpy()
-        sent = [False] * len(ts)
-        last = None
-        for i, t in enumerate(ts):
-            if last is None or t - last >= gap:
-                sent[i] = True
-                last = t
-        return pd.DataFrame({"fingerprint": pdf["fingerprint"].to_numpy(), "ts": ts, "sent": sent})
-
-    return alerts.select("fingerprint", "ts").groupBy("fingerprint").applyInPandas(chain, COOLDOWN_SCHEMA)
-
-
 def alert_cooldown(alerts: DataFrame, hours: int = 24, segment_hours: int = 24) -> DataFrame:
     """Per fingerprint, an alert is sent only when at least ``hours`` passed
     since the last *sent* one.

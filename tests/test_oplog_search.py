@@ -138,3 +138,22 @@ def test_more_vector_queries_than_a_block(spark, monkeypatch):
     for r in q.collect():
         best[r.qid] = max((sum(a * b for a, b in zip(unit(r.vec), unit(v))), -i) for i, v in vecs)
     assert len(got) == 2200 and all(r.d == -best[r.q][1] for r in got if r["rank"] == 1)
+
+
+def test_breakdown_of_outputs(spark):
+    t = lambda m: T0 + timedelta(minutes=m)
+    calls = [
+        ("r1", "da", "lookup_problem", '{"matches": [{"id": "B1"}, {"id": "B2"}]}'), ("r1", "da", "ask_genie", '{"withheld": "yes"}'),
+        ("r2", "da", "lookup_problem", '{"matches": []}'), ("r2", "da", "other", '{"refused": true, "suppressed_groups": 2}'),
+        ("r3", "health", "notify_and_page", "<untrusted_data> {}"), ("r4", "health", "restart_pipeline", '{"pending_approval": true}'),
+        ("r5", "approval", "notify_and_page", '{"refused": true}'), ("r6", "health", "x", '{"guardrails": {"suppressed_cells": 1}, "refused": false}'),
+        (None, "health", "x", None),
+    ]
+    df = spark.createDataFrame([(t(i), *c) for i, c in enumerate(calls)], "ts timestamp_ntz, request_id string, mode string, tool string, output string")
+    got = {(r.section, r.name): r.n for r in O.audit_breakdown(df, "2026-01-01", "2026-01-02").collect()}
+    assert got == {
+        ("answer_source", "ask_genie"): 1, ("answer_source", "no data tool"): 1, ("problem", "B1"): 1,
+        ("safety_event", "identifier requests refused"): 1, ("safety_event", "results withheld (SQL outside Gold)"): 1,
+        ("safety_event", "answers with small groups suppressed"): 2, ("safety_event", "untrusted text wrapped"): 1,
+        ("share", "handled without a person"): 0.667,
+    }

@@ -9,6 +9,7 @@ success"), so no per-key window has to hold a hot key in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,64 @@ def audit_rollup(audit: DataFrame, since: str, until: str) -> DataFrame:
     )
 
 
+#: Name of each safety event, and the test of a call's output that tells it
+#: (fixed values of the report).
+SAFETY_EVENTS = {
+    "identifier requests refused": "refused",
+    "results withheld (SQL outside Gold)": "withheld",
+    "answers with small groups suppressed": "suppressed",
+    "untrusted text wrapped": "wrapped",
+}
+
+
+def _truthy(out: Column, path: str) -> Column:
+    """Whether a JSON value counts as yes: there, and not null, false, zero or empty."""
+    text = F.try_variant_get(out, path, "string")
+    return F.coalesce(~text.isin("", "false", "0", "0.0", "[]", "{}"), F.lit(False))
+
+
+def audit_breakdown(audit: DataFrame, since: str, until: str) -> DataFrame:
+    """(section, name, n) of a half-open window, approval mode left out:
+    ``answer_source`` - first analyst tool of each analyst request, problem ids
+    looked up, and ``safety_event`` - calls whose output says so. Plus the share
+    of requests handled without a person as section ``share``."""
+    w = audit.filter((F.col("ts") >= F.lit(since).cast("timestamp_ntz")) & (F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+    w = w.filter(F.coalesce(F.col("mode"), F.lit("")) != "approval")
+    w = w.withColumn("request", F.coalesce("request_id", F.concat(F.lit("untracked_"), F.col("ts").cast("string"))))
+    w = w.withColumn("out", F.try_parse_json("output"))
+    rank = F.struct("ts", "tool")
+    per = w.groupBy("request").agg(
+        F.min_by(F.coalesce("mode", F.lit("unknown")), rank).alias("mode"),
+        F.min_by("tool", F.when(F.col("tool").isin(*ANALYST_TOOLS), rank)).alias("source"),
+        F.bool_or((F.col("tool") == "notify_and_page") | _truthy(F.col("out"), "$.pending_approval")).alias("person"),
+    )
+    sources = per.filter("mode = 'da'").groupBy(F.coalesce("source", F.lit("no data tool")).alias("name")).count()
+    problem = F.try_variant_get("out", "$.matches[0].id", "string")
+    problems = w.filter(F.col("tool") == "lookup_problem").select(problem.alias("name")).filter("name IS NOT NULL").groupBy("name").count()
+    tests = {
+        "refused": _truthy(F.col("out"), "$.refused"),
+        "withheld": _truthy(F.col("out"), "$.withheld"),
+        "suppressed": _truthy(F.col("out"), "$.suppressed_groups") | _truthy(F.col("out"), "$.guardrails.suppressed_cells"),
+        "wrapped": F.startswith(F.coalesce("output", F.lit("")), F.lit("<untrusted_data>")),
+    }
+    found = F.array_compact(F.array(*(F.when(tests[t], F.lit(name)) for name, t in SAFETY_EVENTS.items())))
+    safety = w.select(F.explode(found).alias("name")).groupBy("name").count()
+    share = per.agg(F.round(1 - F.avg(F.col("person").cast("int")), 3).alias("n"))
+    parts = [
+        df.select(F.lit(section).alias("section"), "name", F.col("count").cast("double").alias("n"))
+        for section, df in (("answer_source", sources), ("problem", problems), ("safety_event", safety))
+    ]
+    parts.append(share.select(F.lit("share").alias("section"), F.lit("handled without a person").alias("name"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def approver_counts(approvals: DataFrame, since: str, until: str) -> DataFrame:
+    """Decisions per person on the approvals requested in a half-open window."""
+    asked = F.col("requested_at")
+    w = approvals.filter((asked >= F.lit(since).cast("timestamp_ntz")) & (asked < F.lit(until).cast("timestamp_ntz")))
+    return w.filter(F.coalesce("decided_by", F.lit("")) != "").groupBy("decided_by").agg(F.count("*").alias("n"))
+
+
 def approval_stats(approvals: DataFrame, since: str, until: str) -> DataFrame:
     """Outcomes in a half-open window: count, approvers, median decision minutes."""
     w = approvals.filter(

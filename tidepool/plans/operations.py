@@ -119,6 +119,33 @@ def q_audit_rollup(spark, sf_dir):
     return O.audit_rollup(audit(spark, sf_dir), SINCE, UNTIL)
 
 
+@query(
+    "audit_breakdown",
+    PRE + f"""SELECT 'answer_source' AS section, coalesce(src, 'no data tool') AS name, CAST(count(*) AS DOUBLE) AS n
+      FROM (SELECT request_id, arg_min(mode, (ts, tool)) AS mode,
+              arg_min(tool, (ts, tool)) FILTER (WHERE tool IN ('ask_genie', 'compute_metric', 'aggregate_gold_table', 'query_gold_table')) AS src
+            FROM aud WHERE ts >= TIMESTAMP '{SINCE}' AND ts < TIMESTAMP '{UNTIL}' GROUP BY request_id) q WHERE mode = 'da' GROUP BY 2
+    UNION ALL
+    SELECT 'problem', 'P' || CAST(k % 20 AS VARCHAR), CAST(count(*) AS DOUBLE) FROM aud
+      WHERE tool = 'lookup_problem' AND ts >= TIMESTAMP '{SINCE}' AND ts < TIMESTAMP '{UNTIL}' GROUP BY 2
+    UNION ALL
+    SELECT 'share', 'handled without a person', round(1 - avg(CASE WHEN person THEN 1 ELSE 0 END), 3)
+      FROM (SELECT bool_or(tool IN ('notify_and_page', 'restart_pipeline')) AS person
+            FROM aud WHERE ts >= TIMESTAMP '{SINCE}' AND ts < TIMESTAMP '{UNTIL}' GROUP BY request_id) q""",
+)
+def q_audit_breakdown(spark, sf_dir):
+    return O.audit_breakdown(audit(spark, sf_dir), SINCE, UNTIL)
+
+
+@query(
+    "approver_counts",
+    PRE + f"""SELECT decided_by, count(*) AS n FROM apr WHERE decided_by IS NOT NULL
+      AND requested_at >= TIMESTAMP '{SINCE}' AND requested_at < TIMESTAMP '{UNTIL}' GROUP BY decided_by""",
+)
+def q_approver_counts(spark, sf_dir):
+    return O.approver_counts(approvals(spark, sf_dir), SINCE, UNTIL)
+
+
 @query(
     "approval_stats",
     PRE + f"""SELECT status, count(*) AS n, count(DISTINCT decided_by) AS approvers,

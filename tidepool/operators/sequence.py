@@ -90,11 +90,19 @@ def next_value(
 
 
 def running_max_before(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alias: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alias: str, segment: str
 ) -> DataFrame:
-    """``alias`` = max of ``value`` over the strictly earlier rows of the key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(alias, F.max(value).over(w))
+    """``alias`` = max of ``value`` over the strictly earlier rows of the key.
+    The running max runs per (key, ``segment``), a column that is non-decreasing
+    along ``order``; the maxima of earlier segments come from a summary of one
+    row per segment."""
+    part = [*keys, segment]
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn(alias, F.max(value).over(inside))
+    tops = df.groupBy(*part).agg(F.max(value).alias("__top"))
+    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(*part, F.max("__top").over(before).alias("__in"))
+    return local.join(carry, part).withColumn(alias, F.greatest(alias, "__in")).drop("__in")
 
 
 def sum_before(

@@ -288,10 +288,24 @@ def q_replay_decisions(spark, sf_dir):
 
 @query(
     "validate_decisions",
-    _with_recursive(CHECKS_SQL + DECISIONS_SQL + "SELECT patient_ids AS key, true AS is_valid, '' AS problems FROM decisions"),
+    _with_recursive(
+        CHECKS_SQL + DECISIONS_SQL + """, spoilt AS (
+      SELECT right(patient_ids, 1) AS d, CASE right(patient_ids, 1) WHEN '2' THEN patient_ids || ' , pt_0' WHEN '3' THEN replace(patient_ids, 'pt_', 'x')
+        ELSE patient_ids END AS ids FROM decisions)
+    SELECT array_to_string(list_sort(string_split(replace(ids, ' ', ''), ',')), ',') AS key, d NOT IN ('0', '1', '2', '3') AS is_valid,
+      CASE d WHEN '0' THEN 'unknown decision' WHEN '1' THEN 'missing decider' WHEN '2' THEN 'needs one or two ids' WHEN '3' THEN 'bad id prefix' ELSE '' END AS problems
+    FROM spoilt"""
+    ),
 )
 def q_validate_decisions(spark, sf_dir):
-    v = I.validate_decisions(decisions(spark, sf_dir))
+    """Decisions with a fault for four of ten last digits of their ids."""
+    last, ids = F.right("patient_ids", F.lit(1)), F.col("patient_ids")
+    spoilt = decisions(spark, sf_dir).select(
+        F.when(last == "2", F.concat(ids, F.lit(" , pt_0"))).when(last == "3", F.replace(ids, F.lit("pt_"), F.lit("x"))).otherwise(ids).alias("patient_ids"),
+        F.when(last == "0", "maybe").otherwise(F.col("decision")).alias("decision"),
+        F.when(last == "1", "  ").otherwise(F.col("decided_by")).alias("decided_by"),
+    )
+    v = I.validate_decisions(spoilt)
     return v.select("key", "is_valid", F.array_join("problems", ",").alias("problems"))
 
 

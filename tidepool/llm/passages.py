@@ -73,12 +73,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("row_key"), text.alias("text"))
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: lists as Python objects take many times their size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """doc_id, row_key and the text compressed: half the shuffle of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, "text")):
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
             body = pa.array([squeeze.compress(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), body], ["doc_id", "row_key", "body"])
@@ -157,7 +164,7 @@ def cut_texts(held: DataFrame, kind: Kind) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_up = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, body, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "wanted"))):
                 parts = kind.parts(open_up.decompress(body))
@@ -222,11 +229,12 @@ def removed_spans(rows: DataFrame, bodies: DataFrame, kind: Kind, rule: Rule) ->
     full = contents.where(~few)
     if not full.isEmpty():
         found = found.unionByName(within_full(cut_texts(with_text(full, bodies), kind), kind, rule))
-    found = found.withColumnsRenamed({"choice": "c", "content": "t"})
-    verdict = contents.join(found, (F.col("choice") == F.col("c")) & (F.col("content") == F.col("t")), "left").select(
-        F.col("choice").alias("c"), F.col("content").alias("t"), "n", F.col("holder.doc_id").alias("owner"), "spans"
+    known = contents.select("choice", "content", "n", F.col("holder.doc_id").alias("owner"))
+    verdict = stage_table(
+        known.unionByName(found, allowMissingColumns=True)
+        .groupBy(F.col("choice").alias("c"), F.col("content").alias("t"))
+        .agg(F.max("n").alias("n"), F.max("owner").alias("owner"), F.first("spans", ignorenulls=True).alias("spans"))
     )
-    verdict = stage_table(verdict)
     first, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
     whole = F.array(F.struct(first.alias("from"), (first + more + kind.window).alias("until"))).cast(SPANS)
     some = F.transform(
@@ -256,7 +264,7 @@ def map_kept(bodies: DataFrame, gone: DataFrame, row_of: Callable, names: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_up = zstandard.ZstdDecompressor()
         fields = None
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [row_of(open_up.decompress(b), s) for b, s in zip(batch.column("body").to_pylist(), batch.column("gone").to_pylist())]
             columns = list(zip(*rows)) or [()] * len(names)
             fields = fields or [pa.string() if f"{n} string" in schema else pa.int64() for n in names]

@@ -26,6 +26,14 @@ def test_word_ids_equal_whole_text_ids():
         assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr("tidepool.llm.packing.CACHE_WORDS", 6)
+    words, whole = WordIds(tokenizer_path()), tokenizer()
+    for k in range(12):
+        text = f"the a{k} b{k}, The c{k % 3}"
+        assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("total", [1, 2, 3, 2047, 2048, 2049, 5000])
 def test_pieces_are_powers_of_two_without_gaps(total):
     got = list(cut(total))

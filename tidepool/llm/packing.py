@@ -16,6 +16,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ from tidepool.llm.common import byte_slices
 SEQUENCE = 2048
 END_ID = 1
 END = END_ID.to_bytes(4, "little")
-#: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers before it forgets those met in one batch only.
+CACHE_WORDS = 800_000
 
 
 class WordIds:
@@ -46,35 +47,61 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.seen: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        self.once: set[bytes] = set()  # remembered, but met in one batch only
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of Latin letters alone are one token run each,
+        which ends where a token ends a word, so many are encoded as one text."""
+        plain = [i for i, w in enumerate(words) if _LATIN.fullmatch(w)]
+        rest = [i for i, w in enumerate(words) if not _LATIN.fullmatch(w)]
+        out = [b""] * len(words)
+        encode = self.tokenizer.encode_batch_fast
+        for i, e in zip(rest, encode([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        groups = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
+        for own, e in zip(groups, encode([" ".join([words[i] for i in own]) for own in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(own, (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist(), strict=True):
+                out[i] = raw[start:end]
+                start = end
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
         """A comma or full stop right after an ASCII letter is a token of its
         own, so ``word,`` has the ids of ``word`` and those of ``,``."""
         ended = {w for w in words if len(w) > 1 and w[-1] in b".," and (w[-2] | 32) in _LETTERS}
         new = list(((words - ended) | {w[:-1] for w in ended} | {b".", b","}) - self.seen.keys())
-        self.seen.update(zip(new, self._ids(new)))
+        self.seen.update(zip(new, self._ids([w.decode() for w in new])))
         for w in ended:
             self.seen[w] = self.seen[w[:-1]] + self.seen[w[-1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, then the end id."""
-        split = [t.split() for t in texts]
+        # The vocabulary has no capitals; only a special token's name must be left as it is.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = {w for own in split for w in own}
+        self.once -= words
         new = words - self.seen.keys()
         if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen.clear()
-            new = words
+            for w in self.once:
+                self.seen.pop(w, None)
+            self.once.clear()
+            if len(self.seen) + len(new) > CACHE_WORDS:
+                self.seen.clear()
+                new = words
         if new:
             self._learn(new)
+            self.once |= new
         get = self.seen.__getitem__
         return [b"".join(map(get, own)) + END for own in split]
 
 
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -100,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE, with_ids
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer_path)
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", 2 << 20):
                 texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
                 rows: list[list] = [[], [], [], [], []]
                 ids: list[np.ndarray] = []

@@ -61,8 +61,8 @@ RATE = 0.01
 BROADCAST_WORDS = 200_000
 COUNT_FLUSH = 400_000
 SHAPE_CACHE = 400_000
-SCORE_BYTES = 12 << 20
-SCORE_DOCS = 2_048
+SCORE_BYTES = 6 << 20
+SCORE_DOCS = 1_024
 
 _TAIL = re.compile(rb"[!-/:-@\[-`{-~]*$")
 

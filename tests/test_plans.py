@@ -18,9 +18,9 @@ def plan_of(df) -> str:
 
 
 def _keys():
-    from __spark_entry__ import queries
+    from tidepool.plans import catalog
 
-    return sorted(queries())
+    return sorted(catalog.queries())
 
 
 @pytest.mark.parametrize("key", _keys())

@@ -48,12 +48,12 @@ from tidepool.llm.passages import stage_table
 END = "\n"  # no word holds white space
 TOP = 2048
 MEMBERS = 32
-SUFFIXES = 32
+SUFFIXES = 16
 SHAPES = 4 * SUFFIXES
-HIDDEN = 32
+HIDDEN = 24
 STEPS = 32
 STREAMS = 128
-ONE_IN = 50
+ONE_IN = 100
 LEAST_DOCS = 2_000
 SHARE_DOCS = 400
 ROUNDS = 5
@@ -351,6 +351,8 @@ def train(sample: DataFrame, net: dict, rounds: int = ROUNDS) -> dict:
     shares = sample.agg(F.max("share")).first()[0]
     if shares is None:
         return net
+    # As many partitions as asked for: adaptive execution would learn share after share in one task.
+    sample = sample.repartition(4 * (shares + 1), "share")
     for turn in range(rounds):
         learnt = sample.groupBy("share").applyInPandas(_one_share(net, RATE * (1 - turn / rounds) + 1e-3, turn), schema)
         left = shares

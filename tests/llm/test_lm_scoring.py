@@ -93,6 +93,19 @@ def test_base_score_and_counts(spark, monkeypatch, broadcast, flush):
     assert all(r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("least,parts", [(10, 5), (50, 2), (2_000, 1)])
+def test_the_network_learns_from_every_training_document(spark, monkeypatch, least, parts):
+    monkeypatch.setattr(L, "LEAST_DOCS", least)
+    monkeypatch.setattr(L, "SHARE_DOCS", 20)
+    seen = []
+    monkeypatch.setattr(L, "train", lambda dealt, net: seen.extend(dealt.collect()) or net)
+    docs = corpus()
+    L.score(spark.createDataFrame(docs, "doc_id long, text string"))
+    training = [t for d, t in docs if zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 1]
+    assert sorted(len(r["ids"]) // 2 for r in seen) == sorted(len(tokens(t)) for t in training)
+    assert {r["part"] for r in seen} == set(range(parts))  # a part for each round: all are read
+
+
 def test_held_out_documents_score_above_the_base(spark):
     docs = [(d, t) for d, t in corpus() if d is not None and t and len(t.split()) > 20]
     got = [r for r in L.score(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["held_out"]]

@@ -13,9 +13,11 @@ class, sum to 1.
 1. All training tokens are counted (partial counts per task, then a shuffle by
    word). What the corpus gives grows with it: N, V, the counts, the classes.
 2. The network learns by truncated backpropagation over windows of ``STEPS``
-   tokens from one training document in ``ONE_IN``, but at least
-   ``LEAST_DOCS``; shares of ``SHARE_DOCS`` documents are learnt from side by
-   side, and the weights are averaged after each round.
+   tokens from all training documents. They are dealt into a part for each of
+   ``ROUNDS`` rounds and into shares of some ``SHARE_DOCS``; the shares of a
+   part are learnt from side by side and the weights averaged after the round,
+   so all rounds are one pass over everything. A corpus that would leave a
+   part fewer than ``LEAST_DOCS`` has fewer parts, read more than once.
 3. Every document is scored where it is read: documents go through the network
    in step, longest first, and each one's state is carried from window to
    window to its end. The counts of the ``BROADCAST_WORDS`` most frequent words
@@ -48,12 +50,11 @@ from tidepool.llm.passages import stage_table
 END = "\n"  # no word holds white space
 TOP = 2048
 MEMBERS = 32
-SUFFIXES = 16
+SUFFIXES = 32
 SHAPES = 4 * SUFFIXES
-HIDDEN = 24
+HIDDEN = 32
 STEPS = 32
 STREAMS = 128
-ONE_IN = 100
 LEAST_DOCS = 2_000
 SHARE_DOCS = 400
 ROUNDS = 5
@@ -327,45 +328,47 @@ class Vocabulary:
         return ids, place, words, np.array([len(s) for s in split])
 
 
-def sampled_ids(training: DataFrame, vocabulary: tuple, total: int) -> DataFrame:
-    """share, ids of the documents the network learns from."""
-    wanted = max(LEAST_DOCS, total // ONE_IN)
-    keep = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / max(total, 1)))
-    shares = max(1, -(-min(wanted, total) // SHARE_DOCS))
+def dealt_ids(training: DataFrame, vocabulary: tuple, total: int) -> DataFrame:
+    """part, share and ids of all ``total`` documents of ``training``."""
+    parts = max(1, min(ROUNDS, total // LEAST_DOCS))
+    shares = max(1, -(-total // (parts * SHARE_DOCS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(*vocabulary)
         for whole in batches:
             for batch in byte_slices(whole, "text"):
                 ids, _, _, sizes = words.read(batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist())
-                packed = [x.astype("<i4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("share"), pa.array(packed, pa.binary())], ["share", "ids"])
+                packed = [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(packed, pa.binary())], ["place", "ids"])
 
-    rows = training.where(keep).withColumn("share", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shares)))
-    return rows.select("share", "text").mapInArrow(run, "share long, ids binary")
+    rows = training.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * shares)))
+    packed = rows.select("place", "text").mapInArrow(run, "place long, ids binary")
+    return packed.select((F.col("place") % parts).alias("part"), F.floor(F.col("place") / parts).alias("share"), "ids")
 
 
-def train(sample: DataFrame, net: dict, rounds: int = ROUNDS) -> dict:
-    """Learn from all shares side by side and average, round after round."""
+def train(dealt: DataFrame, net: dict) -> dict:
+    """Learn from all shares of a part side by side and average, a part a round."""
     schema = "share long, weights binary"
-    shares = sample.agg(F.max("share")).first()[0]
-    if shares is None:
+    last = dealt.agg(F.max("part"), F.max("share")).first()
+    if last[0] is None:
         return net
-    # As many partitions as asked for: adaptive execution would learn share after share in one task.
-    sample = sample.repartition(4 * (shares + 1), "share")
-    for turn in range(rounds):
-        learnt = sample.groupBy("share").applyInPandas(_one_share(net, RATE * (1 - turn / rounds) + 1e-3, turn), schema)
+    parts, shares = last[0] + 1, last[1]
+    for turn in range(ROUNDS):
+        # As many partitions as asked for: adaptive execution would learn share after share in one task.
+        part = dealt.where(F.col("part") == turn % parts).repartition(max(shares + 1, min(4 * (shares + 1), 400)), "share")
+        learnt = part.groupBy("share").applyInPandas(_one_share(net, RATE * (1 - turn / ROUNDS) + 1e-3, turn), schema)
         left = shares
         while left > 0:  # 32 nets to one, until one is left
             learnt = learnt.withColumn("to", F.floor(F.col("share") / 32)).groupBy("to").applyInPandas(_mean_net, schema)
             left //= 32
-        net = pickle.loads(learnt.first()["weights"])[1]
+        if (mean := learnt.first()) is not None:  # no document was dealt to the part
+            net = pickle.loads(mean["weights"])[1]
     return net
 
 
 def _one_share(net: dict, rate: float, turn: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        docs = [np.frombuffer(d, "<i4").astype(np.int64) for d in sorted(rows["ids"])]
+        docs = [np.frombuffer(d, "<u2").astype(np.int64) for d in sorted(rows["ids"])]
         return pd.DataFrame({"share": rows["share"].iloc[:1], "weights": [pickle.dumps((1, learn(net, docs, rate, turn)))]})
 
     return run
@@ -395,8 +398,7 @@ def score(docs: DataFrame) -> DataFrame:
     net = None
     if total:
         net = new_network(np.array([n for _, n in known[:TOP]], float), mass, shape_kinds)
-        sample = stage_table(sampled_ids(training, vocabulary, documents))
-        net = train(sample, net)
+        net = train(stage_table(dealt_ids(training, vocabulary, documents)), net)
     shape_base = np.log10(mass + 0.5 * (shape_kinds + 1))
     base = float(np.log10(total + 0.5 * (kinds + 1)))
     names = ["doc_id", "n_tokens", "n_known", "base", "net", "rest"]

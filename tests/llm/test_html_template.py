@@ -62,3 +62,26 @@ def test_hosts_agree(spark):
     urls = ["http://A.b/c", "//u@h:80/p", "https://x", "ftp+x://q?z", "nohost", None, " http://lead/"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in df.select(H._host(df.url)).collect()] == [H.host_of(u) for u in urls]
+
+
+def texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_classes_below_all_pages(spark):
+    """An empty, an error and a cut-off page do not undo the template; a nested class has text of its own."""
+    def page(i):
+        box = f"<div class=box><p>Facts</p><p>fact {i}</p></div>" if i % 2 else ""
+        return f"<body><article><p>Read more here</p><p>story {i}</p>{box}</article></body>"
+
+    bad = [(50, "http://h.example/", ""), (51, "http://h.example/", "<body><p>error 500</p></body>"), (52, "http://h.example/", "<body><article><p>Read more here")]
+    got = texts(spark, [(i, "http://h.example/", page(i)) for i in range(20)] + bad)
+    assert all(got[i] == (f"story {i}\nfact {i}" if i % 2 else f"story {i}") for i in range(20))
+    assert (got[50], got[51]) == ("", "error 500")
+
+
+def test_text_of_copies_is_no_template(spark):
+    copy = "<body><article><p>long story</p><ul><li>one</li><li>two</li></ul></article></body>"
+    rows = [(i, "http://c.example/", copy) for i in range(8)] + [(50 + i, "http://c.example/", f"<body><article><p>page {i}</p></article></body>") for i in range(5)]
+    got = texts(spark, rows)
+    assert all(got[i] == "long story\none\ntwo" for i in range(8)) and got[50] == "page 0"

@@ -1,22 +1,22 @@
 """Main text of web pages by equivalence classes of same-host pages.
 
 Every page is read into containers (elements that hold blocks, told apart by
-their path of tags and class names) and text blocks. Both are tokens. The
-occurrence vector of a token over the pages of its host is kept as a hash that
-can be aggregated (an exclusive or of one hash for each page and count), so two
-tokens belong to one equivalence class if their hashes and page counts are the
-same; nothing of a host is ever gathered in one place. The class of the page
-itself - tokens that stand on every page as often - is the template's spine;
-containers are nested by their paths, so its classes are, too. What varies
-between its tokens are the slots:
-
-* the content slot is the deepest container that holds at least half the text
-  left outside of menus, headers, footers, sidebars, forms, adverts, notices,
-  comments, scripts and styles - of the spine if possible, else a container on
-  at least half the host's pages;
-* a text block that is in the spine's class is part of the template, not of a
-  slot, and is left out (from ``FEW`` pages on, and unless all text is, as on a
-  host of copies).
+their path of tags and class names) and text blocks (told apart by path and
+text). Both are tokens. The occurrence vector of a token over the pages of its
+host is kept as a hash that can be aggregated (an exclusive or of one hash for
+each page and count); tokens of one host, page count and vector are an
+equivalence class. Nothing of a host is gathered in one place, and a class is
+no larger than a page. Accepted are classes of two tokens or more, a container
+among them, on ``FEW`` pages and a ``SUPPORT``-th of the host's at least, not all
+copies of one page. The page itself is a container of the class of what stands on every page.
+Classes nest by the paths of their containers:
+
+* a text block in a class with a container around it stands wherever the
+  container does, as often: it is template text and is left out (unless all
+  text of the page is). A page without the container does not change that;
+* what is left between the tokens are the slots. The content slot is the
+  deepest container with at least half the host's text outside of boilerplate;
+  a page without it has the next of these containers that it holds.
 
 A host of fewer than ``FEW`` pages uses the containers of all hosts together.
 The rest of a page's content slot is its text: character references decoded,
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import byte_slices, cut_lineage
 
 FEW = 5
+SUPPORT = 4
 BROADCAST_HOSTS = 50_000
 
 TOKEN = re.compile(
@@ -158,10 +159,10 @@ def token_hash(*parts) -> int:
 SPINE = "/"
 
 
-def page_tokens(page: Page, key: int) -> Iterator[tuple[str, bool, int, int]]:
-    """(token, is text, vector share, characters inside) of a page; the page
-    itself is the token "/"."""
-    yield SPINE, False, token_hash(key, 1), 0
+def page_tokens(page: Page, key: int) -> Iterator[tuple[str, int | None, int, int]]:
+    """(path, hash of a text block or None for a container, vector share,
+    characters inside) of a page; the page itself is the container "/"."""
+    yield SPINE, None, token_hash(key, 1), 0
     inside: Counter[str] = Counter()
     for at, text in page.blocks:
         if not page.noise[at]:
@@ -170,15 +171,16 @@ def page_tokens(page: Page, key: int) -> Iterator[tuple[str, bool, int, int]]:
                 inside[path] += len(text)
                 path = path.rpartition("/")[0]
     for path, n in Counter(p for p, noisy in zip(page.paths, page.noise) if not noisy and p).items():
-        yield path, False, token_hash(key, n), inside[path]
-    for text, n in Counter(text for at, text in page.blocks if not page.noise[at]).items():
-        yield str(token_hash(text)), True, token_hash(key, n), 0
+        yield path, None, token_hash(key, n), inside[path]
+    for (path, text), n in Counter((page.paths[at], text) for at, text in page.blocks if not page.noise[at]).items():
+        yield path, token_hash(path, text), token_hash(key, n), 0
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, is_text, n_pages, vector and chars, summed up for each batch;
-    containers also under the host of all pages, null."""
-    names = ["host", "token", "is_text", "n_pages", "vector", "chars"]
+    """host, path, block, n_pages, vector, chars and the lowest and highest hash
+    of a page's html, summed up for each batch; containers also under the host
+    of all pages, null."""
+    names = ["host", "path", "block", "n_pages", "vector", "chars", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -186,61 +188,80 @@ def tokens(pages: DataFrame) -> DataFrame:
                 seen: dict[tuple, list[int]] = {}
                 for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                     html = html or ""
-                    key = token_hash(page_id, url, xxhash.xxh64_intdigest(html))
-                    for token, is_text, share, chars in page_tokens(Page(html), key):
-                        for host in (host_of(url),) if is_text else (host_of(url), None):
-                            have = seen.setdefault((host, token, is_text), [0, 0, 0])
+                    content = token_hash(html)
+                    key, host = token_hash(page_id, url, content), host_of(url)
+                    for path, block, share, chars in page_tokens(Page(html), key):
+                        for of in (host, None) if block is None else (host,):
+                            have = seen.setdefault((of, path, block), [0, 0, 0, content, content])
                             have[0] += 1
                             have[1] ^= share
                             have[2] += chars
-                columns = list(zip(*((*k, *v) for k, v in seen.items()))) or [()] * 6
-                kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+                            have[3] = min(have[3], content)
+                            have[4] = max(have[4], content)
+                columns = list(zip(*((*k, *v) for k, v in seen.items()))) or [()] * 8
+                kinds = [pa.string(), pa.string(), *[pa.int64()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    schema = "host string, token string, is_text boolean, n_pages long, vector long, chars long"
-    return pages.mapInArrow(run, schema).groupBy("host", "token", "is_text").agg(
-        F.sum("n_pages").alias("n_pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")
+    schema = "host string, path string, block long, n_pages long, vector long, chars long, low long, high long"
+    return pages.mapInArrow(run, schema).groupBy("host", "path", "block").agg(
+        F.sum("n_pages").alias("n_pages"),
+        F.bit_xor("vector").alias("vector"),
+        F.sum("chars").alias("chars"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slot (the content slot's path) and constant (hashes of the text
-    blocks that belong to the template); the null host is for all pages."""
-    found = cut_lineage(tokens(pages).where(~F.col("is_text") | (F.col("n_pages") >= FEW)))
-    spine = found.where((F.col("token") == SPINE) & ~F.col("is_text")).select(
-        F.col("host").alias("h"), F.col("n_pages").alias("pages"), F.col("vector").alias("spine")
-    )
-    met = found.join(spine, F.col("host").eqNullSafe(F.col("h"))).withColumn(
-        "in_spine", (F.col("n_pages") == F.col("pages")) & (F.col("vector") == F.col("spine"))
-    )
-    boxes = met.where(~F.col("is_text") & (F.col("token") != SPINE) & (2 * F.col("n_pages") >= F.col("pages")))
+    """host, slots (paths of containers, the first that a page holds is its
+    content slot), pages and constant (hashes of the text blocks that belong to
+    the template); the null host is for all pages."""
+    found = cut_lineage(tokens(pages).where(F.col("block").isNull() | (F.col("n_pages") >= FEW)))
+    total = found.where((F.col("path") == SPINE) & F.col("block").isNull()).select(F.col("host").alias("h"), F.col("n_pages").alias("pages"))
+    met = found.join(total, F.col("host").eqNullSafe(F.col("h"))).where(SUPPORT * F.col("n_pages") >= F.col("pages"))
+    boxes = met.where(F.col("block").isNull() & (F.col("path") != SPINE) & (F.col("chars") > 0))
     most = boxes.groupBy(F.col("h").alias("m")).agg(F.max("chars").alias("most"))
-    depth = F.size(F.split("token", "/"))
+    steps = F.split("path", "/")
     slots = (
         boxes.join(most, F.col("h").eqNullSafe(F.col("m")))
-        .where((2 * F.col("chars") >= F.col("most")) & (F.col("chars") > 0))
+        .where(2 * F.col("chars") >= F.col("most"))
         .groupBy("h")
-        .agg(F.max_by("token", F.struct("in_spine", depth, "chars", "token")).alias("slot"), F.max("pages").alias("pages"), F.max("most").alias("most"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.size(steps).alias("depth"), "chars", "path")), asc=False).alias("slots"), F.max("pages").alias("pages"))
+        .select("h", "pages", F.col("slots.path").alias("slots"))
+    )
+    classes = (
+        met.where(F.col("host").isNotNull() & (F.col("n_pages") >= FEW) & (F.col("low") < F.col("high")))
+        .groupBy("h", "n_pages", "vector")
+        .agg(
+            F.collect_list(F.when(F.col("block").isNull(), F.col("path"))).alias("boxes"),
+            F.collect_list(F.when(F.col("block").isNotNull(), F.struct("path", "block"))).alias("blocks"),
+        )
+        .where((F.size("boxes") > 0) & (F.size("blocks") > 0))
+    )
+    around = F.exists("boxes", lambda b: (b == SPINE) | F.startswith(F.concat(F.col("b.path"), F.lit("/")), F.concat(b, F.lit("/"))))
+    constant = (
+        classes.select("h", "boxes", F.explode("blocks").alias("b")).where(around).groupBy(F.col("h").alias("c")).agg(F.collect_list("b.block").alias("constant"))
     )
-    constant = met.where(F.col("is_text") & F.col("in_spine")).groupBy(F.col("h").alias("c")).agg(F.collect_list("token").alias("constant"))
     return cut_lineage(
-        slots.join(constant, F.col("h").eqNullSafe(F.col("c")), "left").select(F.col("h").alias("host"), "slot", "pages", "constant")
+        slots.join(constant, F.col("h").eqNullSafe(F.col("c")), "left").select(F.col("h").alias("host"), "slots", "pages", "constant")
     )
 
 
-def main_text(html: str, slot: str | None, constant) -> str:
+def main_text(html: str, slots, constant) -> str:
     """The blocks of the content slot, those of the template left out."""
     page = Page(html)
     own = [(page.paths[at], text) for at, text in page.blocks if not page.noise[at]]
-    inside = [t for p, t in own if slot and (p == slot or p.startswith(slot + "/"))]
-    if not inside:
+    for slot in slots or ():
+        if inside := [(p, t) for p, t in own if p == slot or p.startswith(slot + "/")]:
+            break
+    else:
         main = next((p for p, n in zip(page.paths, page.noise) if not n and p.rpartition("/")[2].split(".")[0] in MAIN), "")
-        inside = [t for p, t in own if not main or p == main or p.startswith(main + "/")]
+        inside = [(p, t) for p, t in own if not main or p == main or p.startswith(main + "/")]
+    texts = [t for _, t in inside]
     if constant:
         known = set(constant)
-        varying = [t for t in inside if str(token_hash(t)) not in known]
-        inside = varying or inside
-    return "\n".join(inside)
+        texts = [t for p, t in inside if token_hash(p, t) not in known] or texts
+    return "\n".join(texts)
 
 
 def _host(url: Column) -> Column:
@@ -255,17 +276,17 @@ def extract(pages: DataFrame) -> DataFrame:
     )
     found = templates(rows)
     common = found.where("host is null").first()  # one row: the slot of all pages together
-    common_slot = common["slot"] if common else None
-    hosts = found.where("host is not null").where(F.col("pages") >= FEW).select("host", "slot", "constant")
+    common_slots = common["slots"] if common else None
+    hosts = found.where("host is not null").where(F.col("pages") >= FEW).select("host", "slots", "constant")
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    met = rows.withColumn("host", _host(F.col("url"))).join(hosts, "host", "left").select("page_id", "url", "html", "slot", "constant")
+    met = rows.withColumn("host", _host(F.col("url"))).join(hosts, "host", "left").select("page_id", "url", "html", "slots", "constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "html"):
                 texts = [
-                    main_text(html or "", slot or common_slot, constant)
-                    for html, slot, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "constant")))
+                    main_text(html or "", slots or common_slots, constant)
+                    for html, slots, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "slots", "constant")))
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

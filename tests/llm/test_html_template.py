@@ -85,3 +85,21 @@ def test_text_of_copies_is_no_template(spark):
     rows = [(i, "http://c.example/", copy) for i in range(8)] + [(50 + i, "http://c.example/", f"<body><article><p>page {i}</p></article></body>") for i in range(5)]
     got = texts(spark, rows)
     assert all(got[i] == "long story\none\ntwo" for i in range(8)) and got[50] == "page 0"
+
+
+def test_the_slot_is_the_whole_article(spark):
+    def page(i):
+        return f"<body><article><h1>Title {i}</h1><p>lead {i}</p><div class=body><p>{f'long {i} ' * 20}</p></div><section><p>rest {i}</p></section></article></body>"
+
+    got = texts(spark, [(i, "http://h.example/", page(i)) for i in range(9)] + [(50, "http://few.example/", page(50))])
+    assert all(got[i] == "\n".join([f"Title {i}", f"lead {i}", f"long {i} " * 19 + f"long {i}", f"rest {i}"]) for i in [*range(9), 50])
+
+
+@pytest.mark.parametrize("wrap", ["layout has-sidebar", "with-banner", "page-sidebar", "widget"])
+@pytest.mark.parametrize("box", ["article", "main", "div"])
+def test_a_name_around_the_text_does_not_empty_it(spark, wrap, box):
+    def page(i):
+        return f"<body><div class='{wrap}'><{box}><p>text of page {i} that goes on</p></{box}><div class=sidebar>Buy {i}</div></div><div class=comments><article>hi {i}</article></div></body>"
+
+    got = texts(spark, [(i, "http://h.example/", page(i)) for i in range(9)])
+    assert all(got[i] == f"text of page {i} that goes on" for i in range(9))

@@ -15,8 +15,15 @@ Classes nest by the paths of their containers:
   container does, as often: it is template text and is left out (unless all
   text of the page is). A page without the container does not change that;
 * what is left between the tokens are the slots. The content slot is the
-  deepest container with at least half the host's text outside of boilerplate;
-  a page without it has the next of these containers that it holds.
+  outermost article or main element with at least half the host's text outside
+  of boilerplate, else the outermost container; a page without it has the next
+  of these containers that it holds.
+
+Boilerplate is told by fixed lists: elements (menus, headers, footers, asides,
+forms, scripts, styles ...) and class, id and role names (adverts, notices,
+sidebars, comments ...). A name says nothing of an article or main element
+within (but those of ``REMARKS``, which have articles of their own), nor of a container with ``DOMINANT`` of a page's text if no article or
+main element is left, nor if it tells what a layout has (``has-sidebar``).
 
 A host of fewer than ``FEW`` pages uses the containers of all hosts together.
 The rest of a page's content slot is its text: character references decoded,
@@ -44,6 +51,7 @@ from tidepool.llm.common import byte_slices, cut_lineage
 
 FEW = 5
 SUPPORT = 4
+DOMINANT = 0.75
 BROADCAST_HOSTS = 50_000
 
 TOKEN = re.compile(
@@ -72,6 +80,12 @@ BOILERPLATE_NAMES = frozenset(
     "comment comments disqus reply replies respond discussion share sharing social related recommended "
     "search toolbar pagination pager skip contentinfo complementary".split()
 )
+# Of these, names that hold articles of their own (remarks, teasers) and are no layout around the main one.
+REMARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion "
+    "comment comments disqus reply replies respond discussion related recommended".split()
+)
+LAYOUT_WORDS = frozenset("has with without no not is show hide hidden".split())
 MAIN = ("article", "main")
 
 
@@ -82,10 +96,13 @@ def container_name(tag: str, rest: str) -> str:
     return ".".join([tag, *words])
 
 
-def is_boilerplate(name: str) -> bool:
-    tag, *words = name.split(".")
-    parts = {p for w in words for p in [w, *re.split(r"[-_]+", w)]}
-    return tag in BOILERPLATE_TAGS or (tag not in ("html", "body", *MAIN) and bool(parts & BOILERPLATE_NAMES))
+def is_named(name: str, names: frozenset = BOILERPLATE_NAMES) -> bool:
+    """A class, id or role word is one of boilerplate."""
+    for word in name.split(".")[1:]:
+        parts = re.split(r"[-_]+", word)
+        if word in names or (parts[0] not in LAYOUT_WORDS and not names.isdisjoint(parts)):
+            return True
+    return False
 
 
 class Page:
@@ -93,9 +110,14 @@ class Page:
 
     def __init__(self, html: str):
         self.paths: list[str] = []
-        self.noise: list[bool] = []
+        self.parent: list[int] = []
+        self.main: list[bool] = []  # an article or main element, or within one
+        self.hard: list[bool] = []  # within an element of boilerplate
+        self.named: list[bool] = []  # boilerplate by its own names
+        self.remark: list[bool] = []  # within remarks or teasers
+        self.own_main: list[bool] = []  # an article or main element that names around it say nothing of
         self.blocks: list[tuple[int, str]] = []
-        stack = [self._open("", "", False)]
+        stack = [self._open(0, "")]
         buffer: list[str] = []
 
         def end_block() -> None:
@@ -130,22 +152,47 @@ class Page:
             if not closing:
                 name = container_name(tag, m["rest"])
                 names.append(tag)
-                stack.append(self._open(self.paths[stack[-1]], name, self.noise[stack[-1]]))
+                stack.append(self._open(stack[-1], name))
             elif tag in names:
                 while True:
                     stack.pop()
                     if names.pop() == tag:
                         break
         end_block()
-
-    def _open(self, parent: str, name: str, noisy: bool) -> int:
-        path = f"{parent}/{name}" if parent else name
-        inside_main = any(p.split(".")[0] in MAIN for p in parent.split("/"))
-        own = bool(name) and is_boilerplate(name) and not (inside_main and name == "header")
-        self.paths.append(path)
-        self.noise.append(noisy or own)
+        self.noise = self._noise()
+        size = [0] * len(self.paths)
+        for at, text in self.blocks:
+            size[at] += 0 if self.hard[at] else len(text)
+        for at in range(len(size) - 1, 0, -1):
+            size[self.parent[at]] += size[at]
+        if not any(m and n and not noisy for m, n, noisy in zip(self.main, size, self.noise)):
+            dominant = [at for at, n in enumerate(size) if self.named[at] and n and n >= DOMINANT * size[0]]
+            for at in dominant:
+                self.named[at] = False
+            self.noise = self._noise() if dominant else self.noise
+
+    def _open(self, parent: int, name: str) -> int:
+        tag = name.split(".")[0]
+        first = not self.paths
+        above, hard, main = ("", False, False) if first else (self.paths[parent], self.hard[parent], self.main[parent])
+        remark = not first and self.remark[parent]
+        named = tag not in ("html", "body") and is_named(name)
+        self.paths.append(f"{above}/{name}" if above else name)
+        self.parent.append(parent)
+        self.main.append(main or tag in MAIN)
+        self.hard.append(hard or (tag in BOILERPLATE_TAGS and not (main and name == "header")))
+        self.named.append(named and tag not in MAIN)
+        self.remark.append(remark or (named and is_named(name, REMARKS)))
+        self.own_main.append(tag in MAIN and not main and not named and not remark)
         return len(self.paths) - 1
 
+    def _noise(self) -> list[bool]:
+        noise: list[bool] = []
+        for at, above in enumerate(self.parent):
+            around = at > 0 and noise[above] and not self.own_main[at]
+            noise.append(self.hard[at] or self.named[at] or around)
+        return noise
+
 
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
@@ -222,11 +269,12 @@ def templates(pages: DataFrame) -> DataFrame:
     boxes = met.where(F.col("block").isNull() & (F.col("path") != SPINE) & (F.col("chars") > 0))
     most = boxes.groupBy(F.col("h").alias("m")).agg(F.max("chars").alias("most"))
     steps = F.split("path", "/")
+    is_main = F.split(F.element_at(steps, -1), r"\.")[0].isin(*MAIN)
     slots = (
         boxes.join(most, F.col("h").eqNullSafe(F.col("m")))
         .where(2 * F.col("chars") >= F.col("most"))
         .groupBy("h")
-        .agg(F.sort_array(F.collect_list(F.struct(F.size(steps).alias("depth"), "chars", "path")), asc=False).alias("slots"), F.max("pages").alias("pages"))
+        .agg(F.sort_array(F.collect_list(F.struct((~is_main).alias("other"), F.size(steps).alias("depth"), "path"))).alias("slots"), F.max("pages").alias("pages"))
         .select("h", "pages", F.col("slots.path").alias("slots"))
     )
     classes = (

@@ -66,3 +66,20 @@ def test_nothing_to_learn_from(spark):
 def test_whole_text_is_read():
     text = b"ordinary words " * 5_000 + b"numpty wastrel"
     assert b"".join(T.windows(text)).split() == text.split()
+
+
+def test_the_fit_is_bounded_in_rows_not_only_in_ids(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = [(i, f"text {i} {k}") for i in ids for k in range(30)] + [(ids[0], "the same")] * 500
+    labels = [(i, i % 2) for i in ids]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert T.training_rows(df, known, 10).count() == 10
+    every = T.training_rows(df, known, 10_000).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in every) == sorted(set(docs))
+
+
+def test_the_ordinary_dictionary_comes_from_all_ordinary_texts():
+    rng = random.Random(4)
+    say = lambda letter: " ".join(f"{letter}{rng.randrange(10**6):x}" for _ in range(16)).encode()
+    ordinary = [say("a") for _ in range(3_000)] + [say("z") for _ in range(3_000)]
+    assert T.train_dictionaries([say("t") for _ in range(20)], ordinary)[0].count(b" z") > 100

@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import decontamination, html_template, language_id, lm_scoring, packing, simhash, substring_dedup, suffix_dedup, topk_search, toxicity
+from tidepool.llm import (
+    decontamination,
+    html_template,
+    language_id,
+    lm_scoring,
+    packing,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    token_alignment,
+    topk_search,
+    toxicity,
+)
 from tidepool.llm.common import read_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +81,14 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        read_columns(spark, sf_dir, "documents", ["doc_id", "text"]),
+        tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"),
+    )
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -84,7 +104,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_toxicity, op4_html_template, op5_language_id, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_toxicity, op4_html_template, op5_language_id, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

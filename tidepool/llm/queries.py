@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm import (
+    conversation_repair,
     decontamination,
     html_template,
     language_id,
@@ -18,6 +19,7 @@ from tidepool.llm import (
     token_alignment,
     topk_search,
     toxicity,
+    url_filter,
 )
 from tidepool.llm.common import read_columns
 
@@ -81,6 +83,26 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that op11_url_filter applies: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(read_columns(spark, sf_dir, "pages", ["page_id", "url"]), rules)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_columns(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return conversation_repair.summaries(conversation_repair.damage(rows))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(
         read_columns(spark, sf_dir, "documents", ["doc_id", "text"]),
@@ -104,8 +126,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_toxicity, op4_html_template, op5_language_id, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_lm_scoring, op3_toxicity, op4_html_template, op5_language_id, op6_packing, op7_decontamination, op8_simhash, op9_suffix_dedup, op10_topk_search, op11_url_filter, op12_conversation_repair, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.substring_dedup_sql(), "op7_decontamination": decontamination.contamination_sql(), "op10_topk_search": OP10_SQL}
+    return {"op1_substring_dedup": substring_dedup.substring_dedup_sql(), "op7_decontamination": decontamination.contamination_sql(), "op10_topk_search": OP10_SQL, "op11_url_filter": url_filter.judge_sql(URL_RULES)}

@@ -24,7 +24,9 @@ each other; texts under 50 words are kept. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,71 +40,98 @@ GRAM = 16
 SHARD_WORDS = 60_000
 
 
+#: Larger than any owner: no sequence seen yet.
+NOBODY = (1 << 63) - 1
+
+
 class SuffixAutomaton:
     """The suffix automaton of several word sequences; a state knows the
-    smallest owner of the sequences it occurs in."""
+    smallest owner of the sequences it occurs in.
+
+    States are rows of flat arrays (28 bytes). Nearly all have one transition,
+    which stands in ``symbol`` and ``target``; only states with more have a
+    dictionary for the others."""
 
     def __init__(self):
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.owner: list = [None]
+        self.symbol = array("i", [-1])
+        self.target = array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link = array("i", [-1])
+        self.length = array("i", [0])
+        self.owner = array("q", [NOBODY])
+
+    def _state(self, length: int, link: int) -> int:
+        self.symbol.append(-1)
+        self.target.append(0)
+        self.link.append(link)
+        self.length.append(length)
+        self.owner.append(NOBODY)
+        return len(self.link) - 1
+
+    def step(self, v: int, c: int) -> int:
+        """Where ``c`` leads from state ``v``; 0, the root, if nowhere."""
+        if self.symbol[v] == c:
+            return self.target[v]
+        others = self.more.get(v)
+        return others.get(c, 0) if others else 0
+
+    def _lead(self, v: int, c: int, to: int) -> None:
+        if self.symbol[v] in (-1, c):
+            self.symbol[v], self.target[v] = c, to
+        else:
+            self.more.setdefault(v, {})[c] = to
 
     def _clone(self, p: int, q: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        clone = len(nxt)
-        nxt.append(nxt[q].copy())
-        link.append(link[q])
-        length.append(length[p] + 1)
-        self.owner.append(None)
-        link[q] = clone
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = clone
-            p = link[p]
+        clone = self._state(self.length[p] + 1, self.link[q])
+        self.symbol[clone], self.target[clone] = self.symbol[q], self.target[q]
+        if q in self.more:
+            self.more[clone] = self.more[q].copy()
+        self.link[q] = clone
+        while p >= 0 and self.step(p, c) == q:
+            self._lead(p, c, clone)
+            p = self.link[p]
         return clone
 
-    def add(self, sequence, owner) -> None:
-        nxt, link, length, owners = self.next, self.link, self.length, self.owner
+    def add(self, sequence, owner: int) -> None:
+        link, length, owners, step = self.link, self.length, self.owner, self.step
         last = 0
         for c in sequence:
-            q = nxt[last].get(c)
-            if q is not None:  # the sequence so far is there already
+            q = step(last, c)
+            if q:  # the sequence so far is there already
                 last = q if length[q] == length[last] + 1 else self._clone(last, q, c)
             else:
-                state, p = len(nxt), last
-                nxt.append({})
-                length.append(length[last] + 1)
-                link.append(0)
-                owners.append(None)
-                while p >= 0 and c not in nxt[p]:
-                    nxt[p][c] = state
+                state, p = self._state(length[last] + 1, 0), last
+                while p >= 0 and not step(p, c):
+                    self._lead(p, c, state)
                     p = link[p]
                 if p >= 0:
-                    q = nxt[p][c]
+                    q = step(p, c)
                     link[state] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
                 last = state
-            if owners[last] is None or owner < owners[last]:
+            if owner < owners[last]:
                 owners[last] = owner
 
     def finish(self) -> None:
         """Carry each state's smallest owner up the suffix links."""
         link, owners = self.link, self.owner
-        for v in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
+        for v in np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[:0:-1].tolist():
             u = link[v]
-            if u > 0 and (owners[u] is None or owners[v] < owners[u]):
+            if u > 0 and owners[v] < owners[u]:
                 owners[u] = owners[v]
 
-    def owners_of(self, sequence, window: int) -> list:
+    def owners_of(self, sequence, window: int) -> list[int | None]:
         """The smallest owner of each window of ``sequence``, None for windows
         that no sequence holds: the matching statistic is kept at ``window``."""
-        nxt, link, length, owners = self.next, self.link, self.length, self.owner
+        link, length, owners, step = self.link, self.length, self.owner, self.step
         v, matched, out = 0, 0, []
         for i, c in enumerate(sequence):
-            while v and c not in nxt[v]:
+            to = step(v, c)
+            while v and not to:
                 v = link[v]
                 matched = length[v]
-            if c in nxt[v]:
-                v = nxt[v][c]
+                to = step(v, c)
+            if to:
+                v = to
                 matched += 1
             while v and length[link[v]] >= window:
                 v = link[v]
@@ -117,8 +146,10 @@ def shard_spans(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     than the content's own holds."""
     shard = shard.drop_duplicates(["choice", "content"])
     ids: dict[bytes, int] = {}
-    words = [[ids.setdefault(w, len(ids)) for w in t.split(b" ")] for t in shard["text"]]
+    words = [array("i", [ids.setdefault(w, len(ids)) for w in t.split(b" ")]) for t in shard["text"]]
     owners = shard["owner"].tolist()
+    out = shard[["choice", "content"]]
+    del ids, shard  # the automaton is what the task has room for
     automaton = SuffixAutomaton()
     for sequence, owner in zip(words, owners):
         automaton.add(sequence, owner)
@@ -133,7 +164,7 @@ def shard_spans(shard: pd.DataFrame, window: int) -> pd.DataFrame:
                 else:
                     runs.append({"from": i, "until": i + 1})
         spans.append(runs)
-    out = shard[["choice", "content"]].assign(spans=spans)
+    out = out.assign(spans=spans)
     return out[out["spans"].map(len) > 0]
 
 

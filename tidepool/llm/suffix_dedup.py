@@ -6,11 +6,11 @@ distinct content, the one that starts at the selected gram, and is made for
 each shard of choices by itself. Suffixes are compared by their first
 difference, found by a binary search over polynomial prefix hashes, so a
 comparison takes a logarithmic number of steps; a bottom-up mergesort of all
-the choices of a shard goes on in step. Common extensions of neighbours give
-the common extension of any two suffixes of a choice (a running minimum);
-together with the common extension to the left, found the same way, they give
-the 200-byte strings two contents share. What the hashes call equal is checked
-byte by byte before anything is removed.
+the choices of a shard goes on in step. The parts before the grams are sorted
+backwards in the same way. Common extensions of neighbours in the two orders,
+checked byte by byte, tell for every window which contents of its choice hold
+it (``shared_windows``); the work grows with the contents of a choice, not with
+their pairs.
 
 Contents that stand in two places as a whole (equal 128-bit hashes: 64 of the
 selected gram and 64 of the content) are removed there without a sort.
@@ -104,57 +104,79 @@ def merge_sort(text: HashedText, start: np.ndarray, end: np.ndarray, group: np.n
     return order
 
 
+def equal_bytes(raw: bytes, i: int, j: int, n: int) -> int:
+    """Of ``n`` bytes that the hashes call equal, how many are before a byte differs."""
+    if raw[i : i + n] == raw[j : j + n]:
+        return n
+    return next(k for k in range(n) if raw[i + k] != raw[j + k])
+
+
+def ranked(raw: bytes, start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes start:end within each group, and how many bytes
+    each has in common with the one before it (-1 for the first of a group).
+    Common extensions come from hashes and are checked byte by byte."""
+    text = HashedText(np.frombuffer(raw, np.uint8))
+    order = merge_sort(text, start, end, group)
+    start, end = start[order], end[order]
+    common = np.full(len(order), -1, np.int64)
+    at = np.flatnonzero(group[:-1] == group[1:])
+    size = np.minimum(end - start, np.roll(end - start, -1))[at]
+    common[at + 1] = text.forward(start[at], start[at + 1], size)
+    for i in at.tolist():
+        common[i + 1] = equal_bytes(raw, int(start[i]), int(start[i + 1]), int(common[i + 1]))
+    return order, common
+
+
+def nearest(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The most bytes that each suffix has in common with any other of its group."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], -1))
+    return out
+
+
 def shared_windows(bodies: list[bytes], lead: np.ndarray, group: np.ndarray, once: np.ndarray, window: int) -> list[list[dict]]:
     """For each content that stands in one place (``once``) the runs of its
-    windows that another content of its group holds."""
+    windows that another content of its group holds as far from the gram.
+
+    The suffixes that start at the selected grams are sorted, and so are, read
+    backwards, the parts before the grams. A window that starts ``l`` bytes
+    before the gram (after it: negative) is equal in two contents where they have
+    ``window - l`` bytes in common from the gram on and ``l`` before it: where in
+    either order no smaller common extension lies between them. Numbering the stretches
+    between smaller extensions gives two numbers for each content, and equal
+    pairs of numbers are equal windows; no two contents are compared beyond
+    neighbours."""
     n = len(bodies)
     sizes = np.array([len(b) for b in bodies], np.int64)
     joined = b"".join(bodies)
-    text = HashedText(np.frombuffer(joined, np.uint8))
     base = np.cumsum(sizes) - sizes
     start, end = base + lead, base + sizes
-    order = merge_sort(text, start, end, group)
-    start, end, base, lead, once_at = start[order], end[order], base[order], lead[order], once[order]
-    right = np.zeros(n, np.int64)  # with the next suffix of the group
-    follows = np.flatnonzero(group[:-1] == group[1:])
-    right[follows] = text.forward(
-        start[follows], start[follows + 1], np.minimum(end[follows] - start[follows], end[follows + 1] - start[follows + 1])
-    )
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    at = follows
-    common = right[at]
-    shift = 1
-    while len(at):
-        i, j = at, at + shift
-        able = np.flatnonzero((common + np.minimum(lead[i], lead[j]) >= window) & (once_at[i] | once_at[j]))
-        before = text.backward(start[i[able]], start[j[able]], np.minimum(lead[i[able]], lead[j[able]]))
-        both = before + common[able] >= window
-        for x, y, l, r in zip(i[able[both]], j[able[both]], before[both], common[able[both]]):
-            p, q = int(start[x]), int(start[y])
-            if joined[p - l : p + r] != joined[q - l : q + r]:  # the hashes fell together: compare bytes
-                r = next((k for k in range(r) if joined[p + k] != joined[q + k]), r)
-                l = next((k for k in range(l) if joined[p - 1 - k] != joined[q - 1 - k]), l)
-            if l + r >= window:
-                for row in (x, y):
-                    if once_at[row]:
-                        first = int(lead[row] - l)
-                        spans[order[row]].append((first, first + int(l + r) - window + 1))
-        shift += 1
-        ok = np.flatnonzero(at + shift < n)
-        ok = ok[group[at[ok]] == group[at[ok] + shift]]
-        at, common = at[ok], common[ok]
-        common = np.minimum(common, right[at + shift - 1])
-    return [united(s) for s in spans]
-
-
-def united(spans: list[tuple[int, int]]) -> list[dict]:
-    out: list[dict] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1]["until"]:
-            out[-1]["until"] = max(out[-1]["until"], b)
-        else:
-            out.append({"from": a, "until": b})
-    return out
+    after, common = ranked(joined, start, end, group)
+    before, common_back = ranked(joined[::-1], len(joined) - start, len(joined) - base, group)
+    most_after, most_before = nearest(after, common), nearest(before, common_back)
+    last = max(0, int((sizes - lead).max(initial=0)) - window)
+    found = np.zeros((n, int(lead.max(initial=0)) + last + 1), bool)  # by content and the window's start
+    for l in range(-last, int(lead.max(initial=0)) + 1):
+        able = (most_before >= l) & (most_after >= window - l)
+        if not able.any():
+            continue
+        numbers = np.empty((2, n), np.int64)
+        numbers[0, after] = np.cumsum(common < window - l)
+        numbers[1, before] = np.cumsum(common_back < l)
+        rows = np.flatnonzero(able)
+        key = numbers[0, rows] * (n + 1) + numbers[1, rows]
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        rows = rows[order][np.append(same, False) | np.insert(same, 0, False)]
+        rows = rows[once[rows]]
+        found[rows, lead[rows] - l] = True
+    edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    rows, first = np.nonzero(edges == 1)
+    until = np.nonzero(edges == -1)[1]
+    spans: list[list[dict]] = [[] for _ in range(n)]
+    for row, x, y in zip(rows.tolist(), first.tolist(), until.tolist()):
+        spans[row].append({"from": x, "until": y})
+    return spans
 
 
 def shard_spans(shard: pd.DataFrame, window: int) -> pd.DataFrame:

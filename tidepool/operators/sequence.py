@@ -139,4 +139,5 @@ def range_segment(df: DataFrame, keys: Sequence[str], value: str, buckets: int =
     cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)
     bounds = df.groupBy(*keys).agg(cuts.alias("__cuts"))
     below = F.aggregate("__cuts", F.lit(0).cast("long"), lambda n, c: n + F.when(c < F.col(value), 1).otherwise(0))
-    return df.join(bounds, keys, "left").withColumn(alias, F.coalesce(below, F.lit(0).cast("long"))).drop("__cuts")
+    met = df.join(bounds, keys, "left") if keys else df.withColumn("__cuts", bounds.scalar())
+    return met.withColumn(alias, F.coalesce(below, F.lit(0).cast("long"))).drop("__cuts")

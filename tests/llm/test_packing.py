@@ -3,12 +3,13 @@ import zlib
 import numpy as np
 import pytest
 
-from tidepool.llm.packing import WordIds, cut, pack
+from tidepool.llm.packing import WordIds, cut, marked_ranks, pack
 from tidepool.llm.queries import tokenizer_path
+from tidepool.llm.token_alignment import byte_level
 
 TEXTS = [
     "", None, "  \t\n", "Plain words, it's 2024! don't", "a b c\x0bd\x1ce\x85f", "ΑΣ ΣΑΣ. é ́x ö̈",
-    "x<|endoftext|>y <|startoftext|> z", "word " * 5000, "%%% ***a$$$ &&& 日本語テキスト 🙂🙂", "İstanbul ŒUVRE ǅ", "end, End. e., é, 1. x..", "<|ENDOFTEXT|> don't. 'S, it's,",
+    "x<|endoftext|>y <|startoftext|> z", "word " * 5000, "%%% ***a$$$ &&& 日本語テキスト 🙂🙂", "İstanbul ŒUVRE ǅ", "end, End. e., é, 1. x..", "ÀÉÎ ßÿ Öl, naïve ÇA µ ª º Ünïcödé ÿÿ", "<|ENDOFTEXT|> don't. 'S, it's,",
 ]
 
 
@@ -26,6 +27,29 @@ def test_word_ids_equal_whole_text_ids():
         assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_least_ranks_merge_as_the_vocabulary_does():
+    """Every token's bytes, merged by ranks below its own, end as the pair that its merge names."""
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    ranks = marked_ranks({t: i for t, i in model["vocab"].items() if not t.startswith("<|")})
+    of = byte_level()
+    mark = lambda t: bytes(of[c] for c in t.removesuffix("</w>")) + b"\0" * t.endswith("</w>")
+    seen = 0
+    for pair in model["merges"]:
+        a, b = map(mark, pair if isinstance(pair, list) else pair.split(" "))
+        parts, rank = [bytes([c]) for c in a + b], ranks[a + b]
+        while True:
+            least, i = min((ranks.get(x + y, rank), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if least >= rank:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [a, b]
+        seen += 1
+    assert seen > 48_000
+
+
 def test_words_are_forgotten_and_learnt_again(monkeypatch):
     monkeypatch.setattr("tidepool.llm.packing.CACHE_WORDS", 6)
     words, whole = WordIds(tokenizer_path()), tokenizer()

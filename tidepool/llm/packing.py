@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import byte_slices
+from tidepool.llm.token_alignment import byte_level
 
 SEQUENCE = 2048
 END_ID = 1
@@ -34,6 +35,26 @@ END = END_ID.to_bytes(4, "little")
 CACHE_WORDS = 800_000
 
 
+END_OF_WORD = "</w>"
+
+
+def marked_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """Ids by token bytes, the end of a word written as a zero byte.
+
+    An id is the rank of its merge, and the 256 pairs of a byte and the mark rank
+    before all merges, so merging the pair of least rank in ``word\\0`` does what
+    the vocabulary's merges do, as each token is what its own bytes merge to
+    (checked for the file in the tests). Words hold no zero byte."""
+    of, ranks = byte_level(), {}
+    for token, i in vocabulary.items():
+        ends = token.endswith(END_OF_WORD)
+        raw = bytes(of[c] for c in token.removesuffix(END_OF_WORD))
+        if b"\0" not in raw:
+            ranks[raw + b"\0" * ends] = i
+    ranks[b"\0"] = max(vocabulary.values()) + 1  # never left alone
+    return ranks
+
+
 class WordIds:
     """Ids of whole texts from ids of their words.
 
@@ -44,27 +65,31 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if t not in special}
+        self.ends_word = np.zeros(max(vocabulary.values()) + 2, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+        self.latin = tiktoken.Encoding("latin", pat_str=r"[^\x00]+\x00", mergeable_ranks=marked_ranks(vocabulary), special_tokens={})
         self.seen: dict[bytes, bytes] = {}
         self.once: set[bytes] = set()  # remembered, but met in one batch only
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of Latin letters alone are one token run each,
-        which ends where a token ends a word, so many are encoded as one text."""
-        plain = [i for i, w in enumerate(words) if _LATIN.fullmatch(w)]
-        rest = [i for i, w in enumerate(words) if not _LATIN.fullmatch(w)]
+        """Ids of each word. Words of Latin letters alone are one run of tokens each,
+        which ends where a token ends a word; many are encoded as one text, by
+        merges alone (``marked_ranks``)."""
+        plain, rest = [], []
+        for i, match in enumerate(map(_LATIN.fullmatch, words)):
+            (plain if match else rest).append(i)
         out = [b""] * len(words)
         encode = self.tokenizer.encode_batch_fast
         for i, e in zip(rest, encode([words[i] for i in rest], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        groups = [plain[a : a + 1000] for a in range(0, len(plain), 1000)]
-        for own, e in zip(groups, encode([" ".join([words[i] for i in own]) for own in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+        for own in (plain[a : a + 1000] for a in range(0, len(plain), 1000)):
+            ids = self.latin.encode_to_numpy("\0".join([words[i] for i in own]).lower() + "\0").astype("<u4")
             raw, start = ids.tobytes(), 0
             for i, end in zip(own, (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist(), strict=True):
                 out[i] = raw[start:end]
@@ -74,9 +99,9 @@ class WordIds:
     def _learn(self, words: set[bytes]) -> None:
         """A comma or full stop right after an ASCII letter is a token of its
         own, so ``word,`` has the ids of ``word`` and those of ``,``."""
-        ended = {w for w in words if len(w) > 1 and w[-1] in b".," and (w[-2] | 32) in _LETTERS}
+        ended = {w for w in words if w.endswith((b".", b",")) and w[-2:-1] in _LETTERS}
         new = list(((words - ended) | {w[:-1] for w in ended} | {b".", b","}) - self.seen.keys())
-        self.seen.update(zip(new, self._ids([w.decode() for w in new])))
+        self.seen.update(zip(new, self._ids(list(map(bytes.decode, new)))))
         for w in ended:
             self.seen[w] = self.seen[w[:-1]] + self.seen[w[-1:]]
 
@@ -84,7 +109,7 @@ class WordIds:
         """The ids of each text, then the end id."""
         # The vocabulary has no capitals; only a special token's name must be left as it is.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = {w for own in split for w in own}
+        words = set().union(*split)
         self.once -= words
         new = words - self.seen.keys()
         if len(self.seen) + len(new) > CACHE_WORDS:
@@ -102,7 +127,9 @@ class WordIds:
 
 
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_LETTERS = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: What the tasks of one Python worker remember, by vocabulary file: bounded by ``CACHE_WORDS``.
+_remembered: dict[str, WordIds] = {}
 
 
 def cut(total: int, longest: int = SEQUENCE) -> Iterator[tuple[int, int]]:
@@ -125,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = SEQUENCE, with_ids
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = _remembered.get(tokenizer_path) or _remembered.setdefault(tokenizer_path, WordIds(tokenizer_path))
         for whole in batches:
             for batch in byte_slices(whole, "text", 2 << 20):
                 texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()

@@ -103,3 +103,40 @@ def test_a_name_around_the_text_does_not_empty_it(spark, wrap, box):
 
     got = texts(spark, [(i, "http://h.example/", page(i)) for i in range(9)])
     assert all(got[i] == f"text of page {i} that goes on" for i in range(9))
+
+
+INSIDE = [
+    ("<header class='entry-header'><h1>Title {i}</h1></header>", "Title {i}"),
+    ("<p>lead {i}</p>", "lead {i}"),
+    ("<section class='discussion'><h2>Discussion {i}</h2><p>what follows {i}</p></section>", "Discussion {i}\nwhat follows {i}"),
+    ("<div class='rail'><p>by rail {i}</p></div>", "by rail {i}"),
+    ("<section class='market-share'><p>a third {i}</p></section>", "a third {i}"),
+    ("<ul class='menu'><li>soup {i}</li><li class=x>fish {i}</ul>", "soup {i}\nfish {i}"),
+    ("<blockquote class='alert'>mind the gap {i}</blockquote>", "mind the gap {i}"),
+    ("<p>press {i} <button>Start {i}</button></p>", "press {i}\nStart {i}"),
+    ("<h2 class='share'>Share prices {i}</h2>", "Share prices {i}"),
+    ("<p class='cookie-notice'>We use cookies {i}<p class='x'>after {i}</p>", "after {i}"),
+    ("<ul><li class='ad'>Buy {i}<li>kept {i}</li></ul>", "kept {i}"),
+    ("<div class='ad-slot'><p>Buy {i}</p></div><div class='related-posts'><p>More {i}</p></div>", ""),
+    ("<form><p>Mail {i}</p></form><div class='newsletter-signup'>Join {i}</div>", ""),
+    ("<section class='comments'><article><p>first! {i} and very much longer than all of the article's own text taken together {i}</p></article></section>", ""),
+]
+
+
+@pytest.mark.parametrize("pages", [1, 8])
+@pytest.mark.parametrize("box", ["article", "main", "div class=wrap><article"])
+def test_what_stands_in_an_article_stays(spark, pages, box):
+    def page(i):
+        end = "</article></div>" if box.startswith("div") else f"</{box}>"
+        inner = "".join(h for h, _ in INSIDE).replace("{i}", str(i))
+        return f"<body><header class='site'><h1>Site</h1></header><p class='cookie-notice'>Cookies!</p><{box}>{inner}{end}<div class=rail>x {i}</div><ul class=menu><li>m {i}</ul></body>"
+
+    want = lambda i: "\n".join(t for _, t in INSIDE if t).replace("{i}", str(i))
+    got = texts(spark, [(i, "http://h.example/", page(i)) for i in range(pages)])
+    assert got == {i: want(i) for i in range(pages)}
+
+
+def test_a_very_long_page_and_a_name_on_most_of_the_article(spark):
+    body = " ".join(f"w{k}" for k in range(300_000))
+    rows = [(1, "http://l.example/", f"<body><article><p>{body}</p></article></body>"), (2, "http://m.example/", "<article><h1>T</h1><div class='notice'><p>the whole story is here</p></div></article>")]
+    assert texts(spark, rows) == {1: body, 2: "T\nthe whole story is here"}

@@ -24,6 +24,12 @@ forms, scripts, styles ...) and class, id and role names (adverts, notices,
 sidebars, comments ...). A name says nothing of an article or main element
 within (but those of ``REMARKS``, which have articles of their own), nor of a container with ``DOMINANT`` of a page's text if no article or
 main element is left, nor if it tells what a layout has (``has-sidebar``).
+Within an article or main element the classes decide: headers and buttons are
+text there, and of the names only those count that say all by themselves
+(``CERTAIN``, alone or with words of ``PLACES``: ``ad-slot``, ``cookie-notice``,
+``related-posts``, but not ``market-share``, ``discussion``, ``rail``, ``menu``),
+nor do they count for half of the article's text and more, but for remarks. Such
+a name also counts on a paragraph or list item; none counts on a heading.
 
 A host of fewer than ``FEW`` pages uses the containers of all hosts together.
 The rest of a page's content slot is its text: character references decoded,
@@ -85,6 +91,19 @@ REMARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion "
     "comment comments disqus reply replies respond discussion related recommended".split()
 )
+# Names that mean boilerplate within an article, too, and words that go with them.
+CERTAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion "
+    "cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe signup "
+    "comment comments disqus respond share sharing social related recommended "
+    "sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager".split()
+)
+PLACES = frozenset(
+    "area articles bar block bottom box buttons container content form icons inline items label left links list "
+    "posts right section slot stories thread tools top unit wrap wrapper".split()
+)
+# Blocks that are containers only where a name of CERTAIN makes them boilerplate.
+ITEMS = frozenset("p li dt dd pre".split())
 LAYOUT_WORDS = frozenset("has with without no not is show hide hidden".split())
 MAIN = ("article", "main")
 
@@ -105,6 +124,15 @@ def is_named(name: str, names: frozenset = BOILERPLATE_NAMES) -> bool:
     return False
 
 
+def is_certain(name: str) -> bool:
+    """A class, id or role word consists of boilerplate words, a certain one among them."""
+    for word in name.split(".")[1:]:
+        parts = set(re.split(r"[-_]+", word))
+        if not CERTAIN.isdisjoint(parts) and parts <= BOILERPLATE_NAMES | PLACES:
+            return True
+    return False
+
+
 class Page:
     """Containers (path, boilerplate or not) and blocks (container, text)."""
 
@@ -112,6 +140,7 @@ class Page:
         self.paths: list[str] = []
         self.parent: list[int] = []
         self.main: list[bool] = []  # an article or main element, or within one
+        self.top: list[int] = []  # the outermost article or main element around, -1 for none
         self.hard: list[bool] = []  # within an element of boilerplate
         self.named: list[bool] = []  # boilerplate by its own names
         self.remark: list[bool] = []  # within remarks or teasers
@@ -147,10 +176,15 @@ class Page:
                 continue
             if tag in BREAKS:
                 end_block()
-            if tag not in CONTAINERS or m["rest"].endswith("/"):
+                if not closing and (names[-1] == "p" and tag != "br" or names[-1] == tag and tag in ITEMS):
+                    stack.pop()  # its end tag was left out
+                    names.pop()
+            if m["rest"].endswith("/") or tag not in CONTAINERS and not (tag in ITEMS and (closing or "=" in m["rest"])):
                 continue
             if not closing:
                 name = container_name(tag, m["rest"])
+                if tag in ITEMS and not is_certain(name):
+                    continue
                 names.append(tag)
                 stack.append(self._open(stack[-1], name))
             elif tag in names:
@@ -159,12 +193,15 @@ class Page:
                     if names.pop() == tag:
                         break
         end_block()
-        self.noise = self._noise()
         size = [0] * len(self.paths)
         for at, text in self.blocks:
             size[at] += 0 if self.hard[at] else len(text)
         for at in range(len(size) - 1, 0, -1):
             size[self.parent[at]] += size[at]
+        for at, top in enumerate(self.top):
+            if self.named[at] and top >= 0 and not self.remark[at] and size[at] and 2 * size[at] >= size[top]:
+                self.named[at] = False
+        self.noise = self._noise()
         if not any(m and n and not noisy for m, n, noisy in zip(self.main, size, self.noise)):
             dominant = [at for at, n in enumerate(size) if self.named[at] and n and n >= DOMINANT * size[0]]
             for at in dominant:
@@ -176,11 +213,12 @@ class Page:
         first = not self.paths
         above, hard, main = ("", False, False) if first else (self.paths[parent], self.hard[parent], self.main[parent])
         remark = not first and self.remark[parent]
-        named = tag not in ("html", "body") and is_named(name)
+        named = tag not in ("html", "body") and (is_certain(name) if main or tag in ITEMS else is_named(name))
         self.paths.append(f"{above}/{name}" if above else name)
         self.parent.append(parent)
         self.main.append(main or tag in MAIN)
-        self.hard.append(hard or (tag in BOILERPLATE_TAGS and not (main and name == "header")))
+        self.top.append((self.top[parent] if self.top[parent] >= 0 else parent) if main else -1)
+        self.hard.append(hard or (tag in BOILERPLATE_TAGS and not (main and tag in ("header", "button"))))
         self.named.append(named and tag not in MAIN)
         self.remark.append(remark or (named and is_named(name, REMARKS)))
         self.own_main.append(tag in MAIN and not main and not named and not remark)

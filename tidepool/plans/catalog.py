@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.plans import governance, identity, lakehouse, models, operations, profiling, quality, retrieval  # noqa: F401
+from tidepool.plans import governance, identity, lakehouse, models, operations, profiling, quality, retrieval, watch  # noqa: F401
 from tidepool.plans.registry import ORACLE, QUERIES
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.contracts import ALERT_BANDS, ALLOWED_EVENT_TYPES, EVENT_SCHEMA, VITAL_ITEMS
+from tidepool.sources.events import once
 
 
 def _band_outside(item, value):
@@ -46,7 +47,8 @@ def validate_contract(bronze: DataFrame, raw_col: str = "_raw") -> DataFrame:
     violation by itself. The raw text is parsed once, to a variant."""
     item = F.col("vital.itemid")
     readable = F.col("_corrupt_record").isNull()
-    raw = F.try_parse_json(F.col(raw_col))
+    bronze = once(bronze, "__raw", F.try_parse_json(F.col(raw_col)))
+    raw = F.col("__raw")
     checks = [
         F.when(~readable, F.lit("corrupt_record")),
         F.when(F.col("_rescued_data").isNotNull(), F.lit("unknown_field")),
@@ -55,14 +57,13 @@ def validate_contract(bronze: DataFrame, raw_col: str = "_raw") -> DataFrame:
         F.when(F.col("vital").isNotNull() & ~item.isin(*VITAL_ITEMS), F.lit("unknown_item")),
         *(F.when(readable, c) for c in _field_checks(raw, EVENT_SCHEMA, optional=OPTIONAL_FIELDS)),
     ]
-    violations = F.array_sort(F.array_compact(F.array(*checks)))
+    bronze = once(bronze, "violations", F.array_sort(F.array_compact(F.array(*checks))))
     return bronze.withColumns(
         {
-            "violations": violations,
-            "is_valid": F.size(violations) == 0,
+            "is_valid": F.size("violations") == 0,
             "out_of_range": F.coalesce(_band_outside(item, F.col("vital.value")), F.lit(False)),
         }
-    )
+    ).drop("__raw")
 
 
 def schema_drift(raw: DataFrame, expected: Sequence[str], raw_col: str = "_raw") -> DataFrame:

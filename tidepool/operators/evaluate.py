@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.quantiles import quantiles
@@ -86,19 +86,42 @@ def matched_threshold(scored: DataFrame, reference: str, models: Sequence[str],
     )
 
 
-def promote(matched: DataFrame, reference_recall: float) -> DataFrame:
+def promote(matched: DataFrame, reference_recall: float | Column) -> DataFrame:
     """Best model by matched recall; promoted when it beats the reference's
-    recall (a scalar from ``confusion``)."""
+    recall (a value or a scalar subquery of ``confusion``)."""
+    reference_recall = reference_recall if isinstance(reference_recall, Column) else F.lit(reference_recall)
     best = matched.agg(F.max_by("detector", F.struct("recall", "detector")).alias("model"), F.max("recall").alias("model_recall"))
-    promoted = F.col("model_recall") > F.lit(reference_recall)
+    promoted = F.col("model_recall") > reference_recall
     return best.select(
-        "model", "model_recall", F.lit(reference_recall).alias("reference_recall"), promoted.alias("promoted"),
+        "model", "model_recall", reference_recall.alias("reference_recall"), promoted.alias("promoted"),
         F.when(promoted, F.concat(F.lit("rules + NEWS2 + "), F.col("model"), F.lit(" (calibrated)"))).otherwise(
             F.lit("rules + NEWS2; model advisory")
         ).alias("use"),
     )
 
 
+def calibration_record(matched: DataFrame, reference_recall: float | Column) -> DataFrame:
+    """One row to be stored with the model: the best model, its threshold, the
+    recalls and whether it was promoted."""
+    best = promote(matched, reference_recall).select("model", "model_recall", "reference_recall", "promoted")
+    return best.join(matched.select(F.col("detector").alias("model"), "score_threshold"), "model")
+
+
+def calibrated(scored: DataFrame, record: DataFrame) -> DataFrame:
+    """The record's model's scores with ``flagged`` and ``status``. The threshold
+    counts only if the record was promoted (``calibrated``); without, or without
+    any record's promotion, the model's own flag is shown as advice."""
+    model = record.agg(F.first("model")).scalar()
+    threshold = record.filter("promoted").agg(F.first("score_threshold")).scalar()
+    own = scored.filter(F.col("detector") == model)
+    return own.withColumns(
+        {
+            "flagged": F.coalesce(F.col("score") > threshold, F.col("flag")),
+            "status": F.when(threshold.isNotNull(), "calibrated").otherwise("advisory"),
+        }
+    )
+
+
 def threshold_at(scored: DataFrame, detector: str, stable_set: str, fpr: float) -> DataFrame:
     """Quantile of a detector's stable scores at 1 - fpr (one value)."""
     s = scored.filter((F.col("detector") == detector) & (F.col("set") == stable_set))

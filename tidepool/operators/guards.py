@@ -167,18 +167,59 @@ def result_guard(df: DataFrame, suppress_small_counts: bool = True, count_column
     return df.select(*out)
 
 
-def redact_values(texts: DataFrame, values: DataFrame, key: str, text_col: str, value_col: str) -> DataFrame:
-    """Replace every raw value of the same ``key`` found inside the text by
-    the mask literal. Values are grouped per key (bounded by the result row
-    cap) and joined on the key - no text-by-value cross product."""
-    per_key = values.filter(F.col(value_col).isNotNull() & (F.col(value_col) != "")).groupBy(key).agg(
-        F.array_sort(F.collect_set(F.col(value_col).cast("string"))).alias("__vals")
+def guard_report(df: DataFrame, suppress_small_counts: bool = True, count_columns: Sequence[str] = ()) -> DataFrame:
+    """What ``result_guard`` does to a result, as one row: row_count, the masked
+    columns (sorted names), masked_cells (that held something), raw_values
+    (different ones among them) and suppressed_cells."""
+    masked = sorted(f.name for f in df.schema.fields if f.name.lower() in ALL_MASKED)
+    guarded = result_guard(df, suppress_small_counts, count_columns)
+    flags = [c for c in guarded.columns if c.endswith("_suppressed") and c not in df.columns]
+    cells = [F.count(F.col(f"`{c}`")) for c in masked]
+    suppressed = guarded.select(*[F.col(f"`{c}`").cast("int").alias(f"s{i}") for i, c in enumerate(flags)])
+    zero = F.lit(0).cast("long")
+    hidden = suppressed.agg(sum((F.coalesce(F.sum(f"s{i}"), zero) for i in range(len(flags))), zero).alias("n")).scalar() if flags else zero
+    values = [F.when(F.col(f"`{c}`") != MASK_LITERAL, F.col(f"`{c}`").cast("string")) for c in masked]
+    raw = df.select(F.explode(F.array(*values)).alias("v")).agg(F.count_distinct("v")).scalar() if masked else zero
+    return df.agg(F.count(F.lit(1)).alias("row_count"), sum(cells, zero).alias("masked_cells")).select(
+        "row_count", F.lit(",".join(masked)).alias("masked_columns"), "masked_cells", F.coalesce(raw, zero).alias("raw_values"), hidden.alias("suppressed_cells")
     )
-    joined = texts.join(per_key, key, "left")
+
+
+WITHHELD = f"The answer was withheld: it includes a group of fewer than {MIN_CELL_SIZE} patients, which is too small to report."
+
+
+def withhold(texts: DataFrame, guarded: DataFrame, key: str, text_col: str) -> DataFrame:
+    """``texts`` with ``withheld``: a text is replaced where a cell of the rows
+    of its key was suppressed (``guarded``: from ``result_guard``)."""
+    flags = [F.col(f"`{c}`") for c in guarded.columns if c.endswith("_suppressed")]
+    hit = F.greatest(F.lit(False), F.lit(False), *flags) if flags else F.lit(False)
+    per = guarded.groupBy(F.col(key).alias("__key")).agg(F.bool_or(hit).alias("withheld"))
+    met = texts.join(per, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return met.withColumn("withheld", F.coalesce("withheld", F.lit(False))).withColumn(text_col, F.when(F.col("withheld"), F.lit(WITHHELD)).otherwise(F.col(text_col)))
+
+
+#: A value is looked for where its first characters stand.
+HEAD = 3
+
+
+def redact_values(texts: DataFrame, values: DataFrame, key: str, text_col: str, value_col: str) -> DataFrame:
+    """Replace every raw value of the same ``key`` found inside the text by the
+    mask literal, in the values' order; ``leaked_values`` says how many were found.
+
+    A value can only stand where its first three characters do, so texts and
+    values meet on (key, those characters) and what meets is compared. A row
+    gathers the values its own text holds, never all those of its key."""
+    named = values.select(F.col(key).alias("k"), F.col(value_col).cast("string").alias("v")).where("v <> ''").distinct()
+    named = named.withColumn("head", F.left("v", F.lit(HEAD)))
+    own = texts.select(F.col(key).alias("k"), F.col(text_col).alias("t")).where("t is not null").distinct()
+    places = F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))
+    heads = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col("t"), i, F.lit(n)) for n in range(1, HEAD + 1)]))))
+    met = own.withColumn("head", F.explode(heads)).join(named, ["k", "head"]).where(F.contains("t", "v"))
+    found = met.groupBy("k", "t").agg(F.array_sort(F.collect_set("v")).alias("__vals")).withColumnsRenamed({"k": "__k", "t": "__t"})
+    joined = texts.join(found, (F.col(key) == F.col("__k")) & (F.col(text_col) == F.col("__t")), "left")
     vals = F.coalesce(F.col("__vals"), F.array().cast("array<string>"))
     redacted = F.aggregate(vals, F.col(text_col), lambda acc, v: F.replace(acc, v, F.lit(MASK_LITERAL)))
-    leaked = F.size(F.filter(vals, lambda v: F.contains(F.col(text_col), v)))
-    return joined.withColumn("leaked_values", leaked).withColumn(text_col, redacted).drop("__vals")
+    return joined.withColumn("leaked_values", F.size(vals)).withColumn(text_col, redacted).drop("__vals", "__k", "__t")
 
 
 # ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,6 @@ def window_rollup(
 
 def mark_complete(rollup: DataFrame, high_water) -> DataFrame:
     """``is_complete`` = the window ended at or before the newest event time
-    seen (``high_water``, a scalar the caller reads once). The newest window
+    seen (``high_water``, a value or a scalar subquery). The newest window
     stays visible with ``is_complete = false`` instead of being hidden."""
-    return rollup.withColumn("is_complete", F.col("window_end") <= F.lit(high_water))
+    return rollup.withColumn("is_complete", F.col("window_end") <= (high_water if isinstance(high_water, Column) else F.lit(high_water)))

@@ -86,12 +86,15 @@ _register_metric("avg_heart_rate", {}, key="weighted_avg")
 # --- governed reads ----------------------------------------------------------
 @query(
     "governed_lookup",
-    GOLD_CTES + "SELECT encounter_id, patient_id, unit, status FROM fct_encounters WHERE unit = 'ICU' AND status = 'in-progress' LIMIT 501",
+    GOLD_CTES.rstrip() + """,
+hit AS (SELECT encounter_id, patient_id, unit, status, row_number() OVER (ORDER BY encounter_id) AS i, count(*) OVER () AS n
+        FROM fct_encounters WHERE unit = 'ICU' AND status = 'in-progress')
+SELECT encounter_id, patient_id, unit, status, n > 500 AS truncated FROM hit WHERE i <= 500""",
 )
 def q_governed_lookup(spark, sf_dir):
     df = V.encounters_current(spark, sf_dir)
     out = GV.governed_lookup(df, "fct_encounters", {"unit": "ICU", "status": "in-progress"})
-    return out.select("encounter_id", "patient_id", "unit", "status")
+    return out.select("encounter_id", "patient_id", "unit", "status", "truncated")
 
 
 @query(
@@ -289,13 +292,39 @@ def q_redact_values(spark, sf_dir):
     return out.select("attending_provider_id", "answer", F.col("leaked_values").cast("int").alias("leaked_values"))
 
 
+@query(
+    "guard_report",
+    _PROVIDER_RESULT_SQL
+    + """SELECT count(*) AS row_count, 'full_name' AS masked_columns, count(full_name) AS masked_cells, count(DISTINCT full_name) AS raw_values,
+       count_if(n_patients > 0 AND n_patients < 11) AS suppressed_cells FROM pr""",
+)
+def q_guard_report(spark, sf_dir):
+    return G.guard_report(provider_result(spark, sf_dir))
+
+
+@query(
+    "withheld_answers",
+    _PROVIDER_RESULT_SQL
+    + """SELECT attending_provider_id, n_patients > 0 AND n_patients < 11 AS withheld,
+       CASE WHEN n_patients > 0 AND n_patients < 11 THEN 'The answer was withheld: it includes a group of fewer than 11 patients, which is too small to report.'
+         ELSE 'Provider ***REDACTED*** saw ' || CAST(n_patients AS VARCHAR) || ' patients' END AS answer FROM pr""",
+)
+def q_withheld_answers(spark, sf_dir):
+    """Answers beside their guarded rows: withheld where a cell was suppressed,
+    else with the raw values redacted."""
+    res = provider_result(spark, sf_dir)
+    texts = res.select("attending_provider_id", F.concat(F.lit("Provider "), F.col("full_name"), F.lit(" saw "), F.col("n_patients").cast("string"), F.lit(" patients")).alias("answer"))
+    redacted = G.redact_values(texts, res.select("attending_provider_id", "full_name"), "attending_provider_id", "answer", "full_name").drop("leaked_values")
+    return G.withhold(redacted, G.result_guard(res), "attending_provider_id", "answer").select("attending_provider_id", "withheld", "answer")
+
+
 def query_log(spark, sf_dir) -> DataFrame:
     """The analyst query log over the encounter history: one asked question
     and the SQL that answered it per history version. The SQL filters the
     version's unit; the question names the previous version's unit; SQL for
     discharged versions reads the Silver table."""
     hist = V.encounter_history(spark, sf_dir).filter(F.col("unit").isNotNull())
-    w = F.lag("unit").over(Window.partitionBy("encounter_id").orderBy("valid_from"))
+    w = F.lag("unit").over(Window.partitionBy("encounter_id").orderBy("valid_from", F.col("valid_to").asc_nulls_last(), "unit", "status"))
     h = hist.withColumn("asked_unit", F.coalesce(w, F.col("unit")))
     schema = F.when(F.col("status") == "discharged", F.lit("main.silver.silver_fct_encounters")).otherwise(F.lit("main.gold.fct_encounters"))
     return h.select(
@@ -309,7 +338,7 @@ def query_log(spark, sf_dir) -> DataFrame:
     "query_log_audit",
     GOLD_CTES.rstrip() + """,
 ql AS (SELECT encounter_id, valid_from, unit, status,
-         COALESCE(lag(unit) OVER (PARTITION BY encounter_id ORDER BY valid_from), unit) AS asked_unit
+         COALESCE(lag(unit) OVER (PARTITION BY encounter_id ORDER BY valid_from, valid_to NULLS LAST, unit, status NULLS FIRST), unit) AS asked_unit
        FROM fct_encounter_history WHERE unit IS NOT NULL)
 SELECT encounter_id, valid_from,
   CASE WHEN status = 'discharged' THEN 'main.silver.silver_fct_encounters' ELSE '' END AS outside_gold,

@@ -15,7 +15,7 @@ checks can be scored against ground truth:
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidepool.contracts import NICKNAMES
 from tidepool.operators import identity as I
 from tidepool.plans.registry import query
-from tidepool.session import ensure_checkpoint_dir
+from tidepool.session import cut_lineage, ensure_checkpoint_dir
 from tidepool.sources.tables import read_table
 
 FIRST = tuple(n.capitalize() for n in NICKNAMES)
@@ -38,54 +38,55 @@ def _pick(values, idx: Column) -> Column:
 
 
 def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered people and their planted second admissions, from one scan."""
     c = read_table(spark, sf_dir, "customer", ["c_custkey"])
     k = F.col("c_custkey")
-    y, m, d = F.lit(1935) + (k * 7) % 86, F.lit(1) + (k * 5) % 12, F.lit(1) + (k * 11) % 28
-    last = _pick(LAST, F.floor(k / 10))
-    base = c.select(
-        "c_custkey",
-        F.concat(F.lit("pt_"), F.lpad(k.cast("string"), 6, "0")).alias("patient_id"),
-        _pick(FIRST, k).alias("first"),
-        last.alias("last"),
-        F.make_date(y, m, d).cast("string").alias("birth_date"),
-        _pick(GENDERS, k).alias("gender"),
-        y.alias("y"), m.alias("m"), d.alias("d"),
-    )
-    first_adm = base.select(
-        "patient_id",
-        F.concat(F.lit("enc_"), k.cast("string")).alias("encounter_id"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(mins=k.cast("int"))).alias("event_ts"),
-        F.concat_ws(" ", "first", "last").alias("full_name"),
-        "birth_date",
-        "gender",
-    )
     r = k % 40
-    typo = F.concat(F.substr("last", F.lit(1), F.lit(2)), F.substr("last", F.lit(4), F.lit(1)), F.substr("last", F.lit(3), F.lit(1)), F.substr("last", F.lit(5)))
-    planted = base.filter(r.isin(1, 3, 5, 7, 9) & ~((r == 3) & (F.col("d") > 12))).select(
-        F.concat(F.lit("pt_9"), F.lpad(k.cast("string"), 5, "0")).alias("patient_id"),
-        F.concat(F.lit("enc_9"), k.cast("string")).alias("encounter_id"),
-        (F.lit("2024-01-02").cast("timestamp_ntz") + F.make_interval(mins=k.cast("int"))).alias("event_ts"),
-        F.concat_ws(
-            " ",
-            F.when(r == 7, _pick(NICK, k)).otherwise(F.col("first")),
-            F.when(r == 1, typo).when(r == 9, _pick(LAST, F.floor(k / 10) + 3)).otherwise(F.col("last")),
-        ).alias("full_name"),
-        F.when(r == 3, F.make_date("y", "d", "m").cast("string")).otherwise(F.col("birth_date")).alias("birth_date"),
-        "gender",
+
+    def born(key: Column) -> list[Column]:
+        return [F.lit(1935) + (key * 7) % 86, F.lit(1) + (key * 5) % 12, F.lit(1) + (key * 11) % 28]
+
+    def date(y: Column, m: Column, d: Column) -> Column:
+        return F.make_date(y, m, d).cast("string")
+
+    def at(day: str) -> Column:
+        return F.lit(day).cast("timestamp_ntz") + F.make_interval(mins=k.cast("int"))
+
+    y, m, d = born(k)
+    first, last = _pick(FIRST, k), _pick(LAST, F.floor(k / 10))
+    own = F.concat(F.lit("pt_"), F.lpad(k.cast("string"), 6, "0"))
+    typo = F.concat(F.substr(last, F.lit(1), F.lit(2)), F.substr(last, F.lit(4), F.lit(1)), F.substr(last, F.lit(3), F.lit(1)), F.substr(last, F.lit(5)))
+    key = k.cast("string")
+
+    def row(patient: Column, encounter: Column, ts: Column, name: Column, birth: Column) -> Column:
+        return F.struct(
+            patient.alias("patient_id"), encounter.alias("encounter_id"), ts.alias("event_ts"), name.alias("full_name"), birth.alias("birth_date"), _pick(GENDERS, k).alias("gender")
+        )
+
+    registered = row(own, F.concat(F.lit("enc_"), key), at("2024-01-01"), F.concat_ws(" ", first, last), date(y, m, d))
+    again = row(
+        F.concat(F.lit("pt_9"), F.lpad(key, 5, "0")),
+        F.concat(F.lit("enc_9"), key),
+        at("2024-01-02"),
+        F.concat_ws(" ", F.when(r == 7, _pick(NICK, k)).otherwise(first), F.when(r == 1, typo).when(r == 9, _pick(LAST, F.floor(k / 10) + 3)).otherwise(last)),
+        F.when(r == 3, date(y, d, m)).otherwise(date(y, m, d)),
     )
     k1 = k + 1
-    other = base.filter(r == 11).select(
-        "patient_id",
-        F.concat(F.lit("enc_8"), k.cast("string")).alias("encounter_id"),
-        (F.lit("2024-01-03").cast("timestamp_ntz") + F.make_interval(mins=k.cast("int"))).alias("event_ts"),
-        F.concat_ws(" ", _pick(FIRST, k1), _pick(LAST, F.floor(k1 / 10) + 5)).alias("full_name"),
-        F.make_date(F.lit(1935) + (k1 * 7) % 86, F.lit(1) + (k1 * 5) % 12, F.lit(1) + (k1 * 11) % 28).cast("string").alias("birth_date"),
-        "gender",
-    )
-    readmit = first_adm.join(base.filter(r == 13).select("patient_id"), "patient_id", "left_semi").withColumns(
-        {"encounter_id": F.concat(F.lit("enc_7"), F.col("encounter_id")), "event_ts": F.col("event_ts") + F.expr("INTERVAL 3 DAYS")}
-    )
-    return first_adm.unionByName(planted).unionByName(other).unionByName(readmit)
+    other = row(own, F.concat(F.lit("enc_8"), key), at("2024-01-03"), F.concat_ws(" ", _pick(FIRST, k1), _pick(LAST, F.floor(k1 / 10) + 5)), date(*born(k1)))
+    readmitted = row(own, F.concat(F.lit("enc_7enc_"), key), at("2024-01-04"), F.concat_ws(" ", first, last), date(y, m, d))
+    planted = r.isin(1, 3, 5, 7, 9) & ~((r == 3) & (d > 12))
+    rows = F.array(registered, F.when(planted, again), F.when(r == 11, other), F.when(r == 13, readmitted))
+    return c.select(F.explode(F.array_compact(rows)).alias("a")).select("a.*")
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The admissions, written once for all that a query computes from them."""
+    return cut_lineage(admissions(spark, sf_dir))
+
+
+def checked(adm: DataFrame) -> DataFrame:
+    """The candidates of the four checks, computed once."""
+    return cut_lineage(I.candidates(adm))
 
 
 def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,21 +106,21 @@ def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def truth_components(spark, sf_dir) -> DataFrame:
-    return I.connected_components(truth_pairs(spark, sf_dir), "patient_id_a", "patient_id_b")
+def truth_components(spark, sf_dir, pairs: DataFrame | None = None) -> DataFrame:
+    pairs = truth_pairs(spark, sf_dir) if pairs is None else pairs
+    return I.connected_components(pairs, "patient_id_a", "patient_id_b")
 
 
-def pair_candidates(adm: DataFrame) -> DataFrame:
-    c = I.candidates(adm).filter(F.size("patient_ids") == 2)
+def pair_candidates(cands: DataFrame) -> DataFrame:
+    c = cands.filter(F.size("patient_ids") == 2)
     return c.select("check", "key", F.get("patient_ids", 0).alias("patient_id_a"), F.get("patient_ids", 1).alias("patient_id_b"))
 
 
-def decisions(spark, sf_dir) -> DataFrame:
+def decisions(spark, sf_dir, cands: DataFrame) -> DataFrame:
     """Steward decisions replayed from ground truth for the exact and fuzzy
     checks (name-change and shared-id candidates stay pending)."""
-    adm = admissions(spark, sf_dir)
-    cands = I.candidates(adm).filter(F.col("check").isin("exact_duplicate", "fuzzy_duplicate"))
-    return I.replay_decisions(cands, truth_components(spark, sf_dir), "steward", DECIDED_AT)
+    open_checks = cands.filter(F.col("check").isin("exact_duplicate", "fuzzy_duplicate"))
+    return I.replay_decisions(open_checks, truth_components(spark, sf_dir), "steward", DECIDED_AT)
 
 
 # ---------------------------------------------------------------------------
@@ -260,7 +261,7 @@ def q_name_change(spark, sf_dir):
 
 @query("identity_candidates", "WITH " + CHECKS_SQL + 'SELECT "check", ids, detail FROM cands')
 def q_identity_candidates(spark, sf_dir):
-    c = I.candidates(admissions(spark, sf_dir))
+    c = I.candidates(people(spark, sf_dir))
     return c.select("check", F.col("key").alias("ids"), "detail")
 
 
@@ -274,7 +275,7 @@ def q_explode_pairs(spark, sf_dir):
     _with_recursive(CHECKS_SQL + ",\n" + _components_sql("pairs", "cc") + "\nSELECT id, component FROM cc"),
 )
 def q_connected_components(spark, sf_dir):
-    p = pair_candidates(admissions(spark, sf_dir))
+    p = pair_candidates(I.candidates(people(spark, sf_dir)))
     return I.connected_components(p, "patient_id_a", "patient_id_b")
 
 
@@ -283,7 +284,7 @@ def q_connected_components(spark, sf_dir):
     _with_recursive(CHECKS_SQL + DECISIONS_SQL + "SELECT patient_ids, decision, decided_by, decided_at, note FROM decisions"),
 )
 def q_replay_decisions(spark, sf_dir):
-    return decisions(spark, sf_dir)
+    return decisions(spark, sf_dir, I.candidates(people(spark, sf_dir)))
 
 
 @query(
@@ -300,7 +301,7 @@ def q_replay_decisions(spark, sf_dir):
 def q_validate_decisions(spark, sf_dir):
     """Decisions with a fault for four of ten last digits of their ids."""
     last, ids = F.right("patient_ids", F.lit(1)), F.col("patient_ids")
-    spoilt = decisions(spark, sf_dir).select(
+    spoilt = decisions(spark, sf_dir, I.candidates(people(spark, sf_dir))).select(
         F.when(last == "2", F.concat(ids, F.lit(" , pt_0"))).when(last == "3", F.replace(ids, F.lit("pt_"), F.lit("x"))).otherwise(ids).alias("patient_ids"),
         F.when(last == "0", "maybe").otherwise(F.col("decision")).alias("decision"),
         F.when(last == "1", "  ").otherwise(F.col("decided_by")).alias("decided_by"),
@@ -322,8 +323,8 @@ _SAME_PAIRS = "same_pairs AS (SELECT split_part(patient_ids, ',', 1) AS patient_
     ),
 )
 def q_person_map(spark, sf_dir):
-    adm = admissions(spark, sf_dir)
-    return I.person_map(adm.select("patient_id").distinct(), decisions(spark, sf_dir))
+    adm = people(spark, sf_dir)
+    return I.person_map(adm.select("patient_id").distinct(), decisions(spark, sf_dir, I.candidates(adm)))
 
 
 @query(
@@ -332,8 +333,8 @@ def q_person_map(spark, sf_dir):
         WHERE ids NOT IN (SELECT patient_ids FROM decisions)"""),
 )
 def q_review_queue(spark, sf_dir):
-    c = I.candidates(admissions(spark, sf_dir))
-    return I.review_queue(c, decisions(spark, sf_dir)).select("check", "key", "detail")
+    c = checked(people(spark, sf_dir))
+    return I.review_queue(c, decisions(spark, sf_dir, c)).select("check", "key", "detail")
 
 
 @query(
@@ -344,8 +345,8 @@ def q_review_queue(spark, sf_dir):
       FROM (SELECT DISTINCT "check", ids FROM cands) c LEFT JOIN decisions d ON d.patient_ids = c.ids GROUP BY c."check" """),
 )
 def q_review_summary(spark, sf_dir):
-    c = I.candidates(admissions(spark, sf_dir))
-    return I.review_summary(c, decisions(spark, sf_dir))
+    c = checked(people(spark, sf_dir))
+    return I.review_summary(c, decisions(spark, sf_dir, c))
 
 
 @query(
@@ -361,8 +362,9 @@ def q_review_summary(spark, sf_dir):
       WHERE NOT coalesce(ca.component = cb.component, false)"""),
 )
 def q_identity_score(spark, sf_dir):
-    adm = admissions(spark, sf_dir)
-    return I.score_checks(pair_candidates(adm), truth_pairs(spark, sf_dir), truth_components(spark, sf_dir))
+    flagged = pair_candidates(checked(people(spark, sf_dir)))
+    truth = cut_lineage(truth_pairs(spark, sf_dir))
+    return I.score_checks(flagged, truth, truth_components(spark, sf_dir, truth))
 
 
 @query(
@@ -392,16 +394,17 @@ def q_closure_pairs(spark, sf_dir):
 def q_identity_summary(spark, sf_dir):
     """Snapshot counts in long form (measure, value): one small aggregate per
     measure, unioned."""
-    adm = admissions(spark, sf_dir)
-    p = pair_candidates(adm)
+    adm = people(spark, sf_dir)
+    cands = checked(adm)
+    p = pair_candidates(cands)
     cc = I.connected_components(p, "patient_id_a", "patient_id_b")
-    people = I.person_map(adm.select("patient_id").distinct(), decisions(spark, sf_dir))
+    persons = I.person_map(adm.select("patient_id").distinct(), decisions(spark, sf_dir, cands))
     parts = [
         I.shared_ids(adm).agg(F.lit("flagged_ids").alias("measure"), F.count(F.lit(1)).alias("value")),
         cc.agg(F.lit("groups").alias("measure"), F.count_distinct("component").alias("value")),
         cc.agg(F.lit("ids_involved").alias("measure"), F.count(F.lit(1)).alias("value")),
         p.select("patient_id_a", "patient_id_b").distinct().agg(F.lit("pairs").alias("measure"), F.count(F.lit(1)).alias("value")),
-        people.agg(F.lit("people").alias("measure"), F.count_distinct("person_key").alias("value")),
+        persons.agg(F.lit("people").alias("measure"), F.count_distinct("person_key").alias("value")),
     ]
     out = parts[0]
     for x in parts[1:]:
@@ -414,9 +417,8 @@ def q_identity_summary(spark, sf_dir):
     _with_recursive(CHECKS_SQL + DECISIONS_SQL + "SELECT patient_ids, decision, decided_by, decided_at, note FROM decisions"),
 )
 def q_publish_decisions(spark, sf_dir):
-    """Replace the decisions table with the current decisions, then read it
-    back (the table lives in the shared checkpoint folder)."""
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", "identity_decisions")
-    decisions(spark, sf_dir).write.mode("overwrite").parquet(path)
+    """Replace a decisions table of this run's own (in the shared checkpoint
+    folder) with the current decisions, then read it back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/identity_decisions-{uuid.uuid4().hex}"
+    decisions(spark, sf_dir, I.candidates(people(spark, sf_dir))).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -150,8 +150,8 @@ def q_admissions_fact(spark, sf_dir):
 )
 def q_live_window_status(spark, sf_dir):
     """The live rollup with the still-filling window marked, not hidden: the
-    newest event time is read once (one aggregate) and compared per window."""
+    newest event time is a scalar subquery that every window is compared with."""
     readings = V.fct_vitals(spark, sf_dir).filter(F.col("itemid") == "heart_rate")
-    high = readings.agg(F.max("event_ts").alias("m")).first()["m"]
+    high = readings.agg(F.max("event_ts").alias("m")).scalar()
     out = live.mark_complete(live_vitals_by_unit(spark, sf_dir), high)
     return out.select("window_start", "window_end", "unit", "reading_count", "is_complete")

@@ -8,6 +8,8 @@ the stable set (label 0), every other set should be flagged (label 1).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from tidepool.operators import evaluate as E
 from tidepool.functions import vitals as SC
 from tidepool.plans import views as V
 from tidepool.plans.registry import query
+from tidepool.session import ensure_checkpoint_dir
 
 STABLE = "view"
 # panel arithmetic: item -> (base, multiplier, modulus, divisor)
@@ -178,10 +181,30 @@ def q_matched_threshold(spark, sf_dir):
 )
 def q_promote_decision(spark, sf_dir):
     sc = scored(spark, sf_dir)
-    ref = E.confusion(sc).filter(F.col("detector") == "news2").first()["recall"]
+    ref = E.confusion(sc).filter(F.col("detector") == "news2").agg(F.first("recall")).scalar()
     return E.promote(E.matched_threshold(sc, "news2", ["deviation", "range_rule"], STABLE), ref)
 
 
+@query(
+    "calibrated_labels",
+    _MATCHED_SQL + """, nr AS (SELECT round(count(*) FILTER (WHERE flag AND label = 1) / count(*) FILTER (WHERE label = 1), 6) AS rr FROM s WHERE detector = 'news2'),
+    best AS (SELECT arg_max(detector, (recall, detector)) AS model, max(recall) > (SELECT rr FROM nr) AS promoted FROM matched),
+    rec AS (SELECT model, promoted, (SELECT score_threshold FROM matched WHERE detector = model) AS th FROM best)
+    SELECT s.detector, s.set, count(*) AS n, count_if(CASE WHEN promoted THEN score > th ELSE flag END) AS flagged,
+      CASE WHEN promoted THEN 'calibrated' ELSE 'advisory' END AS status
+    FROM s JOIN rec ON s.detector = rec.model GROUP BY s.detector, s.set, promoted""",
+)
+def q_calibrated_labels(spark, sf_dir):
+    """Flags of the best model by a stored calibration record, used only if it
+    was promoted; else the model's own flags, as advice."""
+    sc = scored(spark, sf_dir)
+    ref = E.confusion(sc).filter(F.col("detector") == "news2").agg(F.first("recall")).scalar()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/calibration-{uuid.uuid4().hex}"
+    E.calibration_record(E.matched_threshold(sc, "news2", ["deviation", "range_rule"], STABLE), ref).write.parquet(path)
+    labelled = E.calibrated(sc, spark.read.parquet(path))
+    return labelled.groupBy("detector", "set", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("flagged"))
+
+
 @query(
     "layered_rates",
     SCORED_SQL + """SELECT set, round(avg(CAST(rr AS DOUBLE)), 6) AS range_rule, round(avg(CAST(nw AS DOUBLE)), 6) AS news2,

@@ -212,8 +212,8 @@ def q_retrieval_eval(spark, sf_dir):
     per = methods.join(hits, "method", "left").groupBy("method").agg(
         F.count_if(F.col("top1")).alias("top1"), F.count_if(F.col("top3")).alias("top3")
     )
-    nq = truth.agg(F.count_distinct("q").alias("questions")).first()["questions"]
-    return per.withColumn("questions", F.lit(nq).cast("bigint"))
+    asked = truth.agg(F.count_distinct("q").alias("questions")).scalar()
+    return per.withColumn("questions", asked.cast("bigint"))
 
 
 @query(

@@ -62,13 +62,20 @@ def read_events(spark: SparkSession, source: str, *, path: str | None = None, bo
     raise ValueError(f"unknown events source {source!r}; use 'kafka' or 'files'")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that is computed once a row: a generator of one
+    element, which the optimizer does not copy into each expression that uses
+    it (it would copy a plain column)."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def parse_permissive(raw: DataFrame, schema: T.StructType = EVENT_SCHEMA, raw_col: str = "_raw",
                      keep_raw: bool = False) -> DataFrame:
     """Parse JSON text into ``payload``; keep the raw text in
     ``_corrupt_record`` when the payload is NULL or has neither ``event_id``
     nor ``event_type`` (malformed bytes parse to an all-NULL struct)."""
     opts = {"mode": "PERMISSIVE", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"}
-    parsed = raw.withColumn("payload", F.from_json(F.col(raw_col), schema, opts))
+    parsed = once(raw, "payload", F.from_json(F.col(raw_col), schema, opts))
     unparsed = F.col("payload").isNull() | (F.col("payload.event_id").isNull() & F.col("payload.event_type").isNull())
     keep = [c for c in raw.columns if keep_raw or c != raw_col]
     return parsed.select(*keep, "payload", F.when(unparsed, F.col(raw_col)).alias("_corrupt_record"))
@@ -92,7 +99,8 @@ def rescue_unknown_fields(df: DataFrame, contract: Mapping[str, Sequence[str]],
     child names (``contracts.contract_keys``). Nothing is dropped and nothing
     fails: unknown data is carried next to the parsed row.
     """
-    top = F.from_json(F.col(raw_col), "map<string,string>")
+    df = once(df, "__top", F.from_json(F.col(raw_col), "map<string,string>"))
+    top = F.col("__top")
     parts = [_unknown_keys(top, contract[""])]
     for parent, children in contract.items():
         if not parent:
@@ -101,7 +109,8 @@ def rescue_unknown_fields(df: DataFrame, contract: Mapping[str, Sequence[str]],
         unknown = _unknown_keys(child, children)
         parts.append(F.transform_keys(unknown, _prefixer(parent + ".")))
     merged = F.map_concat(*[F.coalesce(p, F.create_map().cast("map<string,string>")) for p in parts])
-    return df.withColumn(out_col, F.when(F.size(merged) > 0, F.to_json(merged)))
+    df = once(df, "__unknown", merged)
+    return df.withColumn(out_col, F.when(F.size("__unknown") > 0, F.to_json("__unknown"))).drop("__top", "__unknown")
 
 
 def rescued_keys(col: str = "_rescued_data") -> Column:

@@ -216,7 +216,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFr
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text is not null")
     rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").distinct()
-    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(train_rows)
+    # Ordered by digests: sort keys are sampled at the driver, which texts would grow with.
+    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", F.md5("text")).limit(train_rows)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:

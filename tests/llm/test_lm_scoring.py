@@ -117,3 +117,21 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
     assert [tuple(r) for r in L.score(df).collect()] == [(held, True, 3, 0, 0, 0.0, 0.0)]
     assert L.score(df.limit(0)).count() == 0
+
+
+def test_every_token_reaches_backpropagation(monkeypatch):
+    """Also those that are left over when the text is cut into equal streams."""
+    seen = []
+    real = L.window_gradients
+
+    def watched(net, h, ids, start):
+        seen.append(np.array(ids).ravel())
+        assert h.shape[0] == ids.shape[0] == start.shape[0]
+        return real(net, h, ids, start)
+
+    monkeypatch.setattr(L, "window_gradients", watched)
+    rng = np.random.default_rng(0)
+    docs = [rng.integers(0, 70, n) for n in (700, 13, 1, 3000, 301)]
+    L.learn(tiny(), docs, 0.01, 3)
+    assert sorted(np.concatenate(seen).tolist()) == sorted(np.concatenate(docs).tolist())
+    assert sum(map(len, seen)) % max(1, min(L.STREAMS, sum(map(len, docs)) // (8 * L.STEPS))) != 0

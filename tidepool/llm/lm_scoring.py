@@ -254,18 +254,24 @@ def learn(net: dict, docs: list[np.ndarray], rate: float, seed: int) -> dict:
     start[np.cumsum([0] + [len(docs[i]) for i in order])[:-1]] = True
     streams = max(1, min(STREAMS, len(ids) // (8 * STEPS)))
     length = len(ids) // streams
-    ids, start = ids[: streams * length].reshape(streams, length), start[: streams * length].reshape(streams, length)
+    whole = streams * length
+    tail, tail_start = ids[whole:][None], start[whole:][None]  # goes on where the last stream ends
+    ids, start = ids[:whole].reshape(streams, length), start[:whole].reshape(streams, length)
     start[:, 0] = True
     h = np.zeros((streams, net["state"].shape[0]), np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
-    for turn, a in enumerate(range(0, length, STEPS), 1):
-        _, grad, h = window_gradients(net, h, ids[:, a : a + STEPS], start[:, a : a + STEPS])
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        for k, g in grad.items():
-            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            net[k] -= np.float32(rate) * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)
+    turn = 0
+    for part, part_start in ((ids, start), (tail, tail_start)):
+        h = h[-len(part) :]
+        for a in range(0, part.shape[1], STEPS):
+            turn += 1
+            _, grad, h = window_gradients(net, h, part[:, a : a + STEPS], part_start[:, a : a + STEPS])
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            for k, g in grad.items():
+                g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.01 * (g * g - second[k])
+                net[k] -= np.float32(rate) * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)
     return net
 
 

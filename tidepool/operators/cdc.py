@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators.sequence import carry_forward, next_value
+from tidepool.operators.sequence import carried_with_next, carry_forward, next_value
 
 
 def _rank(sequence_by: str, tiebreak: str | None) -> Column:
@@ -72,12 +72,12 @@ def scd2_history(
     keys, columns = list(keys), list(columns)
     order = [sequence_by, tiebreak] if tiebreak else [sequence_by]
     df = changes.select(*{c: None for c in [*keys, *order, *columns]})
-    seg = None
     if segment is not None:
         seg = "__segment"
         df = df.withColumn(seg, F.date_trunc(segment, F.col(sequence_by)))
-    filled = carry_forward(df, keys, order, columns, segment=seg)
-    versioned = next_value(filled, keys, order, sequence_by, end_col, segment=seg)
+        versioned = carried_with_next(df, keys, order, columns, sequence_by, end_col, seg)
+    else:
+        versioned = next_value(carry_forward(df, keys, order, columns), keys, order, sequence_by, end_col)
     out = [*keys, *[c for c in columns if c not in keys], F.col(sequence_by).alias(start_col), end_col]
     if tiebreak and tiebreak not in columns and tiebreak not in keys:
         out.append(tiebreak)

@@ -40,20 +40,43 @@ def carry_forward(
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select(*others, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
 
+    # One row per (key, segment) with its last values; what earlier segments hand on comes from these.
     part = [*keys, segment]
-    w_seg = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = df.select(*others, *[F.last(c, ignorenulls=True).over(w_seg).alias(c) for c in columns])
+    before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    ends = last_of_segments(df, part, order, columns)
+    carry = ends.select(*part, *[F.last(c, ignorenulls=True).over(before).alias(f"__in_{c}") for c in columns])
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = df.join(carry, part, "left")
+    return met.select(*others, *[F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"__in_{c}")).alias(c) for c in columns])
+
 
-    # One row per (key, segment): the carried value at the segment's last row
-    # (= its last non-NULL value). Taken from ``local``, so the input is
-    # shuffled once and both branches read the same exchange.
+def last_of_segments(df: DataFrame, part: Sequence[str], order: Sequence[str], columns: Sequence[str], *more: Column) -> DataFrame:
+    """One row for each (key, segment): the last non-NULL value of each column,
+    and ``more`` aggregates (partial combine)."""
     rank = F.struct(*_cols(order))
-    summary = local.groupBy(*part).agg(*[F.max_by(F.col(c), rank).alias(c) for c in columns])
-    w_prev = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*part, *[F.last(c, ignorenulls=True).over(w_prev).alias(f"__in_{c}") for c in columns])
-    joined = local.join(carry, on=part, how="left")
-    return joined.select(
-        *others, *[F.coalesce(F.col(c), F.col(f"__in_{c}")).alias(c) for c in columns]
+    return df.groupBy(*part).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns], *more)
+
+
+def carried_with_next(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], value: str, alias: str, segment: str
+) -> DataFrame:
+    """``columns`` carried forward and ``alias`` = ``value`` of the key's next
+    row, from one summary of the segments."""
+    part = [*keys, segment]
+    others = [c for c in df.columns if c not in columns]
+    ends = last_of_segments(df, part, order, columns, F.min(value).alias("__first"))
+    w_key = Window.partitionBy(*keys).orderBy(segment)
+    before = w_key.rowsBetween(Window.unboundedPreceding, -1)
+    edges = ends.select(
+        *part, *[F.last(c, ignorenulls=True).over(before).alias(f"__in_{c}") for c in columns], F.lead("__first").over(w_key).alias("__next_seg")
+    )
+    met = df.join(edges, part, "left")
+    inside = Window.partitionBy(*part).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return met.select(
+        *others,
+        *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"__in_{c}")).alias(c) for c in columns],
+        F.coalesce(F.lead(value).over(inside), F.col("__next_seg")).alias(alias),
     )
 
 

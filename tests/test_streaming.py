@@ -98,6 +98,31 @@ def test_cooldown_stream_equals_batch(spark, tmp):
     assert got == want
 
 
+def test_cooldown_sink_equals_batch_for_a_hot_fingerprint(spark, tmp):
+    rng = random.Random(6)
+    rows = [("hot", T0 + timedelta(minutes=17 * i)) for i in range(400)] + [("hot", T0 + timedelta(minutes=17 * 5))]
+    rows += [(f"f{rng.randrange(4)}", T0 + timedelta(minutes=rng.randrange(7000))) for _ in range(60)]
+    rows.sort(key=lambda r: r[1])
+    src = os.path.join(tmp, "alerts")
+    for k in range(0, len(rows), 160):  # files land in event-time order
+        spark.createDataFrame(rows[k : k + 160], "fingerprint string, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+    sink = R.CooldownMerger(os.path.join(tmp, "cool"))
+    stream = spark.readStream.schema("fingerprint string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    sink.start(stream, os.path.join(tmp, "ck")).awaitTermination()
+    batch = spark.createDataFrame(rows, "fingerprint string, ts timestamp")
+    want = sorted((r.fingerprint, r.ts, r.sent) for r in oplog.alert_cooldown(batch).collect())
+    read = lambda: sorted((r.fingerprint, r.ts, r.sent) for r in spark.read.parquet(sink.out).collect())
+    assert read() == want and len(want) == len(rows)
+    # A batch that is replayed changes nothing; a late alert is not sent, and expired state is gone.
+    last = len(range(0, len(rows), 160)) - 1
+    sink(spark.createDataFrame(rows[160 * last :], "fingerprint string, ts timestamp"), last)
+    assert read() == want
+    sink(spark.createDataFrame([("hot", T0), ("new", T0 + timedelta(days=40))], "fingerprint string, ts timestamp"), last + 1)
+    assert sorted(set(read()) - set(want)) == [("hot", T0, False), ("new", T0 + timedelta(days=40), True)]
+    state = spark.read.parquet(sink.state).filter(F.col("batch_id") == last + 1).collect()
+    assert [r.fingerprint for r in state] == ["new"]
+
+
 def test_live_rollup_stream_shows_filling_window_and_equals_batch(spark, tmp):
     rows = [(T0 + timedelta(minutes=m), u, v) for m, u, v in
             [(0, "ICU", 80.0), (5, "ICU", 150.0), (14, "ED", 60.0), (16, "ICU", 90.0), (31, "ED", 50.0)]]

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
 
 from tidepool.contracts import ALERT_BANDS, ENCOUNTER_WATERMARK, EVENT_SCHEMA, VITALS_WATERMARK, contract_keys
-from tidepool.operators import bronze, cdc, expectations, live
+from tidepool.operators import bronze, cdc, expectations, live, oplog
 from tidepool.plans.views import HISTORY_COLUMNS, cdc_flatten, vitals_project
+from tidepool.session import cut_lineage
 from tidepool.sources.events import parse_permissive, rescue_unknown_fields
 
 
@@ -164,9 +166,61 @@ COOLDOWN_OUT = "fingerprint string, ts timestamp, sent boolean"
 COOLDOWN_STATE = "last_sent timestamp"
 
 
+class CooldownMerger:
+    """The alert cool-down as a ``foreachBatch`` sink, without a group per
+    fingerprint: the chain of a micro-batch is found by the joins of
+    ``oplog.alert_cooldown``, so a fingerprint with most of the alerts is spread
+    over tasks, and the last alert sent before begins its chain.
+
+    State is a table of the last sent alert of each fingerprint, written anew for
+    each batch; an entry goes once no alert up to ``delay_hours`` late can fall
+    into its cool-down. A replayed batch reads the state before it and overwrites
+    its own results. Alerts before the last sent one (late) are not sent.
+    """
+
+    def __init__(self, root: str, hours: int = 24, delay_hours: int = 24):
+        self.hours, self.delay = hours, delay_hours
+        self.out, self.state = os.path.join(root, "alerts"), os.path.join(root, "last_sent")
+
+    def _before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """fingerprint and last_sent as the batch before left them."""
+        schema = "fingerprint string, last_sent timestamp, batch_id int"
+        try:
+            table = spark.read.schema(schema).parquet(self.state).filter(F.col("batch_id") < batch_id)
+        except AnalysisException:  # the first batch
+            return spark.createDataFrame([], schema).drop("batch_id")
+        newest = table.agg(F.max("batch_id")).scalar()
+        return table.filter(F.col("batch_id") == newest).drop("batch_id")
+
+    def _write(self, df: DataFrame, path: str, batch_id: int) -> None:
+        out = df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("batch_id").parquet(path)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = cut_lineage(self._before(spark, batch_id))
+        rows = batch.select("fingerprint", F.col("ts").cast("timestamp").alias("ts")).join(before, "fingerprint", "left")
+        rows = cut_lineage(rows)
+        late = rows.filter(F.col("ts") < F.col("last_sent")).select("fingerprint", "ts", F.lit(False).alias("sent"))
+        ahead = rows.filter(F.col("last_sent").isNull() | (F.col("ts") >= F.col("last_sent")))
+        seeds = before.join(ahead.select("fingerprint").distinct(), "fingerprint", "left_semi").select("fingerprint", F.col("last_sent").alias("ts"))
+        judged = oplog.alert_cooldown(seeds.unionByName(ahead.select("fingerprint", "ts")), self.hours)
+        judged = cut_lineage(judged.join(before, "fingerprint", "left"))
+        seed = F.col("sent") & F.col("ts").eqNullSafe(F.col("last_sent"))  # sent by an earlier batch
+        self._write(judged.filter(~seed).select("fingerprint", "ts", "sent").unionByName(late), self.out, batch_id)
+        sent = judged.filter("sent").select("fingerprint", F.col("ts").alias("last_sent"))
+        last = before.unionByName(sent).groupBy("fingerprint").agg(F.max("last_sent").alias("last_sent"))
+        newest = before.select(F.col("last_sent").alias("t")).unionByName(rows.select(F.col("ts").alias("t"))).agg(F.max("t")).scalar()
+        self._write(last.filter(F.col("last_sent") > newest - F.make_dt_interval(hours=F.lit(self.hours + self.delay))), self.state, batch_id)
+
+    def start(self, alerts: DataFrame, checkpoint: str) -> StreamingQuery:
+        return alerts.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def alert_cooldown_stream(alerts: DataFrame, hours: int = 24) -> DataFrame:
     """Per fingerprint, state = time of the last sent alert; an alert is sent
-    when ``hours`` have passed since it. One row of state per fingerprint."""
+    when ``hours`` have passed since it. One row of state per fingerprint, whose
+    alerts of a micro-batch meet in one task; ``CooldownMerger`` spreads them."""
     gap = pd.Timedelta(hours=hours)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 
 import numpy as np
@@ -25,6 +27,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker that waits for its
+    next task keeps what its last one took otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share a doc_id; repeated rows share the key."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import winnow
-from tidepool.llm.common import byte_slices, text_key, utf8_buffer, word_bounds
+from tidepool.llm.common import byte_slices, give_back, text_key, utf8_buffer, word_bounds
 from tidepool.session import ensure_checkpoint_dir
 
 FULL = 512
@@ -89,6 +89,7 @@ def packed(rows: DataFrame) -> DataFrame:
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
             body = pa.array([squeeze.compress(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), body], ["doc_id", "row_key", "body"])
+        give_back()
 
     return rows.mapInArrow(run, "doc_id long, row_key long, body binary")
 
@@ -120,6 +121,7 @@ def unit_rows(rows: DataFrame, kind: Kind) -> DataFrame:
                     ],
                     ["choice", "content", "doc_id", "row_key", "place"],
                 )
+        give_back()
 
     if kind.window - kind.gram > 255:
         raise ValueError("a unit's place has room for 255 windows")
@@ -175,6 +177,7 @@ def cut_texts(held: DataFrame, kind: Kind) -> DataFrame:
                         column.append(value)
             arrays = [pa.array(c, pa.int64()) for c in out[:5]] + [pa.array(out[5], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["choice", "content", "n", "owner", "lead", "text"])
+        give_back()
 
     return held.mapInArrow(run, "choice long, content long, n long, owner long, lead long, text binary")
 
@@ -271,6 +274,7 @@ def map_kept(bodies: DataFrame, gone: DataFrame, row_of: Callable, names: list[s
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")] + [pa.array(c, t) for c, t in zip(columns, fields)], ["doc_id", *names]
             )
+        give_back()
 
     met = bodies.alias("b").join(gone.alias("g"), same_row("b", "g"), "left").select("b.doc_id", "b.body", "g.gone")
     return met.mapInArrow(run, schema)

@@ -25,15 +25,17 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from tidepool.llm.common import text_key
-from tidepool.llm.passages import SPANS, Kind, Rule, keep_mask, keyed, map_kept, packed, removed_spans, same_row
+from tidepool.llm.common import give_back, text_key
+from tidepool.llm.passages import SPANS, Kind, Rule, few_rows, keep_mask, keyed, map_kept, packed, removed_spans, same_row
 
 WINDOW = 50
 GRAM = 16
@@ -215,24 +217,37 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     )
 
 
+#: Beside the columns of the documents, whatever they are called.
+GONE = "__spans_to_remove__"
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with its columns, ``text`` holding the words that stay, joined
-    by one space; texts that lose no word are left as they are."""
-
-    @F.pandas_udf(StringType())
-    def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series(
-            [t if s is None or t is None else b" ".join(kept_words(t.encode(), s)[1]).decode() for t, s in zip(text, gone)], dtype=object
-        )
+    by one space; texts that lose no word are left as they are. Rows pass
+    through Python few at a time, and only texts that lose words are read."""
+    names = docs.columns
+    at = names.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            columns, gone = batch.columns[:-1], batch.column(batch.num_columns - 1)
+            hit = pc.indices_nonzero(gone.is_valid())
+            if len(hit):
+                texts = columns[at].to_pylist()
+                for i, spans in zip(hit.to_pylist(), gone.take(hit).to_pylist()):
+                    if texts[i] is not None:
+                        texts[i] = b" ".join(kept_words(texts[i].encode(), spans)[1]).decode()
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     rows = keyed(docs)
     gone = spans_held_before(rows, packed(rows), window, gram)
     own = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("row_key")
+        F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text").cast("string")).alias("row_key")
     )
     met = own.alias("b").join(gone.alias("g"), same_row("b", "g"), "left")
-    kept = F.when(F.col("g.gone").isNull(), F.col("b.row.text")).otherwise(cut(F.col("b.row.text"), F.col("g.gone")))
-    return met.select(*((kept if c == "text" else F.col(f"b.row.{c}")).alias(c) for c in docs.columns))
+    return met.select(*(F.col(f"b.row.{c}").alias(c) for c in names), F.col("g.gone").alias(GONE)).mapInArrow(cut, docs.schema)
 
 
 def substring_dedup_sql() -> str:

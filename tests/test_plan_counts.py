@@ -1,5 +1,7 @@
 """What a query reads and parses how often."""
 
+import contextlib
+import io
 import re
 
 import pytest
@@ -92,3 +94,19 @@ def test_a_calibration_counts_only_if_it_was_promoted(spark, promoted):
     got = sorted((r.score, r.flagged, r.status) for r in E.calibrated(scored, record).collect())
     status = "calibrated" if promoted else "advisory"
     assert got == [(1.0, False, status), (2.0, promoted, status), (4.0, True, status)]
+
+
+def test_the_time_bound_of_a_metric_reaches_the_scan(spark):
+    from __spark_entry__ import queries
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        queries()["metric_time_range"](spark, SF).explain(mode="formatted")
+    readings = [x for x in out.getvalue().splitlines() if "PushedFilters" in x and "purchase" in x]
+    assert readings and all("GreaterThanOrEqual(ts,2024-01-10T00:00), LessThan(ts,2024-01-20T00:15)" in x for x in readings)
+
+
+def test_version_history_reads_its_changes_twice(spark):
+    from __spark_entry__ import queries
+
+    assert physical(queries()["scd2_history"](spark, SF)).count("FileScan") == 2

@@ -47,9 +47,10 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     AUC = P(s+ > s-) + 0.5 P(s+ = s-).
     """
     from tidepool.operators.sequence import range_segment, sum_before
+    from tidepool.session import cut_lineage
 
     y = F.col("label") == 1
-    per = scored.groupBy("detector", "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    per = cut_lineage(scored.groupBy("detector", "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
     # negatives below each distinct score: a running sum split by score range
     per = range_segment(per, ["detector"], "score")
     below = sum_before(per, ["detector"], "score", "neg", "neg_below", segment="__segment")

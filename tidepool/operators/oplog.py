@@ -268,12 +268,14 @@ def latency_index_pct(df: DataFrame, group: str, value: str) -> DataFrame:
 
     Exact order statistics without sorting a group in one task: values are
     reduced to (value, count), the count of smaller values comes from a
-    segmented running sum (``sequence.sum_before``), and the element at index
+    segmented running sum (``sequence.sum_before``) over the counts, which are
+    written once, and the element at index
     i is the value whose [below, below + count) range holds i.
     """
     from tidepool.operators.sequence import range_segment, sum_before
+    from tidepool.session import cut_lineage
 
-    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = cut_lineage(df.groupBy(group, value).agg(F.count(F.lit(1)).alias("__c")))
     seg = range_segment(counts, [group], value)
     ranked = sum_before(seg, [group], value, "__c", "__below", segment="__segment")
     n = counts.groupBy(group).agg(F.sum("__c").alias("n"))

@@ -25,7 +25,7 @@ def gold(spark: SparkSession, sf_dir: str):
         "fct_vitals": V.fct_vitals,
         "gold_live_vitals_by_unit": live_vitals_by_unit,
     }
-    return lambda name: builders[name](spark, sf_dir)
+    return lambda name, **bounds: builders[name](spark, sf_dir, **bounds)
 
 
 GOLD_CTES = S.with_(

@@ -15,10 +15,18 @@ from tidepool.plans.registry import query
 AS_OF_TS = "2024-01-15 12:00:00"
 
 
-def live_vitals_by_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def live_vitals_by_unit(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """gold_live_vitals_by_unit: heart-rate readings attributed to the unit in
-    effect at reading time (as-of join to the history), 15-minute windows."""
+    effect at reading time (as-of join to the history), 15-minute windows.
+
+    With ``since`` or ``until`` only readings that windows starting in [since,
+    until) can hold are read - the bound reaches the scan, which a condition on
+    the windows cannot. The caller still filters the windows."""
     readings = V.fct_vitals(spark, sf_dir).filter(F.col("itemid") == "heart_rate").select("encounter_id", "event_ts", "value")
+    if since:
+        readings = readings.filter(F.col("event_ts") >= F.lit(since).cast("timestamp_ntz"))
+    if until:
+        readings = readings.filter(F.col("event_ts") < F.lit(until).cast("timestamp_ntz") + F.expr("INTERVAL 15 MINUTES"))
     hist = V.encounter_history(spark, sf_dir).select("encounter_id", "unit", "valid_from", "valid_to")
     joined = asof_interval_join(readings, hist, "encounter_id", "event_ts", "encounter_id", "valid_from", "valid_to", ["unit"])
     joined = joined.withColumn("unit", F.coalesce("unit", F.lit(UNASSIGNED_UNIT)))

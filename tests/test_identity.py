@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidepool.operators import identity as I
+from tidepool.plans import identity
 
 ADM = "patient_id string, encounter_id string, event_ts timestamp_ntz, full_name string, birth_date string, gender string"
 
@@ -91,3 +92,22 @@ def test_two_copies_are_not_false_alarms(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:04d}", f"n{i + 1:04d}") for i in range(300)], "src string, dst string")
     assert {r.component for r in I.connected_components(edges).collect()} == {"n0000"}
+
+
+def test_near_names_of_small_and_large_blocks_agree(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 6))) for _ in range(60)})
+    rows = [("large", n) for n in names] + [("small", n) for n in names[:7]] + [("one", "ab"), ("one", None)]
+    people = spark.createDataFrame(rows, "block string, name string")
+    want = {(k, x, y, _lev(x, y)) for k, x in rows for j, y in rows if x and y and k == j and x <= y and _lev(x, y) <= 2}
+    for few in (0, 7, 100):
+        got = [tuple(r) for r in I.near_names(people, few).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_people_are_not_broadcast(spark, tmp):
+    # Plan statistics take rows made by generators for as many as went in.
+    spark.range(300).selectExpr("id AS c_custkey").write.parquet(f"{tmp}/customer.parquet")
+    a = identity.admissions(spark, tmp)
+    for found in (I.fuzzy_duplicates(a), I.exact_duplicate_edges(a)):
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()

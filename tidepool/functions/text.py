@@ -81,18 +81,27 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
 
 
-def tokens(text: Column) -> Column:
-    """Words ``[a-z0-9_]+``; identifiers also as their ``_`` parts; length
-    >= 2, not a stop word; suffix-stemmed. An array (with repeats)."""
-    words = raw_words(text)
+def tokens_of(words: Column) -> Column:
+    """The tokens of an array of raw words: the words, identifiers also as their
+    ``_`` parts; length >= 2, not a stop word; suffix-stemmed."""
     parts = F.flatten(
         F.transform(words, lambda w: F.when(F.instr(w, "_") > 0, F.concat(F.array(w), F.filter(F.split(w, "_"), lambda p: p != ""))).otherwise(F.array(w)))
     )
-    stop = F.array(*[F.lit(s) for s in STOPWORDS])
-    kept = F.filter(parts, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    kept = F.filter(parts, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
     return F.transform(kept, stem)
 
 
+def tokens(text: Column) -> Column:
+    """Words ``[a-z0-9_]+``; identifiers also as their ``_`` parts; length
+    >= 2, not a stop word; suffix-stemmed. An array (with repeats)."""
+    return tokens_of(raw_words(text))
+
+
+def distinct_tokens(text: Column) -> Column:
+    """The distinct ones of ``tokens``; a word that repeats is looked at once."""
+    return F.array_distinct(tokens_of(F.array_distinct(raw_words(text))))
+
+
 def query_terms(text: Column) -> Column:
     """Distinct query tokens plus the tokens of the synonyms of each raw word."""
     syn = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.lit(" ".join(v)))])

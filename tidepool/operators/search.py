@@ -19,6 +19,7 @@ from tidepool.functions.text import (  # noqa: F401 - re-exported for callers of
     STEM_SUFFIXES,
     STOPWORDS,
     SYNONYMS,
+    distinct_tokens,
     page_focus,
     query_terms,
     raw_words,
@@ -31,30 +32,32 @@ from tidepool.functions.vectors import dot, unit
 
 VECTOR_BLOCK = 256
 
-def token_rows(df: DataFrame, id_col: str, text_col: str, out: str = "term") -> DataFrame:
-    """The same tokens as ``tokens`` but as rows ``(id, term)`` (with
-    repeats): words and identifier parts come from generators and the stop
-    word / length filters and stemming are plain column expressions, so the
-    whole pipeline runs in generated code instead of per-element lambdas."""
-    w = df.select(F.col(id_col), F.explode(raw_words(F.col(text_col))).alias("__w"))
-    parts = F.when(F.instr("__w", "_") > 0, F.concat(F.array("__w"), F.split("__w", "_"))).otherwise(F.array("__w"))
-    t = w.select(id_col, F.explode(parts).alias("__t"))
-    t = t.filter((F.length("__t") >= 2) & ~F.col("__t").isin(*STOPWORDS))
-    return t.select(id_col, stem(F.col("__t")).alias(out))
+
+def document_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, terms): the distinct tokens of each id's texts, sorted, one row per id.
+    They are made distinct where a text is read; what is shuffled is one array per
+    text, not a row per token."""
+    own = df.select(F.col(id_col), distinct_tokens(F.col(text_col)).alias("__own"))
+    per = own.groupBy(id_col).agg(F.collect_list("__own").alias("__all"))
+    return per.select(id_col, F.sort_array(F.when(F.size("__all") == 1, F.get("__all", 0)).otherwise(F.array_distinct(F.flatten("__all")))).alias("terms"))
 
 
 def keyword_scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, fields: Sequence[tuple[str, int]]) -> DataFrame:
     """Score = sum over fields of weight x |query terms & field terms|,
-    through an inverted index: (term, doc, field) joined to (query, term)."""
+    through an inverted index: (term, doc, field) joined to (query, term).
+
+    A field's tokens are made distinct where the document is read, and only terms
+    that a query has go on. They are dealt by document, so that a document's
+    scores are summed where its terms are, unless there are too many queries to
+    broadcast."""
     q = queries.select(F.col(qid).alias("q"), F.explode(F.col("terms")).alias("term")).distinct()
-    parts = []
-    for field, weight in fields:
-        parts.append(token_rows(docs.select(F.col(did).alias("d"), field), "d", field).distinct().withColumn("w", F.lit(weight)))
-    idx = parts[0]
-    for p in parts[1:]:
-        idx = idx.unionByName(p)
-    hits = q.join(idx, "term")
-    return hits.groupBy("q", "d").agg(F.sum("w").alias("score"))
+    by_field = F.array(*[F.struct(F.lit(i).alias("field"), distinct_tokens(F.col(c)).alias("terms")) for i, (c, _) in enumerate(fields)])
+    held = docs.select(F.col(did).alias("d"), F.explode(by_field).alias("f")).select("d", "f.field", F.explode("f.terms").alias("term"))
+    asked = held.join(q.select("term").distinct(), "term", "left_semi")
+    once = asked.repartition("d").dropDuplicates(["d", "field", "term"])
+    weight = F.get(F.array(*[F.lit(w) for _, w in fields]), F.col("field"))
+    idx = once.groupBy("d", "term").agg(F.sum(weight).alias("w"))
+    return idx.join(q, "term").groupBy("q", "d").agg(F.sum("w").alias("score"))
 
 
 def top_k(scored: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:

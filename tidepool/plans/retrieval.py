@@ -16,6 +16,7 @@ from tidepool.operators import evaluate as E
 from tidepool.operators import search as SR
 from tidepool.plans import governance as GOV
 from tidepool.plans.registry import query
+from tidepool.session import cut_lineage
 from tidepool.sources.tables import read_table
 
 DEPTH, TOPK, FLOOR = 20, 5, 0.05
@@ -48,20 +49,17 @@ def overlap_ranked(spark, sf_dir, depth: int) -> DataFrame:
     (through the same term join)."""
     q = questions(spark, sf_dir).select(F.col("item_id").alias("q"), "terms")
     qn = q.select("q", F.size("terms").alias("nq"))
-    dt = SR.token_rows(documents(spark, sf_dir).select(F.col("doc_id").alias("d"), "text"), "d", "text").distinct()
-    dn = dt.groupBy("d").agg(F.count(F.lit(1)).alias("nd"))
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).filter("doc_id IS NOT NULL")
+    dt = SR.document_terms(d, "doc_id", "text").select(F.col("doc_id").alias("d"), F.size("terms").alias("nd"), F.explode("terms").alias("term"))
     inter = (
-        q.select("q", F.explode("terms").alias("term")).distinct()
-        .join(dt, "term")
-        .groupBy("q", "d").agg(F.count(F.lit(1)).alias("i"))
+        dt.join(q.select("q", F.explode("terms").alias("term")).distinct(), "term")
+        .groupBy("q", "d", "nd").agg(F.count(F.lit(1)).alias("i"))
     )
-    j = inter.join(qn, "q").join(dn, "d").withColumn("jac", F.col("i") / (F.col("nq") + F.col("nd") - F.col("i")))
+    j = inter.join(qn, "q").withColumn("jac", F.col("i") / (F.col("nq") + F.col("nd") - F.col("i")))
     return SR.top_k(j, "q", [F.desc("jac"), F.asc("d")], depth)
 
 
-def fused(spark, sf_dir) -> DataFrame:
-    kw = keyword_ranked(spark, sf_dir, DEPTH)
-    ov = overlap_ranked(spark, sf_dir, DEPTH)
+def fused(kw: DataFrame, ov: DataFrame) -> DataFrame:
     best = ov.groupBy("q").agg(F.max("jac").alias("best"))
     ov_ok = ov.join(best.filter(F.col("best") >= FLOOR), "q", "left_semi")
     return SR.rrf([kw.select("q", "d", "rank"), ov_ok.select("q", "d", "rank")], "q", "d", k=TOPK)
@@ -120,12 +118,11 @@ def _docs_sql(depth: int) -> str:
 )
 def q_text_tokens(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    t = SR.token_rows(d, "doc_id", "text").distinct()
-    per = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.array_sort(F.collect_list("term")).alias("ts"))
-    # documents without any token still get a row
+    per = SR.document_terms(d, "doc_id", "text")
+    terms = F.coalesce("terms", F.array().cast("array<string>"))
+    # documents without an id still get a row
     return d.select("doc_id").join(per, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-        F.md5(F.array_join(F.coalesce("ts", F.array().cast("array<string>")), " ")).alias("tokens_md5"),
+        "doc_id", F.size(terms).cast("long").alias("n_tokens"), F.md5(F.array_join(terms, " ")).alias("tokens_md5")
     )
 
 
@@ -155,7 +152,8 @@ def q_cosine_topk(spark, sf_dir):
 
 @query("rrf_fusion", _docs_sql(DEPTH) + "SELECT q, d, round(fused, 9) AS fused, rank FROM hy")
 def q_rrf_fusion(spark, sf_dir):
-    return fused(spark, sf_dir).select("q", "d", F.round("fused", 9).alias("fused"), "rank")
+    ov = cut_lineage(overlap_ranked(spark, sf_dir, DEPTH))
+    return fused(keyword_ranked(spark, sf_dir, DEPTH), ov).select("q", "d", F.round("fused", 9).alias("fused"), "rank")
 
 
 _FOCUS_SQL = """array_to_string(list_filter(list_transform(
@@ -200,10 +198,11 @@ def q_retrieval_eval(spark, sf_dir):
     b = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     truth = SR.passage_hits(b, "item_id", "text", d, "doc_id", "text").select(F.col("item_id").alias("q"), F.col("doc_id").alias("d"))
+    kw, ov = (cut_lineage(ranked(spark, sf_dir, DEPTH)) for ranked in (keyword_ranked, overlap_ranked))
     lists = (
-        keyword_ranked(spark, sf_dir, DEPTH).select(F.lit("keyword").alias("method"), "q", "d", "rank")
-        .unionByName(overlap_ranked(spark, sf_dir, DEPTH).select(F.lit("overlap").alias("method"), "q", "d", "rank"))
-        .unionByName(fused(spark, sf_dir).select(F.lit("hybrid").alias("method"), "q", "d", "rank"))
+        kw.select(F.lit("keyword").alias("method"), "q", "d", "rank")
+        .unionByName(ov.select(F.lit("overlap").alias("method"), "q", "d", "rank"))
+        .unionByName(fused(kw, ov).select(F.lit("hybrid").alias("method"), "q", "d", "rank"))
     )
     hits = lists.join(truth, ["q", "d"]).groupBy("method", "q").agg(
         F.bool_or(F.col("rank") == 1).alias("top1"), F.bool_or(F.col("rank") <= 3).alias("top3")

@@ -135,3 +135,16 @@ def test_every_token_reaches_backpropagation(monkeypatch):
     L.learn(tiny(), docs, 0.01, 3)
     assert sorted(np.concatenate(seen).tolist()) == sorted(np.concatenate(docs).tolist())
     assert sum(map(len, seen)) % max(1, min(L.STREAMS, sum(map(len, docs)) // (8 * L.STEPS))) != 0
+
+
+def test_words_that_go_along_are_bounded_at_the_driver(spark, monkeypatch):
+    counts = spark.createDataFrame([("a", 9), ("c", 4), ("b", 4), ("d", 3), *[(f"x{i:02d}", 1) for i in range(40)]], "word string, n long").repartition(8)
+    monkeypatch.setattr(L, "TOP", 2)
+    monkeypatch.setattr(L, "BROADCAST_WORDS", 10)
+    assert L.frequent_words(counts) == (["a", "b"], [("a", 9), ("b", 4), ("c", 4), ("d", 3)])  # a count goes along whole or not at all
+    monkeypatch.setattr(L, "BROADCAST_WORDS", 44)
+    assert [w for w, _ in L.frequent_words(counts)[1]] == ["a", "b", "c", "d", *[f"x{i:02d}" for i in range(40)]]
+    monkeypatch.setattr(L, "TOP", 6)
+    monkeypatch.setattr(L, "BROADCAST_WORDS", 3)
+    assert [w for w, _ in L.frequent_words(counts)[1]] == ["a", "b", "c", "d", "x00", "x01"]
+    assert L.frequent_words(counts.limit(0)) == ([], [])

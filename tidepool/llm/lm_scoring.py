@@ -20,8 +20,9 @@ class, sum to 1.
    part fewer than ``LEAST_DOCS`` has fewer parts, read more than once.
 3. Every document is scored where it is read: documents go through the network
    in step, longest first, and each one's state is carried from window to
-   window to its end. The counts of the ``BROADCAST_WORDS`` most frequent words
-   go along; the others' (a few percent of the tokens) are joined by word.
+   window to its end. The counts of the most frequent words, up to
+   ``BROADCAST_WORDS``, go along; the others' (a few percent of the tokens) are
+   joined by word.
 
 Null, empty and odd rows: a null or empty text has the end token only; a null
 doc_id counts as the empty string in the folds; repeated rows are scored once
@@ -36,7 +37,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -104,6 +105,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame) -> tuple[list[str], list[tuple[str, int]]]:
+    """The TOP most frequent words, and (word, n) of them and of all others whose
+    counts go along: those of the largest counts, as many whole counts as fit
+    into BROADCAST_WORDS. (A limit of so many rows would bring as many words of
+    every partition to the driver.)"""
+    words = dict(counts.groupBy("n").agg(F.count(F.lit(1))).collect())
+    largest = sorted(words, reverse=True)
+    reached = list(accumulate(words[n] for n in largest))
+    some = counts.where(F.col("n") >= next((n for n, r in zip(largest, reached) if r >= TOP), 0))
+    known = [tuple(r) for r in some.orderBy(F.desc("n"), "word").limit(TOP).collect()]
+    top = [w for w, _ in known]
+    fitting = sum(r <= BROADCAST_WORDS for r in reached)
+    if fitting and reached[fitting - 1] > len(top):
+        held = set(top)
+        rest = [tuple(r) for r in counts.where(F.col("n") >= largest[fitting - 1]).collect()]
+        known += sorted((r for r in rest if r[0] not in held), key=lambda r: (-r[1], r[0]))
+    return top, known
+
+
 def shape_totals(counts: DataFrame, top: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Training tokens and distinct words of each shape class."""
     frequent = set(top)
@@ -397,8 +417,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stage_table(word_counts(training))
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("docs")).first()
     total, kinds, documents = size["n"] or 0, size["v"], size["docs"] or 0
-    known = [tuple(r) for r in counts.orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS).collect()]
-    top = [w for w, _ in known[:TOP]]
+    top, known = frequent_words(counts)
     vocabulary = (top, [w for w, _ in known], np.log10(np.array([n for _, n in known]) + 0.5))
     mass, shape_kinds = shape_totals(counts, top)
     net = None

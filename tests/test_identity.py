@@ -111,3 +111,41 @@ def test_people_are_not_broadcast(spark, tmp):
     a = identity.admissions(spark, tmp)
     for found in (I.fuzzy_duplicates(a), I.exact_duplicate_edges(a)):
         assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_decisions_and_pairs_are_not_broadcast(spark):
+    pairs = spark.createDataFrame([(f"pt_{i:02d}", f"pt_{i + 1:02d}") for i in range(0, 20, 2)], "patient_id_a string, patient_id_b string")
+    comps = I.connected_components(pairs, "patient_id_a", "patient_id_b")
+    cands = pairs.select(F.lit("c").alias("check"), F.array("patient_id_a", "patient_id_b").alias("patient_ids"), F.concat_ws(",", "patient_id_a", "patient_id_b").alias("key"))
+    decided = I.replay_decisions(cands, comps, "s", "2026-01-01 00:00:00")
+    truth = pairs.withColumn("kind", F.lit("k"))
+    people = pairs.select(F.col("patient_id_b").alias("patient_id"))
+    found = {
+        "replay": decided,
+        "person_map": I.person_map(people, decided),
+        "queue": I.review_queue(cands, decided),
+        "summary": I.review_summary(cands, decided),
+        "inside": I.in_same_component(pairs, comps),
+    }
+    for name, df in found.items():
+        rows = df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
+        assert len(rows) == {"queue": 0, "summary": 1}.get(name, 10)
+    score = I.score_checks(pairs, truth, comps)
+    assert {tuple(r) for r in score.collect()} == {("k", 10, 10, 0), ("not_planted", 0, 0, 0)}
+    assert score._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 3
+
+
+def test_component_rounds_broadcast_nothing(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(9)], "src string, dst string")
+    joins = []
+    real = type(edges).checkpoint
+
+    def seen(df, *a, **k):
+        # Adaptive execution turns other joins into broadcasts while they run.
+        joins.extend(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x)
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(type(edges), "checkpoint", seen)
+    assert {r.component for r in I.connected_components(edges).collect()} == {"n00"}
+    assert joins and all("strategy=merge" in x for x in joins)

@@ -148,3 +148,13 @@ def test_words_that_go_along_are_bounded_at_the_driver(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_WORDS", 3)
     assert [w for w, _ in L.frequent_words(counts)[1]] == ["a", "b", "c", "d", "x00", "x01"]
     assert L.frequent_words(counts.limit(0)) == ([], [])
+
+
+def test_rows_are_added_as_numpy_adds_them():
+    rng = np.random.default_rng(3)
+    for at in (rng.zipf(1.5, 500) % 40, np.array([7, 7, 7]), np.array([2]), np.array([], np.int64)):
+        rows = rng.normal(size=(len(at), 6)).astype(np.float32)
+        want, got = np.zeros((40, 6), np.float32), np.zeros((40, 6), np.float32)
+        np.add.at(want, at, rows)
+        L.add_rows(got, at, rows)
+        assert np.array_equal(got, want)

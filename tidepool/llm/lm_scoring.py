@@ -203,9 +203,12 @@ def log_probabilities(net: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """ln P(class | state), and of frequent words + ln P(word | class, state)."""
     classes = len(net["member"])
     head = class_of(ids, classes)
-    logits = h @ net["class"] + net["class_bias"]
+    logits = h @ net["class"]
+    logits += net["class_bias"]
     top = logits.max(axis=1)
-    out = logits[np.arange(len(ids)), head] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    out = logits[np.arange(len(ids)), head] - top
+    logits -= top[:, None]
+    out -= np.log(np.exp(logits, out=logits).sum(axis=1))
     for k, rows in by_class(head, classes):
         inner = h[rows] @ net["member"][k] + net["member_bias"][k]
         top = inner.max(axis=1)
@@ -213,6 +216,30 @@ def log_probabilities(net: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def shares_of(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The softmax of ``logits + bias`` by row, in the place of ``logits``."""
+    logits += bias
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``np.add.at(to, at, rows)`` for ``to`` of zeros: the first rows of all
+    places at once, then the second ones, so each sum keeps its order."""
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    sizes = np.diff(first, append=len(at))
+    most = np.argsort(-sizes, kind="stable")
+    first, sizes = first[most], sizes[most]
+    sums = rows[order[first]]
+    for j in range(1, int(sizes[0]) if len(sizes) else 0):
+        live = int(np.searchsorted(-sizes, -j))  # the first so many have more than j
+        sums[:live] += rows[order[first[:live] + j]]
+    to[at[order[first]]] = sums
+
+
 def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarray):
     """Mean loss of a window (streams, steps), its gradients and the last state.
 
@@ -230,18 +257,14 @@ def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarra
     flat, own = states.reshape(-1, n), ids.T.ravel()
     head, scale, at = class_of(own, classes), 1.0 / own.size, np.arange(own.size)
     grad = {k: np.zeros_like(v) for k, v in net.items()}
-    logits = flat @ net["class"] + net["class_bias"]
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p = shares_of(flat @ net["class"], net["class_bias"])
     loss = -np.log(p[at, head] + 1e-30).sum()
     p[at, head] -= 1
     p *= scale
     grad["class"], grad["class_bias"] = flat.T @ p, p.sum(axis=0)
     d_states = p @ net["class"].T
     for k, rows in by_class(head, classes):
-        inner = flat[rows] @ net["member"][k] + net["member_bias"][k]
-        q = np.exp(inner - inner.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
+        q = shares_of(flat[rows] @ net["member"][k], net["member_bias"][k])
         j = np.arange(len(rows))
         loss -= np.log(q[j, own[rows] % MEMBERS] + 1e-30).sum()
         q[j, own[rows] % MEMBERS] -= 1
@@ -261,7 +284,7 @@ def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarra
         dh = (dh * z + d_rec[t] @ net["state"].T + d_states[t]) * ~start[:, t, None]
     grad["state"] = flat.T @ d_rec.reshape(-1, 3 * n)
     grad["gate"] = d_in.sum(axis=(0, 1))
-    np.add.at(grad["input"], own, d_in.reshape(-1, 3 * n))
+    add_rows(grad["input"], own, d_in.reshape(-1, 3 * n))
     return loss * scale, grad, h
 
 
@@ -289,9 +312,20 @@ def learn(net: dict, docs: list[np.ndarray], rate: float, seed: int) -> dict:
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             for k, g in grad.items():
                 g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                net[k] -= np.float32(rate) * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)
+                d = g - first[k]
+                d *= 0.1
+                first[k] += d
+                g *= g
+                g -= second[k]
+                g *= 0.01
+                second[k] += g
+                np.divide(second[k], 1 - 0.99**turn, out=g)
+                np.sqrt(g, out=g)
+                g += 1e-6
+                np.divide(first[k], 1 - 0.9**turn, out=d)
+                d *= np.float32(rate)
+                d /= g
+                net[k] -= d
     return net
 
 

@@ -158,3 +158,50 @@ def test_rows_are_added_as_numpy_adds_them():
         np.add.at(want, at, rows)
         L.add_rows(got, at, rows)
         assert np.array_equal(got, want)
+
+
+def test_logits_beyond_the_reach_of_an_exponential():
+    """Weights may grow until exp of a logit overflows or a whole row vanishes."""
+    ids = np.r_[np.arange(70), 96 + np.arange(L.SHAPES)]
+    h = np.repeat(np.random.default_rng(3).uniform(-1, 1, (1, 5)), len(ids), 0).astype(np.float32)
+    for far in (300.0, -300.0):
+        net = {k: v.astype(np.float32) for k, v in tiny().items()}
+        net["class_bias"] += np.float32(far)
+        net["member_bias"][net["member_bias"] > -1e3] += np.float32(far)
+        assert not any(near for _, near in L.heads(net))
+        p = np.exp(L.log_probabilities(net, h, ids).astype(float))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
+        loss, grad, _ = L.window_gradients(net, h[:2], ids[60:100].reshape(2, 20), np.zeros((2, 20), bool))
+        assert np.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_learning_is_adam_over_all_weights():
+    """One array of all weights takes the step that each one took by itself."""
+    rng, net = np.random.default_rng(4), tiny()
+    docs = [rng.integers(0, 70, n) for n in (300, 13, 1, 250)]
+    want, turn = {k: v.copy() for k, v in net.items()}, 0
+    order = np.random.default_rng(3).permutation(len(docs))
+    ids = np.concatenate([docs[i] for i in order])
+    start = np.zeros(len(ids), bool)
+    start[np.cumsum([0] + [len(docs[i]) for i in order])[:-1]] = True
+    streams = len(ids) // (8 * L.STEPS)
+    length = len(ids) // streams
+    h = np.zeros((streams, 5))
+    first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
+    for a, b in ((0, streams * length), (streams * length, len(ids))):
+        rows, begins = ids[a:b].reshape(streams if not a else 1, -1), start[a:b].reshape(streams if not a else 1, -1).copy()
+        if not a:
+            begins[:, 0] = True
+        h = h[-len(rows) :]
+        for t in range(0, rows.shape[1], L.STEPS):
+            turn += 1
+            _, grad, h = L.window_gradients(want, h, rows[:, t : t + L.STEPS], begins[:, t : t + L.STEPS])
+            norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
+            for k, g in grad.items():
+                g = g * min(1.0, 1.0 / (norm + 1e-9))
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g * g
+                want[k] = want[k] - 0.01 * (first[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.99**turn)) + 1e-6)
+    got = L.learn(net, docs, 0.01, 3)
+    for k in want:
+        assert got[k].shape == want[k].shape and np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9)

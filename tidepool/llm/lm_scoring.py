@@ -37,7 +37,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -65,6 +65,9 @@ COUNT_FLUSH = 400_000
 SHAPE_CACHE = 400_000
 SCORE_BYTES = 6 << 20
 SCORE_DOCS = 1_024
+BLOCK = 512  # rows whose logits are held at once
+REACH = 80.0  # exp of it is within a float32
+OFTEN = 16
 
 _TAIL = re.compile(rb"[!-/:-@\[-`{-~]*$")
 
@@ -179,50 +182,116 @@ def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
     return np.where(ids < first_shape, ids // MEMBERS, ids - first_shape + classes)
 
 
+def recurrence(net: dict):
+    """What a token adds to the gates and the candidate, and the weights of the
+    state; the gates' negated for their exponential."""
+    n = net["state"].shape[0]
+    sign = np.r_[-np.ones(2 * n), np.ones(n)].astype(net["state"].dtype)
+    given = net["input"] + net["gate"]
+    given *= sign
+    return given, net["state"] * sign
+
+
+def unrolled(weights: tuple, h: np.ndarray, ids: np.ndarray, start: np.ndarray | None = None):
+    """The states before each of the tokens ``ids`` (steps, rows), the last state,
+    and, if ``start`` (rows, steps: where the state is new) is given, what
+    backpropagation needs. ``weights`` are those of ``recurrence``."""
+    given, state = weights
+    steps, rows = ids.shape
+    n = h.shape[1]
+    learning = start is not None
+    new_at = start.any(axis=0) if learning else np.zeros(steps, bool)
+    kept = steps if learning else 1
+    parts, new = np.empty((kept, 3, rows, n), given.dtype), np.empty((kept, rows, n), given.dtype)
+    states = np.empty((steps, rows, n), given.dtype)
+    for t in range(steps):
+        if new_at[t]:
+            h = h * ~start[:, t, None]
+        states[t] = h
+        a, v = parts[t % kept], new[t % kept]
+        x = given.take(ids[t], axis=0).reshape(rows, 3, n).transpose(1, 0, 2)
+        own = (h @ state).reshape(rows, 3, n).transpose(1, 0, 2)
+        gates = np.add(own[:2], x[:2], out=a[:2])  # z, r and the candidate lie apart from here on
+        a[2] = own[2]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.multiply(a[1], a[2], out=v)
+        v += x[2]
+        np.tanh(v, out=v)
+        h = h - v
+        h *= a[0]
+        h += v
+    return states, h, (parts[:, 0], parts[:, 1], parts[:, 2], new)
+
+
 def step(net: dict, h: np.ndarray, ids: np.ndarray):
     """The state after reading ``ids``, and what backpropagation needs."""
-    n = h.shape[1]
-    x = net["input"][ids] + net["gate"]
-    a = h @ net["state"]
-    gates = 1 / (1 + np.exp(-(x[:, : 2 * n] + a[:, : 2 * n])))
-    z, r, c = gates[:, :n], gates[:, n:], a[:, 2 * n :]
-    new = np.tanh(x[:, 2 * n :] + r * c)
-    return z * h + (1 - z) * new, (z, r, c, new)
+    _, last, parts = unrolled(recurrence(net), h, ids[None])
+    return last, tuple(p[0] for p in parts)
 
 
-def by_class(head: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each class of frequent words."""
+def by_class(head: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows of frequent words in the order of their classes, and (class, from, to)."""
     rows = np.flatnonzero(head < classes)
     rows = rows[np.argsort(head[rows], kind="stable")]
-    cuts = np.flatnonzero(np.diff(head[rows])) + 1
-    for part in np.split(rows, cuts) if len(rows) else ():
-        yield int(head[part[0]]), part
+    own = head[rows]
+    first = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
+    return rows, [*zip(own[first].tolist(), first, [*first[1:], len(rows)])]
 
 
-def log_probabilities(net: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """ln P(class | state), and of frequent words + ln P(word | class, state)."""
-    classes = len(net["member"])
-    head = class_of(ids, classes)
-    logits = h @ net["class"]
-    logits += net["class_bias"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(ids)), head] - top
-    logits -= top[:, None]
-    out -= np.log(np.exp(logits, out=logits).sum(axis=1))
-    for k, rows in by_class(head, classes):
-        inner = h[rows] @ net["member"][k] + net["member_bias"][k]
-        top = inner.max(axis=1)
-        out[rows] += inner[np.arange(len(rows)), ids[rows] % MEMBERS] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+def with_one(h: np.ndarray) -> np.ndarray:
+    """The states and a column of ones, which the biases are multiplied with."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
     return out
 
 
-def shares_of(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """The softmax of ``logits + bias`` by row, in the place of ``logits``."""
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
+def within_reach(weights: np.ndarray, bias: np.ndarray, most: float) -> bool:
+    """Whether, for states of up to ``most``, no exponential of a logit overflows
+    and no row's all vanish, so that they need not be taken relative to the largest."""
+    reach = most * np.abs(weights).sum(axis=-2)
+    return bool((bias + reach).max() < REACH and (bias - reach).max(axis=-1).min() > -REACH)
+
+
+def exponentials(logits: np.ndarray, at: np.ndarray, near: bool):
+    """exp of ``logits`` in their place, the sum of each row and, from before, the
+    logits at the columns ``at``; relative to the row's largest unless ``near``."""
+    if not near:
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    return logits @ np.ones(logits.shape[1], logits.dtype), own
+
+
+def heads(net: dict, h: np.ndarray | None = None) -> list[tuple[np.ndarray, bool]]:
+    """Weights with the biases as the last row, of the classes and of each class's
+    members, and whether the logits of the states ``h`` (else: of any that began as
+    zeros) are within reach."""
+    most = 1.0 if h is None else max(1.0, float(np.abs(h).max(initial=0)))
+    biases = [(net[k], net[f"{k}_bias"]) for k in ("class", "member")]
+    return [(np.concatenate([w, b[..., None, :]], axis=-2), within_reach(w, b, most)) for w, b in biases]
+
+
+def log_probabilities(net: dict, h: np.ndarray, ids: np.ndarray, ready: list | None = None) -> np.ndarray:
+    """ln P(class | state), and of frequent words + ln P(word | class, state).
+    ``ready``: what ``heads`` returns, if it is known."""
+    classes = len(net["member"])
+    head = class_of(ids, classes)
+    (top, top_near), (inner, inner_near) = ready or heads(net, h)
+    h = with_one(h)
+    out, held = np.empty(len(ids), h.dtype), np.empty((min(BLOCK, len(ids)), top.shape[1]), h.dtype)
+    for a in range(0, len(ids), BLOCK):
+        logits = np.matmul(h[a : a + BLOCK], top, out=held[: len(ids) - a])
+        total, own = exponentials(logits, head[a : a + BLOCK], top_near)
+        out[a : a + BLOCK] = own - np.log(total)
+    rows, spans = by_class(head, classes)
+    sorted_h, logits = h[rows], np.empty((len(rows), MEMBERS), h.dtype)
+    for k, a, b in spans:
+        np.matmul(sorted_h[a:b], inner[k], out=logits[a:b])
+    total, own = exponentials(logits, ids[rows] % MEMBERS, inner_near)
+    out[rows] += own - np.log(total)
+    return out
 
 
 def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -234,9 +303,12 @@ def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     most = np.argsort(-sizes, kind="stable")
     first, sizes = first[most], sizes[most]
     sums = rows[order[first]]
-    for j in range(1, int(sizes[0]) if len(sizes) else 0):
+    often = int(np.searchsorted(-sizes, -OFTEN))  # so many have more than OFTEN rows: each by itself
+    for i in range(often):
+        sums[i] = rows[order[first[i] : first[i] + sizes[i]]].sum(axis=0)
+    for j in range(1, int(sizes[often]) if often < len(sizes) else 0):
         live = int(np.searchsorted(-sizes, -j))  # the first so many have more than j
-        sums[:live] += rows[order[first[:live] + j]]
+        sums[often:live] += rows[order[first[often:live] + j]]
     to[at[order[first]]] = sums
 
 
@@ -248,49 +320,77 @@ def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarra
     """
     streams, steps = ids.shape
     classes, n = len(net["member"]), h.shape[1]
-    states, kept = np.empty((steps, streams, n), np.float32), []
-    for t in range(steps):
-        h = h * ~start[:, t, None]
-        states[t] = h
-        h, parts = step(net, h, ids[:, t])
-        kept.append(parts)
+    states, last, (z, r, c, new) = unrolled(recurrence(net), h, ids.T, start)
     flat, own = states.reshape(-1, n), ids.T.ravel()
-    head, scale, at = class_of(own, classes), 1.0 / own.size, np.arange(own.size)
+    head, scale = class_of(own, classes), 1.0 / own.size
     grad = {k: np.zeros_like(v) for k, v in net.items()}
-    p = shares_of(flat @ net["class"], net["class_bias"])
-    loss = -np.log(p[at, head] + 1e-30).sum()
-    p[at, head] -= 1
-    p *= scale
-    grad["class"], grad["class_bias"] = flat.T @ p, p.sum(axis=0)
-    d_states = p @ net["class"].T
-    for k, rows in by_class(head, classes):
-        q = shares_of(flat[rows] @ net["member"][k], net["member_bias"][k])
-        j = np.arange(len(rows))
-        loss -= np.log(q[j, own[rows] % MEMBERS] + 1e-30).sum()
-        q[j, own[rows] % MEMBERS] -= 1
-        q *= scale
-        grad["member"][k], grad["member_bias"][k] = flat[rows].T @ q, q.sum(axis=0)
-        d_states[rows] += q @ net["member"][k].T
+    (top, top_near), (inner, inner_near) = heads(net, flat)
+    ones, loss = with_one(flat), 0.0
+
+    def shares(p: np.ndarray, at: np.ndarray, near: bool) -> float:
+        """From logits to the gradient of their loss in place; the loss."""
+        total, hit = exponentials(p, at, near)
+        p *= (scale / total)[:, None].astype(p.dtype)
+        p[np.arange(len(at)), at] -= scale
+        return float((np.log(total) - hit).sum())
+
+    sums, d_states, weights = 0, np.empty_like(flat), net["class"].T
+    held = np.empty((min(BLOCK, len(own)), top.shape[1]), flat.dtype)
+    for a in range(0, len(own), BLOCK):
+        rows = ones[a : a + BLOCK]
+        p = np.matmul(rows, top, out=held[: len(rows)])
+        loss += shares(p, head[a : a + BLOCK], top_near)
+        sums += rows.T @ p
+        np.matmul(p, weights, out=d_states[a : a + BLOCK])
+    grad["class"], grad["class_bias"] = sums[:-1], sums[-1]
+    rows, spans = by_class(head, classes)
+    sorted_h, q = ones[rows], np.empty((len(rows), MEMBERS), flat.dtype)
+    for k, a, b in spans:
+        np.matmul(sorted_h[a:b], inner[k], out=q[a:b])
+    loss += shares(q, own[rows] % MEMBERS, inner_near)
+    d_rows = np.empty((len(rows), n), flat.dtype)
+    for k, a, b in spans:
+        sums = sorted_h[a:b].T @ q[a:b]
+        grad["member"][k], grad["member_bias"][k] = sums[:-1], sums[-1]
+        np.matmul(q[a:b], net["member"][k].T, out=d_rows[a:b])
+    d_states[rows] += d_rows
     d_states = d_states.reshape(steps, streams, n)
-    d_in, d_rec = np.empty((steps, streams, 3 * n), np.float32), np.empty((steps, streams, 3 * n), np.float32)
-    dh = np.zeros_like(h)
+    d_rec, d_new = np.empty((steps, streams, 3 * n), flat.dtype), np.empty_like(states)
+    dh, back, new_at = np.zeros_like(last), np.ascontiguousarray(net["state"].T), start.any(axis=0)
     for t in range(steps - 1, -1, -1):
-        z, r, c, new = kept[t]
-        dz = dh * (states[t] - new) * z * (1 - z)
-        dn = dh * (1 - z) * (1 - new * new)
-        dr = dn * c * r * (1 - r)
-        d_in[t] = np.concatenate([dz, dr, dn], axis=1)
-        d_rec[t] = np.concatenate([dz, dr, dn * r], axis=1)
-        dh = (dh * z + d_rec[t] @ net["state"].T + d_states[t]) * ~start[:, t, None]
+        d, dn, zt, rt, nt = d_rec[t], d_new[t], z[t], r[t], new[t]
+        closed = 1 - zt
+        np.multiply(nt, nt, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= closed
+        dn *= dh
+        dz = states[t] - nt
+        dz *= zt
+        dz *= closed
+        np.multiply(dz, dh, out=d[:, :n])
+        dr = 1 - rt
+        dr *= rt
+        dr *= c[t]
+        np.multiply(dr, dn, out=d[:, n : 2 * n])
+        np.multiply(dn, rt, out=d[:, 2 * n :])
+        dh *= zt
+        dh += d @ back
+        dh += d_states[t]
+        if new_at[t]:
+            dh *= ~start[:, t, None]
     grad["state"] = flat.T @ d_rec.reshape(-1, 3 * n)
-    grad["gate"] = d_in.sum(axis=(0, 1))
-    add_rows(grad["input"], own, d_in.reshape(-1, 3 * n))
-    return loss * scale, grad, h
+    d_rec[:, :, 2 * n :] = d_new
+    d_in = d_rec.reshape(-1, 3 * n)
+    grad["gate"] = d_in.sum(axis=0)
+    add_rows(grad["input"], own, d_in)
+    return loss * scale, grad, last
 
 
 def learn(net: dict, docs: list[np.ndarray], rate: float, seed: int) -> dict:
     """One round over ``docs`` (ids) in parallel streams, with Adam."""
-    net = {k: v.copy() for k, v in net.items()}
+    flat = np.concatenate([v.ravel() for v in net.values()])
+    ends = np.cumsum([v.size for v in net.values()])
+    net = {k: x.reshape(v.shape) for (k, v), x in zip(net.items(), np.split(flat, ends[:-1]))}  # views of ``flat``
     order = np.random.default_rng(seed).permutation(len(docs))
     ids = np.concatenate([docs[i] for i in order])
     start = np.zeros(len(ids), bool)
@@ -302,41 +402,38 @@ def learn(net: dict, docs: list[np.ndarray], rate: float, seed: int) -> dict:
     ids, start = ids[:whole].reshape(streams, length), start[:whole].reshape(streams, length)
     start[:, 0] = True
     h = np.zeros((streams, net["state"].shape[0]), np.float32)
-    first, second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
+    first, second, d = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     turn = 0
     for part, part_start in ((ids, start), (tail, tail_start)):
         h = h[-len(part) :]
         for a in range(0, part.shape[1], STEPS):
             turn += 1
             _, grad, h = window_gradients(net, h, part[:, a : a + STEPS], part_start[:, a : a + STEPS])
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            for k, g in grad.items():
-                g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                d = g - first[k]
-                d *= 0.1
-                first[k] += d
-                g *= g
-                g -= second[k]
-                g *= 0.01
-                second[k] += g
-                np.divide(second[k], 1 - 0.99**turn, out=g)
-                np.sqrt(g, out=g)
-                g += 1e-6
-                np.divide(first[k], 1 - 0.9**turn, out=d)
-                d *= np.float32(rate)
-                d /= g
-                net[k] -= d
+            g = np.concatenate([grad[k].ravel() for k in net])
+            g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
+            first *= 0.9
+            first += np.multiply(g, 0.1, out=d)
+            second *= 0.99
+            g *= g
+            g *= 0.01
+            second += g
+            np.multiply(second, 1 / (1 - 0.99**turn), out=g)
+            np.sqrt(g, out=g)
+            g += 1e-6
+            np.divide(first, g, out=d)
+            d *= rate / (1 - 0.9**turn)
+            flat -= d
     return net
 
 
 def document_scores(net: dict, docs: list[np.ndarray]) -> np.ndarray:
     """ln P of each document's ids; states are carried from window to window."""
-    out = np.zeros(len(docs))
+    out, weights, ready = np.zeros(len(docs)), recurrence(net), heads(net)
     order = np.argsort([-len(d) for d in docs], kind="stable")
     for a in range(0, len(docs), SCORE_DOCS):
         rows = order[a : a + SCORE_DOCS]
         sizes = np.array([len(docs[i]) for i in rows])
-        h = np.zeros((len(rows), net["state"].shape[0]), np.float32)
+        h = np.zeros((len(rows), net["state"].shape[0]), weights[0].dtype)
         for t0 in range(0, int(sizes.max()), STEPS):
             live = int(np.searchsorted(-sizes, -t0))  # the first so many go on beyond t0
             steps = min(STEPS, int(sizes[0]) - t0)
@@ -347,11 +444,8 @@ def document_scores(net: dict, docs: list[np.ndarray]) -> np.ndarray:
                 window[: len(part), j] = part
                 inside[: len(part), j] = True
             h = h[:live]
-            states = np.empty((steps, live, h.shape[1]), np.float32)
-            for t in range(steps):
-                states[t] = h
-                h = step(net, h, window[t])[0]
-            got = log_probabilities(net, states[inside], window[inside])
+            states, h, _ = unrolled(weights, h, window)
+            got = log_probabilities(net, states[inside], window[inside], ready)
             at = np.broadcast_to(np.arange(live), inside.shape)[inside]
             out[rows[:live]] += np.bincount(at, got, live)
     return out
@@ -375,7 +469,7 @@ class Vocabulary:
         """(ids of all tokens, places of known words or -1, words, tokens per text)."""
         split = [[*t.lower().split(), END.encode()] for t in texts]
         words = list(chain.from_iterable(split))
-        place = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         ids = self.id[place] if len(self.id) else np.zeros(len(words), np.int64)
         if len(self.shapes) > SHAPE_CACHE:
             self.shapes.clear()

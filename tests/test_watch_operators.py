@@ -270,3 +270,17 @@ def test_nested_and_renamed_fields_are_found(spark):
     flags = {(r.path, r.pattern): r.declared for r in sensitive.undeclared(df, "t", {"t.c7": ["phone"], "t.m.values": ["email"]}).collect()}
     assert flags["c7", "phone"] and not flags["m.values", "ssn"] and not flags["who.tags[]", "email"]
     assert sensitive.sensitive_profile(spark.range(3)).collect() == []
+
+
+def test_a_hot_key_is_joined_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(grain, "PIECE_ROWS", 100)
+    facts = spark.createDataFrame([("hot", i) for i in range(200)] + [("cold", 1), ("cold", 1), (None, 2), ("lost", 3)], "k string, v int")
+    dim = spark.createDataFrame([("hot", f"d{i}") for i in range(10)] + [("cold", "x"), (None, "n")], "k string, w string")
+    for how in ("left", "inner"):
+        out, seen = grain.checked_join(facts, dim, "k", how)
+        rows = out.withColumn("task", F.spark_partition_id()).collect()
+        assert out.columns == ["k", "v", "w"]
+        assert sorted((tuple(r)[:3] for r in rows), key=str) == sorted((tuple(r) for r in facts.join(dim, "k", how).collect()), key=str)
+        assert len({r.task for r in rows if r.k == "hot"}) > 4
+        if how == "left":
+            assert seen.rows() == {"rows_before": 204, "rows_after": 2004, "unmatched": 2, "most_copies": 10}

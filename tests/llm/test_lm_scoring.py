@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidepool.llm import lm_scoring as L
@@ -205,3 +206,55 @@ def test_learning_is_adam_over_all_weights():
     got = L.learn(net, docs, 0.01, 3)
     for k in want:
         assert got[k].shape == want[k].shape and np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9)
+
+
+def test_words_are_those_that_python_splits():
+    rng = random.Random(1)
+    signs = ["a", "B", "é", "É", " ", " ", "\x1c", "\x85", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x00", "𝔘"]
+    texts = [None, "", " \t", " a", "B ", *("".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(500))]
+    words, sizes = L.words_of(pa.array(texts).slice(1))
+    want = [t.encode().lower().split() for t in texts[1:]]
+    assert [w.encode() for w in words.to_pylist()] == [w for t in want for w in t]
+    assert sizes.tolist() == [len(t) for t in want]
+    assert [len(x) for x in L.words_of(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_shape_classes_of_many_words_at_once():
+    rng = random.Random(2)
+    words = [L.END, *("".join(rng.choices("abz09,.!?-É𝔘\x00~`@[{", k=rng.randrange(7))) for _ in range(2_000))]
+    assert L.shape_classes(pa.array(words).slice(1)).tolist() == [L.shape_class(w.encode()) for w in words[1:]]
+    assert L.shape_classes(pa.array(["", ""])).tolist() == [L.shape_class(b"")] * 2
+    assert L.shape_classes(pa.array([L.END])).tolist() == [L.shape_class(L.END.encode())]
+
+
+def test_texts_are_read_for_the_counts_and_once_more(spark, monkeypatch):
+    """Learning and scoring both go by the ids that the second reading wrote."""
+    real, reading = L.stage_table, []
+
+    def watched(df):
+        if "text#" in df._jdf.queryExecution().optimizedPlan().toString():
+            reading.append(df.columns)
+        return real(df)
+
+    monkeypatch.setattr(L, "stage_table", watched)
+    got = L.score(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    assert len(reading) == 2 and "text#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == len(corpus())
+
+
+def test_groups_of_many_rows_are_added_as_single_rows_are():
+    rng = np.random.default_rng(5)
+    for most, ids in ((96, rng.zipf(1.3, 900) % 96), (96, rng.integers(0, 96, 40)), (64, np.full(200, 63)), (32, np.array([], int))):
+        rows = rng.normal(size=(3, len(ids), 6))
+        want, got = np.zeros((3, most, 6)), np.zeros((3, most, 6))
+        for part in range(3):
+            np.add.at(want[part], ids, rows[part])
+        L.add_groups(got, ids, rows, *L.by_id(ids, most))
+        assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 127, 128, 129, 300])
+def test_products_by_pieces(rows):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(rows, 5)), rng.normal(size=(5, 7))
+    assert np.allclose(L.product(a, b, np.empty((rows, 7))), a @ b)

@@ -35,6 +35,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def keep_freed(limit: int = 32 << 20) -> None:
+    """Let the C library use freed arrays again, up to ``limit`` bytes, instead of
+    handing each back to the system: fresh pages cost more than small sums on them."""
+    with contextlib.suppress(AttributeError, OSError):
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, limit)  # M_MMAP_THRESHOLD
+        library.mallopt(-1, limit)  # M_TRIM_THRESHOLD
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share a doc_id; repeated rows share the key."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -32,20 +32,22 @@ score. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain, repeat
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import byte_slices, crc_mod
+from tidepool.llm.common import byte_slices, crc_mod, keep_freed, utf8_buffer
 from tidepool.llm.passages import stage_table
 
 END = "\n"  # no word holds white space
@@ -62,10 +64,13 @@ ROUNDS = 5
 RATE = 0.01
 BROADCAST_WORDS = 200_000
 COUNT_FLUSH = 400_000
-SHAPE_CACHE = 400_000
-SCORE_BYTES = 6 << 20
-SCORE_DOCS = 1_024
+TOKEN_BYTES = 12 << 20
+SCORE_BYTES = 3 << 20
+SCORE_DOCS = 256
+SCORE_TOKENS = 4_096
 BLOCK = 512  # rows whose logits are held at once
+PIECE = 128  # rows of a product of matrices: so small, they are multiplied without packing
+ADAM_BLOCK = 16_384
 REACH = 80.0  # exp of it is within a float32
 OFTEN = 16
 
@@ -81,29 +86,63 @@ def shape_class(word: bytes) -> int:
     return kind * SUFFIXES + zlib.crc32(core[-2:]) % SUFFIXES
 
 
+_MARK = np.array([bool(_TAIL.search(bytes([x]))[0]) for x in range(256)])
+_ONE = np.array([zlib.crc32(bytes([x])) % SUFFIXES for x in range(256)])
+_PAIR = np.array([[zlib.crc32(bytes([x, y])) % SUFFIXES for y in range(256)] for x in range(256)])
+
+
+def shape_classes(words: pa.Array) -> np.ndarray:
+    """``shape_class`` of all ``words``."""
+    raw, offsets = utf8_buffer(words)
+    if not len(raw):
+        return np.full(len(words), shape_class(b""))
+    start, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    core = np.maximum.accumulate(np.where(_MARK[raw], 0, np.arange(1, len(raw) + 1)))  # where the last byte that is no mark ends
+    core = np.where(end > start, np.maximum(core[np.maximum(end, 1) - 1], start), start)
+    first, last = raw[np.maximum(core, 2) - 2], raw[np.maximum(core, 1) - 1]
+    bucket = np.where(core - start > 1, _PAIR[first, last], np.where(core > start, _ONE[last], shape_class(b"")))
+    single, mark = end - core == 1, raw[np.maximum(end, 1) - 1]
+    kind = np.where(end == core, 0, np.where(single & (mark == ord(",")), 1, np.where(single & (mark == ord(".")), 2, 3)))
+    return kind * SUFFIXES + bucket
+
+
 # -- counts ----------------------------------------------------------------
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts``, A-Z lower-cased, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    words, sizes = pc.list_flatten(split), pc.list_value_length(split).to_numpy()
+    blank = pc.equal(pc.binary_length(words), 0)  # before and after white space at a text's ends
+    if pc.any(blank).as_py():
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.bincount(row[~blank.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        words = words.filter(pc.invert(blank))
+    return words, sizes.astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over the whole texts of ``docs`` (text); each row ends in END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def out():
-            words = pa.array(list(seen.keys()), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        def out() -> list[pa.RecordBatch]:
+            counted = pa.concat_tables(held)
+            if len(held) > 1:
+                counted = counted.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            held.clear()
+            return counted.to_batches()
 
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
-                for text in batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist():
-                    seen.update(text.lower().split())
-                seen[END.encode()] += len(batch)
-                if len(seen) > COUNT_FLUSH:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for batch in byte_slices(whole, "text", TOKEN_BYTES):
+                found = words_of(batch.column("text"))[0].value_counts()
+                words = pa.chunked_array([found.field("values"), pa.array([END])])
+                held.append(pa.table({"word": words, "n": pa.chunked_array([found.field("counts"), pa.array([len(batch)], pa.int64())])}))
+                if sum(map(len, held)) > COUNT_FLUSH:
+                    yield from out()
+        if held:
+            yield from out()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -129,16 +168,15 @@ def frequent_words(counts: DataFrame) -> tuple[list[str], list[tuple[str, int]]]
 
 def shape_totals(counts: DataFrame, top: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Training tokens and distinct words of each shape class."""
-    frequent = set(top)
+    frequent = pa.array(top, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, kinds = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                if word not in frequent:
-                    k = shape_class(word.encode())
-                    mass[k] += n
-                    kinds[k] += 1
+            rare = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=frequent)))
+            shape = shape_classes(rare.column("word"))
+            np.add.at(mass, shape, rare.column("n").to_numpy())
+            kinds += np.bincount(shape, minlength=SHAPES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES)), pa.array(mass), pa.array(kinds)], ["shape", "mass", "kinds"])
 
     rows = counts.mapInArrow(run, "shape long, mass long, kinds long").groupBy("shape").agg(F.sum("mass"), F.sum("kinds")).collect()
@@ -152,7 +190,8 @@ def shape_totals(counts: DataFrame, top: list[str]) -> tuple[np.ndarray, np.ndar
 
 
 def new_network(top_counts: np.ndarray, mass: np.ndarray, kinds: np.ndarray, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
-    """Weights that start at the unigram model: biases are log frequencies."""
+    """Weights that start at the unigram model: biases are log frequencies. Those
+    of the recurrence are in three parts, of the two gates and the candidate."""
     rng = np.random.default_rng(7)
     classes = -(-len(top_counts) // MEMBERS)
     padded = np.zeros(classes * MEMBERS)
@@ -165,10 +204,13 @@ def new_network(top_counts: np.ndarray, mass: np.ndarray, kinds: np.ndarray, hid
     def small(*size):
         return (rng.normal(size=size) * 0.1).astype(np.float32)
 
+    def three(rows):
+        return np.ascontiguousarray(small(rows, 3 * hidden).reshape(rows, 3, hidden).swapaxes(0, 1))
+
     return {
-        "input": small(classes * MEMBERS + SHAPES, 3 * hidden),
-        "gate": np.r_[np.ones(hidden), np.zeros(2 * hidden)].astype(np.float32),
-        "state": small(hidden, 3 * hidden),
+        "input": three(classes * MEMBERS + SHAPES),
+        "gate": np.r_[np.ones(hidden), np.zeros(2 * hidden)].astype(np.float32).reshape(3, hidden),
+        "state": three(hidden),
         "class": small(hidden, classes + SHAPES) * 0.1,
         "class_bias": np.log(heads / heads.sum()).astype(np.float32),
         "member": small(classes, hidden, MEMBERS) * 0.1,
@@ -183,61 +225,65 @@ def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
 
 
 def recurrence(net: dict):
-    """What a token adds to the gates and the candidate, and the weights of the
-    state; the gates' negated for their exponential."""
-    n = net["state"].shape[0]
-    sign = np.r_[-np.ones(2 * n), np.ones(n)].astype(net["state"].dtype)
-    given = net["input"] + net["gate"]
-    given *= sign
-    return given, net["state"] * sign
-
-
-def unrolled(weights: tuple, h: np.ndarray, ids: np.ndarray, start: np.ndarray | None = None):
-    """The states before each of the tokens ``ids`` (steps, rows), the last state,
-    and, if ``start`` (rows, steps: where the state is new) is given, what
-    backpropagation needs. ``weights`` are those of ``recurrence``."""
-    given, state = weights
+    """What a token adds to the gates and the candidate, the weights of the state,
+    with the gates' biases as the last row and negated for the gates' exponential,
+    and the candidate's bias."""
+    state = np.concatenate([net["state"], net["gate"][:, None]], axis=1)
+    np.negative(state[:2], out=state[:2])
+    state[2, -1] = 0  # that of the candidate is not multiplied by the gate
+    return net["input"], state, net["gate"][2]
+
+
+def advance(weights: tuple, h: np.ndarray, with_ones: np.ndarray, ids: np.ndarray, a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The state after reading ``ids``. Leaves the gates and the state's share of the
+    candidate in ``a`` and the candidate in ``v``. ``weights`` are those of
+    ``recurrence``; ``with_ones`` is the state ``h`` and a column of ones."""
+    given, state, bias = weights
+    x, gates = given.take(ids, axis=1), a[:2]
+    np.matmul(with_ones, state, out=a)
+    gates -= x[:2]
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(a[1], a[2], out=v)
+    v += x[2]
+    v += bias
+    np.tanh(v, out=v)
+    h = h - v
+    h *= a[0]
+    h += v
+    return h
+
+
+def unrolled(weights: tuple, h: np.ndarray, ids: np.ndarray, start: np.ndarray):
+    """The states before each of the tokens ``ids`` (steps, rows), with a column of
+    ones which the biases are multiplied with, the last state and what
+    backpropagation needs. ``start`` (rows, steps) marks where the state is new."""
     steps, rows = ids.shape
-    n = h.shape[1]
-    learning = start is not None
-    new_at = start.any(axis=0) if learning else np.zeros(steps, bool)
-    kept = steps if learning else 1
-    parts, new = np.empty((kept, 3, rows, n), given.dtype), np.empty((kept, rows, n), given.dtype)
-    states = np.empty((steps, rows, n), given.dtype)
+    n, dtype = h.shape[1], weights[1].dtype
+    new_at = start.any(axis=0)
+    parts, new = np.empty((steps, 3, rows, n), dtype), np.empty((steps, rows, n), dtype)
+    states = np.ones((steps, rows, n + 1), dtype)
     for t in range(steps):
         if new_at[t]:
             h = h * ~start[:, t, None]
-        states[t] = h
-        a, v = parts[t % kept], new[t % kept]
-        x = given.take(ids[t], axis=0).reshape(rows, 3, n).transpose(1, 0, 2)
-        own = (h @ state).reshape(rows, 3, n).transpose(1, 0, 2)
-        gates = np.add(own[:2], x[:2], out=a[:2])  # z, r and the candidate lie apart from here on
-        a[2] = own[2]
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        np.multiply(a[1], a[2], out=v)
-        v += x[2]
-        np.tanh(v, out=v)
-        h = h - v
-        h *= a[0]
-        h += v
-    return states, h, (parts[:, 0], parts[:, 1], parts[:, 2], new)
+        states[t, :, :-1] = h
+        h = advance(weights, h, states[t], ids[t], parts[t], new[t])
+    return states, h, (*parts.swapaxes(0, 1), new)
 
 
 def step(net: dict, h: np.ndarray, ids: np.ndarray):
     """The state after reading ``ids``, and what backpropagation needs."""
-    _, last, parts = unrolled(recurrence(net), h, ids[None])
+    _, last, parts = unrolled(recurrence(net), h, ids[None], np.zeros((len(ids), 1), bool))
     return last, tuple(p[0] for p in parts)
 
 
-def by_class(head: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Rows of frequent words in the order of their classes, and (class, from, to)."""
-    rows = np.flatnonzero(head < classes)
-    rows = rows[np.argsort(head[rows], kind="stable")]
-    own = head[rows]
-    first = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
-    return rows, [*zip(own[first].tolist(), first, [*first[1:], len(rows)])]
+def by_id(ids: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in the order of their ids, and (group, from, to) of each group of
+    MEMBERS ids below ``most`` that there are rows of. The first groups are the classes."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # so short, they are sorted by digits
+    cuts = np.searchsorted(ids[order], np.arange(0, most + MEMBERS, MEMBERS)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
 
 
 def with_one(h: np.ndarray) -> np.ndarray:
@@ -247,6 +293,22 @@ def with_one(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """``rows`` as one array of pieces of PIECE, and what is left as one piece."""
+    whole = len(rows) // PIECE * PIECE
+    if whole:
+        yield rows[:whole].reshape(-1, PIECE, rows.shape[1])
+    if whole < len(rows):
+        yield rows[None, whole:]
+
+
+def product(rows: np.ndarray, weights: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``rows @ weights`` in ``out``, piece by piece."""
+    for part, to in zip(pieces(rows), pieces(out)):
+        np.matmul(part, weights, out=to)
+    return out
+
+
 def within_reach(weights: np.ndarray, bias: np.ndarray, most: float) -> bool:
     """Whether, for states of up to ``most``, no exponential of a logit overflows
     and no row's all vanish, so that they need not be taken relative to the largest."""
@@ -255,13 +317,15 @@ def within_reach(weights: np.ndarray, bias: np.ndarray, most: float) -> bool:
 
 
 def exponentials(logits: np.ndarray, at: np.ndarray, near: bool):
-    """exp of ``logits`` in their place, the sum of each row and, from before, the
-    logits at the columns ``at``; relative to the row's largest unless ``near``."""
+    """exp of ``logits`` in their place, the sum of each row, from before the logits
+    at the columns ``at``, and where those are in the raveled array; relative to the
+    row's largest unless ``near``."""
     if not near:
         logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(at)), at]
+    cells = np.arange(len(at)) * logits.shape[1] + at
+    own = logits.reshape(-1).take(cells)
     np.exp(logits, out=logits)
-    return logits @ np.ones(logits.shape[1], logits.dtype), own
+    return logits @ np.ones(logits.shape[1], logits.dtype), own, cells
 
 
 def heads(net: dict, h: np.ndarray | None = None) -> list[tuple[np.ndarray, bool]]:
@@ -275,41 +339,72 @@ def heads(net: dict, h: np.ndarray | None = None) -> list[tuple[np.ndarray, bool
 
 def log_probabilities(net: dict, h: np.ndarray, ids: np.ndarray, ready: list | None = None) -> np.ndarray:
     """ln P(class | state), and of frequent words + ln P(word | class, state).
-    ``ready``: what ``heads`` returns, if it is known."""
+    ``ready``: what ``heads`` returns, if it is known; then ``h`` ends in a column
+    of ones."""
     classes = len(net["member"])
     head = class_of(ids, classes)
-    (top, top_near), (inner, inner_near) = ready or heads(net, h)
-    h = with_one(h)
+    if ready is None:
+        ready, h = heads(net, h), with_one(h)
+    (top, top_near), (inner, inner_near) = ready
     out, held = np.empty(len(ids), h.dtype), np.empty((min(BLOCK, len(ids)), top.shape[1]), h.dtype)
     for a in range(0, len(ids), BLOCK):
-        logits = np.matmul(h[a : a + BLOCK], top, out=held[: len(ids) - a])
-        total, own = exponentials(logits, head[a : a + BLOCK], top_near)
+        logits = product(h[a : a + BLOCK], top, held[: len(ids) - a])
+        total, own, _ = exponentials(logits, head[a : a + BLOCK], top_near)
         out[a : a + BLOCK] = own - np.log(total)
-    rows, spans = by_class(head, classes)
-    sorted_h, logits = h[rows], np.empty((len(rows), MEMBERS), h.dtype)
+    order, spans = by_id(ids, classes * MEMBERS)
+    rows = order[: spans[-1][2] if spans else 0]
+    sorted_h, logits = h.take(rows, axis=0), np.empty((len(rows), MEMBERS), h.dtype)
     for k, a, b in spans:
         np.matmul(sorted_h[a:b], inner[k], out=logits[a:b])
-    total, own = exponentials(logits, ids[rows] % MEMBERS, inner_near)
+    total, own, _ = exponentials(logits, ids[rows] % MEMBERS, inner_near)
     out[rows] += own - np.log(total)
     return out
 
 
-def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """``np.add.at(to, at, rows)`` for ``to`` of zeros: the first rows of all
-    places at once, then the second ones, so each sum keeps its order."""
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.diff(at[order], prepend=-1))
-    sizes = np.diff(first, append=len(at))
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray, order: np.ndarray | None = None) -> None:
+    """``np.add.at(to, at, rows)`` for ``to`` of zeros, or that of each part of both:
+    the first rows of all places at once, then the second ones, so each sum keeps its
+    order. ``order``: the rows to add, sorted (stably) by place, if that is known."""
+    if order is None:
+        order = np.argsort(at, kind="stable")
+    places, rows = at[order], rows.take(order, axis=-2)
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])[: len(places)])
+    sizes = np.diff(first, append=len(places))
     most = np.argsort(-sizes, kind="stable")
     first, sizes = first[most], sizes[most]
-    sums = rows[order[first]]
+    sums = rows.take(first, axis=-2)
     often = int(np.searchsorted(-sizes, -OFTEN))  # so many have more than OFTEN rows: each by itself
-    for i in range(often):
-        sums[i] = rows[order[first[i] : first[i] + sizes[i]]].sum(axis=0)
+    for i, (a, n) in enumerate(zip(first[:often].tolist(), sizes[:often].tolist())):
+        sums[..., i, :] = rows[..., a : a + n, :].sum(axis=-2)
     for j in range(1, int(sizes[often]) if often < len(sizes) else 0):
         live = int(np.searchsorted(-sizes, -j))  # the first so many have more than j
-        sums[often:live] += rows[order[first[often:live] + j]]
-    to[at[order[first]]] = sums
+        sums[..., often:live, :] += rows.take(first[often:live] + j, axis=-2)
+    to[..., places[first], :] = sums
+
+
+def add_groups(to: np.ndarray, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, spans: list[tuple[int, int, int]]) -> None:
+    """``add_rows`` by ``ids`` for the groups of ``by_id``: those of many rows by a
+    product with a matrix that has a one where a row is an id's."""
+    few = []
+    for k, a, b in spans:
+        own = order[a:b]
+        if len(own) <= 2 * MEMBERS:
+            few.append(own)
+            continue
+        ones = np.zeros((MEMBERS, len(own)), rows.dtype)
+        ones[ids[own] - k * MEMBERS, np.arange(len(own))] = 1
+        np.matmul(ones, rows.take(own, axis=1), out=to[:, k * MEMBERS : (k + 1) * MEMBERS])
+    if few:
+        add_rows(to, ids, rows, np.concatenate(few))
+
+
+class Flat(dict):
+    """Arrays by name that are views of one, ``whole``."""
+
+    def __init__(self, like: dict[str, np.ndarray], whole: np.ndarray):
+        self.whole = whole
+        ends = np.cumsum([v.size for v in like.values()])
+        super().__init__((k, x.reshape(v.shape)) for (k, v), x in zip(like.items(), np.split(whole, ends[:-1])))
 
 
 def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarray):
@@ -319,78 +414,109 @@ def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarra
     state comes in from the window before; gradients stop there.
     """
     streams, steps = ids.shape
-    classes, n = len(net["member"]), h.shape[1]
-    states, last, (z, r, c, new) = unrolled(recurrence(net), h, ids.T, start)
-    flat, own = states.reshape(-1, n), ids.T.ravel()
+    classes, n, dtype = len(net["member"]), h.shape[1], net["state"].dtype
+    ids = np.ascontiguousarray(ids.T)
+    states, last, (z, r, c, new) = unrolled(recurrence(net), h, ids, start)
+    ones, own, states = states.reshape(-1, n + 1), ids.ravel(), states[:, :, :-1]
     head, scale = class_of(own, classes), 1.0 / own.size
-    grad = {k: np.zeros_like(v) for k, v in net.items()}
-    (top, top_near), (inner, inner_near) = heads(net, flat)
-    ones, loss = with_one(flat), 0.0
-
-    def shares(p: np.ndarray, at: np.ndarray, near: bool) -> float:
-        """From logits to the gradient of their loss in place; the loss."""
-        total, hit = exponentials(p, at, near)
-        p *= (scale / total)[:, None].astype(p.dtype)
-        p[np.arange(len(at)), at] -= scale
-        return float((np.log(total) - hit).sum())
-
-    sums, d_states, weights = 0, np.empty_like(flat), net["class"].T
-    held = np.empty((min(BLOCK, len(own)), top.shape[1]), flat.dtype)
+    grad = Flat(net, np.zeros(sum(v.size for v in net.values()), dtype))
+    (top, top_near), (inner, inner_near) = heads(net, ones)
+    loss = 0.0
+
+    def shares(p: np.ndarray, at: np.ndarray, near: bool) -> tuple[np.ndarray, float]:
+        """From logits in place to the gradient of their loss, but for a factor of
+        each row; that factor and the loss."""
+        total, hit, cells = exponentials(p, at, near)
+        p.reshape(-1)[cells] -= total
+        return (scale / total)[:, None].astype(p.dtype), float((np.log(total) - hit).sum())
+
+    sums, d_states, back = 0, np.empty((own.size, n), dtype), np.ascontiguousarray(net["class"].T)
+    held = np.empty((min(BLOCK, len(own)), top.shape[1]), dtype)
     for a in range(0, len(own), BLOCK):
         rows = ones[a : a + BLOCK]
-        p = np.matmul(rows, top, out=held[: len(rows)])
-        loss += shares(p, head[a : a + BLOCK], top_near)
-        sums += rows.T @ p
-        np.matmul(p, weights, out=d_states[a : a + BLOCK])
-    grad["class"], grad["class_bias"] = sums[:-1], sums[-1]
-    rows, spans = by_class(head, classes)
-    sorted_h, q = ones[rows], np.empty((len(rows), MEMBERS), flat.dtype)
+        p = product(rows, top, held[: len(rows)])
+        factor, more = shares(p, head[a : a + BLOCK], top_near)
+        loss += more
+        for part, given in zip(pieces(p), pieces(rows * factor)):
+            sums = sums + np.matmul(part.swapaxes(1, 2), given).sum(axis=0)
+        d = product(p, back, d_states[a : a + BLOCK])
+        d *= factor
+    grad["class"][:], grad["class_bias"][:] = sums[:, :-1].T, sums[:, -1]
+    order, groups = by_id(own, net["input"].shape[1])
+    spans = [x for x in groups if x[0] < classes]
+    rows = order[: spans[-1][2] if spans else 0]
+    sorted_h, q = ones.take(rows, axis=0), np.empty((len(rows), MEMBERS), dtype)
     for k, a, b in spans:
         np.matmul(sorted_h[a:b], inner[k], out=q[a:b])
-    loss += shares(q, own[rows] % MEMBERS, inner_near)
-    d_rows = np.empty((len(rows), n), flat.dtype)
+    factor, more = shares(q, own[rows] % MEMBERS, inner_near)
+    loss += more
+    q *= factor
+    d_rows, back = np.empty((len(rows), n), dtype), np.ascontiguousarray(net["member"].swapaxes(1, 2))
+    sums = np.zeros_like(inner)
     for k, a, b in spans:
-        sums = sorted_h[a:b].T @ q[a:b]
-        grad["member"][k], grad["member_bias"][k] = sums[:-1], sums[-1]
-        np.matmul(q[a:b], net["member"][k].T, out=d_rows[a:b])
+        np.matmul(sorted_h[a:b].T, q[a:b], out=sums[k])
+        np.matmul(q[a:b], back[k], out=d_rows[a:b])
+    grad["member"][:], grad["member_bias"][:] = sums[:, :-1], sums[:, -1]
     d_states[rows] += d_rows
     d_states = d_states.reshape(steps, streams, n)
-    d_rec, d_new = np.empty((steps, streams, 3 * n), flat.dtype), np.empty_like(states)
-    dh, back, new_at = np.zeros_like(last), np.ascontiguousarray(net["state"].T), start.any(axis=0)
+    d = np.empty((4, steps, streams, n), dtype)  # of the candidate's share of the state, the gates and the candidate
+    back, held = np.ascontiguousarray(net["state"][[2, 0, 1]].swapaxes(1, 2)), np.empty((3, streams, n), dtype)
+    dh, mixed, new_at = np.zeros_like(last), np.empty_like(last), start.any(axis=0)
     for t in range(steps - 1, -1, -1):
-        d, dn, zt, rt, nt = d_rec[t], d_new[t], z[t], r[t], new[t]
-        closed = 1 - zt
+        (dc, dz, dr, dn), zt, rt, nt = d[:, t], z[t], r[t], new[t]
+        np.subtract(1, zt, out=mixed)
+        mixed *= dh
         np.multiply(nt, nt, out=dn)
         np.subtract(1, dn, out=dn)
-        dn *= closed
-        dn *= dh
-        dz = states[t] - nt
+        dn *= mixed
+        np.subtract(states[t], nt, out=dz)
         dz *= zt
-        dz *= closed
-        np.multiply(dz, dh, out=d[:, :n])
-        dr = 1 - rt
+        dz *= mixed
+        np.subtract(1, rt, out=dr)
         dr *= rt
         dr *= c[t]
-        np.multiply(dr, dn, out=d[:, n : 2 * n])
-        np.multiply(dn, rt, out=d[:, 2 * n :])
+        dr *= dn
+        np.multiply(rt, dn, out=dc)
         dh *= zt
-        dh += d @ back
+        for part in np.matmul(d[:3, t], back, out=held):
+            dh += part
         dh += d_states[t]
         if new_at[t]:
             dh *= ~start[:, t, None]
-    grad["state"] = flat.T @ d_rec.reshape(-1, 3 * n)
-    d_rec[:, :, 2 * n :] = d_new
-    d_in = d_rec.reshape(-1, 3 * n)
-    grad["gate"] = d_in.sum(axis=0)
-    add_rows(grad["input"], own, d_in)
+    sums = np.matmul(ones.reshape(steps, streams, n + 1).swapaxes(1, 2), d[:3]).sum(axis=1)
+    grad["state"][[2, 0, 1]] = sums[:, :-1]
+    d = d.reshape(4, -1, n)
+    grad["gate"][:2], grad["gate"][2] = sums[1:, -1], np.ones(own.size, dtype) @ d[3]
+    add_groups(grad["input"], own, d[1:], order, groups)
     return loss * scale, grad, last
 
 
+def adam_step(weights: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, rate: float, turn: int) -> None:
+    """Adam's step number ``turn``, along gradients cut to a length of one, on so
+    many weights at a time that they stay in the cache. Overwrites ``g``."""
+    cut = min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
+    spread = float(np.sqrt(1 - 0.99**turn))
+    held = np.empty(min(ADAM_BLOCK, len(g)), g.dtype)
+    for a in range(0, len(g), ADAM_BLOCK):
+        w, x, m, v = (y[a : a + ADAM_BLOCK] for y in (weights, g, first, second))
+        d = held[: len(x)]
+        np.multiply(x, 0.1 * cut, out=d)
+        m *= 0.9
+        m += d
+        x *= x
+        x *= 0.01 * cut * cut
+        v *= 0.99
+        v += x
+        np.sqrt(v, out=x)
+        x += 1e-6 * spread
+        np.divide(m, x, out=d)
+        d *= rate * spread / (1 - 0.9**turn)
+        w -= d
+
+
 def learn(net: dict, docs: list[np.ndarray], rate: float, seed: int) -> dict:
     """One round over ``docs`` (ids) in parallel streams, with Adam."""
-    flat = np.concatenate([v.ravel() for v in net.values()])
-    ends = np.cumsum([v.size for v in net.values()])
-    net = {k: x.reshape(v.shape) for (k, v), x in zip(net.items(), np.split(flat, ends[:-1]))}  # views of ``flat``
+    net = Flat(net, np.concatenate([v.ravel() for v in net.values()]))
     order = np.random.default_rng(seed).permutation(len(docs))
     ids = np.concatenate([docs[i] for i in order])
     start = np.zeros(len(ids), bool)
@@ -401,53 +527,61 @@ def learn(net: dict, docs: list[np.ndarray], rate: float, seed: int) -> dict:
     tail, tail_start = ids[whole:][None], start[whole:][None]  # goes on where the last stream ends
     ids, start = ids[:whole].reshape(streams, length), start[:whole].reshape(streams, length)
     start[:, 0] = True
-    h = np.zeros((streams, net["state"].shape[0]), np.float32)
-    first, second, d = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    h = np.zeros((streams, net["state"].shape[-1]), np.float32)
+    first, second = np.zeros_like(net.whole), np.zeros_like(net.whole)
     turn = 0
     for part, part_start in ((ids, start), (tail, tail_start)):
         h = h[-len(part) :]
         for a in range(0, part.shape[1], STEPS):
             turn += 1
             _, grad, h = window_gradients(net, h, part[:, a : a + STEPS], part_start[:, a : a + STEPS])
-            g = np.concatenate([grad[k].ravel() for k in net])
-            g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-9))
-            first *= 0.9
-            first += np.multiply(g, 0.1, out=d)
-            second *= 0.99
-            g *= g
-            g *= 0.01
-            second += g
-            np.multiply(second, 1 / (1 - 0.99**turn), out=g)
-            np.sqrt(g, out=g)
-            g += 1e-6
-            np.divide(first, g, out=d)
-            d *= rate / (1 - 0.9**turn)
-            flat -= d
-    return net
+            adam_step(net.whole, grad.whole, first, second, rate, turn)
+    return dict(net)
 
 
 def document_scores(net: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """ln P of each document's ids; states are carried from window to window."""
-    out, weights, ready = np.zeros(len(docs)), recurrence(net), heads(net)
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    for a in range(0, len(docs), SCORE_DOCS):
-        rows = order[a : a + SCORE_DOCS]
-        sizes = np.array([len(docs[i]) for i in rows])
-        h = np.zeros((len(rows), net["state"].shape[0]), weights[0].dtype)
-        for t0 in range(0, int(sizes.max()), STEPS):
-            live = int(np.searchsorted(-sizes, -t0))  # the first so many go on beyond t0
-            steps = min(STEPS, int(sizes[0]) - t0)
-            window = np.zeros((steps, live), np.int64)
-            inside = np.zeros((steps, live), bool)
-            for j in range(live):
-                part = docs[rows[j]][t0 : t0 + steps]
-                window[: len(part), j] = part
-                inside[: len(part), j] = True
-            h = h[:live]
-            states, h, _ = unrolled(weights, h, window)
-            got = log_probabilities(net, states[inside], window[inside], ready)
-            at = np.broadcast_to(np.arange(live), inside.shape)[inside]
-            out[rows[:live]] += np.bincount(at, got, live)
+    """ln P of each document's ids. The documents are dealt, longest first, to
+    SCORE_DOCS streams of about one length, which are read in step."""
+    out, weights, ready, n = np.zeros(len(docs)), recurrence(net), heads(net), net["state"].shape[-1]
+    if not docs:
+        return out
+    sizes = np.array([len(d) for d in docs])
+    streams: list[list[int]] = [[] for _ in range(min(SCORE_DOCS, len(docs)))]
+    least = [(0, k) for k in range(len(streams))]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        length, k = least[0]
+        streams[k].append(i)
+        heapq.heapreplace(least, (length + int(sizes[i]), k))
+    longest = sorted(least, reverse=True)
+    turn = np.array([i for _, k in longest for i in streams[k]])
+    lengths = np.array([length for length, _ in longest])
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]))  # the first so many streams go on at a step
+    first = np.cumsum(live) - live
+    # Tokens lie by step, then by stream.
+    place = first[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] + np.repeat(np.arange(len(lengths)), lengths)
+    ids, of = np.empty(len(place), docs[0].dtype), np.empty(len(place), np.int32)
+    ids[place] = np.concatenate([docs[i] for i in turn])
+    of[place] = np.repeat(turn, sizes[turn])
+    begins = np.sort(place[np.cumsum(sizes[turn]) - sizes[turn]])
+    cuts = np.searchsorted(begins, np.append(first, len(place))).tolist()
+    live, first = live.tolist(), [*first.tolist(), len(place)]
+    held, new = np.empty(3 * live[0] * n, weights[1].dtype), np.empty((live[0], n), weights[1].dtype)
+    h, t0 = np.zeros((live[0], n), weights[1].dtype), 0
+    while t0 < len(live):
+        a = first[t0]
+        t1 = max(t0 + 1, bisect.bisect_right(first, a + SCORE_TOKENS) - 1)
+        states = np.ones((first[t1] - a, n + 1), new.dtype)
+        for t in range(t0, t1):
+            m = live[t]
+            h = h[:m]
+            if cuts[t] < cuts[t + 1]:
+                h[begins[cuts[t] : cuts[t + 1]] - first[t]] = 0
+            own = states[first[t] - a : first[t + 1] - a]
+            own[:, :-1] = h
+            h = advance(weights, h, own, ids[first[t] : first[t + 1]], held[: 3 * m * n].reshape(3, m, n), new[:m])
+        got = log_probabilities(net, states, ids[a : first[t1]], ready)
+        out += np.bincount(of[a : first[t1]], got, len(docs))
+        t0 = t1
     return out
 
 
@@ -459,45 +593,62 @@ class Vocabulary:
 
     def __init__(self, top: list[str], known: list[str], log_counts: np.ndarray):
         self.size = -(-len(top) // MEMBERS) * MEMBERS
-        self.place = {w.encode(): i for i, w in enumerate(known)}
-        self.log_count = np.asarray(log_counts)
-        place = {w: i for i, w in enumerate(top)}
-        self.id = np.array([place[w] if w in place else self.size + shape_class(w.encode()) for w in known], np.int64)
-        self.shapes: dict[bytes, int] = {}
-
-    def read(self, texts: list[bytes]):
-        """(ids of all tokens, places of known words or -1, words, tokens per text)."""
-        split = [[*t.lower().split(), END.encode()] for t in texts]
-        words = list(chain.from_iterable(split))
-        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        ids = self.id[place] if len(self.id) else np.zeros(len(words), np.int64)
-        if len(self.shapes) > SHAPE_CACHE:
-            self.shapes.clear()
-        seen = self.shapes
-        for i in np.flatnonzero(place < 0).tolist():
-            w = words[i]
-            if (k := seen.get(w)) is None:
-                k = seen[w] = shape_class(w)
-            ids[i] = self.size + k
-        return ids, place, words, np.array([len(s) for s in split])
-
-
-def dealt_ids(training: DataFrame, vocabulary: tuple, total: int) -> DataFrame:
-    """part, share and ids of all ``total`` documents of ``training``."""
-    parts = max(1, min(ROUNDS, total // LEAST_DOCS))
-    shares = max(1, -(-total // (parts * SHARE_DOCS)))
+        self.known = pa.array(known, pa.string())
+        self.log_count = np.asarray(log_counts, float)
+        place = pc.index_in(self.known, value_set=pa.array(top, pa.string()))
+        self.id = np.where(place.is_valid(), place.fill_null(0), self.size + shape_classes(self.known)).astype(np.uint16)
+
+    def read(self, texts: pa.Array):
+        """The distinct words of ``texts``, their ids, their places among the known
+        ones or -1, which of them each token is, and how many tokens each text has."""
+        words, sizes = words_of(texts)
+        coded = words.dictionary_encode()
+        distinct = pa.concat_arrays([coded.dictionary, pa.array([END])])
+        token = np.full(len(words) + len(sizes), len(distinct) - 1, np.int32)
+        inside = np.ones(len(token), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False
+        token[inside] = coded.indices.to_numpy()
+        place = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy()
+        ids, missing = np.empty(len(distinct), np.uint16), np.flatnonzero(place < 0)
+        ids[place >= 0] = self.id[place[place >= 0]]
+        ids[missing] = self.size + shape_classes(distinct.take(pa.array(missing)))
+        return distinct, ids, place, token, sizes + 1
+
+
+def encoded(rows: DataFrame, words: Vocabulary, base: float, shape_base: np.ndarray) -> DataFrame:
+    """doc_id and place of ``rows`` (doc_id, text, place); of each text the
+    number of tokens and of those known, the base score of these, what the words of
+    shape classes add to the network's score, the other words with their numbers
+    in the text, and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(*vocabulary)
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
-                ids, _, _, sizes = words.read(batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist())
-                packed = [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(packed, pa.binary())], ["place", "ids"])
-
-    rows = training.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * shares)))
-    packed = rows.select("place", "text").mapInArrow(run, "place long, ids binary")
-    return packed.select((F.col("place") % parts).alias("part"), F.floor(F.col("place") / parts).alias("share"), "ids")
+            for batch in byte_slices(whole, "text", TOKEN_BYTES):
+                distinct, ids, place, token, sizes = words.read(batch.column("text"))
+                row, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+                found = place >= 0
+                logs = np.zeros(len(distinct))
+                logs[found] = words.log_count[place[found]]
+                ours, shaped = logs.copy(), ids >= words.size  # of a word in a shape class: log10(count + 0.5) less the class's total
+                ours[~shaped] = 0
+                ours[shaped] -= shape_base[ids[shaped] - words.size]
+                by_row = lambda x: np.bincount(row, x[token], len(sizes))
+                missing = np.flatnonzero(~found[token])
+                pairs, times = np.unique(row[missing] * len(distinct) + token[missing], return_counts=True)
+                starts = np.searchsorted(pairs, np.arange(len(sizes) + 1) * len(distinct)).astype(np.int32)
+                rest = pa.StructArray.from_arrays([distinct.take(pa.array(pairs % len(distinct))), pa.array(times, pa.int64())], ["word", "n"])
+                packed = pa.Array.from_buffers(
+                    pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, 2 * ends)), pa.py_buffer(ids[token].astype("<u2"))]
+                )
+                known = by_row(found.astype(float)).astype(np.int64)
+                columns = [pa.array(sizes), pa.array(known), pa.array(by_row(logs) - base * sizes), pa.array(by_row(ours))]
+                columns += [pa.ListArray.from_arrays(pa.array(starts), rest), packed.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), *columns], names)
+
+    names = ["doc_id", "place", "n_tokens", "n_known", "base", "given", "rest", "ids"]
+    return rows.mapInArrow(
+        run, "doc_id long, place long, n_tokens long, n_known long, base double, given double, rest array<struct<word:string,n:long>>, ids binary"
+    )
 
 
 def train(dealt: DataFrame, net: dict) -> dict:
@@ -522,7 +673,8 @@ def train(dealt: DataFrame, net: dict) -> dict:
 
 def _one_share(net: dict, rate: float, turn: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        docs = [np.frombuffer(d, "<u2").astype(np.int64) for d in sorted(rows["ids"])]
+        keep_freed()
+        docs = [np.frombuffer(d, "<u2") for d in sorted(rows["ids"])]
         return pd.DataFrame({"share": rows["share"].iloc[:1], "weights": [pickle.dumps((1, learn(net, docs, rate, turn)))]})
 
     return run
@@ -541,61 +693,39 @@ def score(docs: DataFrame) -> DataFrame:
     modulo 5 are held out from learning."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    training = rows.where(crc_mod(F.col("doc_id"), 5) != 1)
-    counts = stage_table(word_counts(training))
+    learnt_from = crc_mod(F.col("doc_id"), 5) != 1
+    counts = stage_table(word_counts(rows.where(learnt_from)))
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("docs")).first()
     total, kinds, documents = size["n"] or 0, size["v"], size["docs"] or 0
     top, known = frequent_words(counts)
-    vocabulary = (top, [w for w, _ in known], np.log10(np.array([n for _, n in known]) + 0.5))
+    vocabulary = Vocabulary(top, [w for w, _ in known], np.log10(np.array([n for _, n in known]) + 0.5))
     mass, shape_kinds = shape_totals(counts, top)
+    base = float(np.log10(total + 0.5 * (kinds + 1)))
+    # Documents to learn from are dealt to the parts of the rounds and their shares.
+    parts = max(1, min(ROUNDS, documents // LEAST_DOCS))
+    shares = max(1, -(-documents // (parts * SHARE_DOCS)))
+    place = F.when(learnt_from, F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts * shares)))
+    read = encoded(rows.withColumn("place", place), vocabulary, base, np.log10(mass + 0.5 * (shape_kinds + 1)))
+    # Row numbers are fixed by the written table, so repeated rows stay apart.
+    read = stage_table(read.withColumn("row", F.monotonically_increasing_id()))
     net = None
     if total:
-        net = new_network(np.array([n for _, n in known[:TOP]], float), mass, shape_kinds)
-        net = train(stage_table(dealt_ids(training, vocabulary, documents)), net)
-    shape_base = np.log10(mass + 0.5 * (shape_kinds + 1))
-    base = float(np.log10(total + 0.5 * (kinds + 1)))
-    names = ["doc_id", "n_tokens", "n_known", "base", "net", "rest"]
+        dealt = read.where(F.col("place").isNotNull())
+        dealt = dealt.select((F.col("place") % parts).alias("part"), F.floor(F.col("place") / parts).alias("share"), "ids")
+        net = train(dealt, new_network(np.array([n for _, n in known[:TOP]], float), mass, shape_kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(*vocabulary)
-        rest_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+        keep_freed()
         for whole in batches:
-            for batch in byte_slices(whole, "text", SCORE_BYTES):
-                ids, place, tokens, sizes = words.read(batch.column("text").cast(pa.large_binary()).to_pylist())
-                ends = np.cumsum(sizes)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                found = place >= 0
-                logs = np.zeros(len(ids))
-                logs[found] = words.log_count[place[found]]
-                ours = logs.copy()  # of a word in a shape class: log10(count + 0.5) less the class's total
-                shaped = ids >= words.size
-                ours[~shaped] = 0
-                ours[shaped] -= shape_base[ids[shaped] - words.size]
-                by_row = lambda x: np.bincount(row, x, len(sizes))
-                network = by_row(ours)
+            for batch in byte_slices(whole, "ids", SCORE_BYTES):
+                got = np.array(batch.column("given"))
                 if net is not None:
-                    network += document_scores(net, np.split(ids, ends[:-1])) / np.log(10)
-                rest: list[list] = [[] for _ in sizes]
-                missing = np.flatnonzero(~found)
-                for r, i in zip(row[missing].tolist(), missing.tolist()):
-                    rest[r].append(tokens[i])
-                rest = [[{"word": w.decode(), "n": n} for w, n in Counter(x).items()] for x in rest]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(sizes),
-                        pa.array(by_row(found.astype(float)).astype(np.int64)),
-                        pa.array(by_row(logs) - base * sizes),
-                        pa.array(network),
-                        pa.array(rest, rest_type),
-                    ],
-                    names,
-                )
+                    got += document_scores(net, [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(got)], [*kept, "net"])
 
-    schema = "doc_id long, n_tokens long, n_known long, base double, net double, rest array<struct<word:string,n:long>>"
-    # Row numbers are fixed by the written table, so repeated rows stay apart.
-    scored = stage_table(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    words = scored.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("own"), F.col("r.n").alias("times"))
+    kept = ["row", "doc_id", "n_tokens", "n_known", "base"]
+    scored = read.select(*kept, "given", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, net double")
+    words = read.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("own"), F.col("r.n").alias("times"))
     met = words.join(counts, F.col("own") == F.col("word"), "left")
     rest = met.groupBy(F.col("row").alias("of")).agg(
         F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("rest_log"),

@@ -12,17 +12,17 @@ class, sum to 1.
 
 1. All training tokens are counted (partial counts per task, then a shuffle by
    word). What the corpus gives grows with it: N, V, the counts, the classes.
-2. The network learns by truncated backpropagation over windows of ``STEPS``
+2. Every text is read once more and its words' ids are written. The counts of the
+   most frequent words, up to ``BROADCAST_WORDS``, go along; the others' (a few
+   percent of the tokens) are joined by word.
+3. The network learns by truncated backpropagation over windows of ``STEPS``
    tokens from all training documents. They are dealt into a part for each of
    ``ROUNDS`` rounds and into shares of some ``SHARE_DOCS``; the shares of a
    part are learnt from side by side and the weights averaged after the round,
    so all rounds are one pass over everything. A corpus that would leave a
    part fewer than ``LEAST_DOCS`` has fewer parts, read more than once.
-3. Every document is scored where it is read: documents go through the network
-   in step, longest first, and each one's state is carried from window to
-   window to its end. The counts of the most frequent words, up to
-   ``BROADCAST_WORDS``, go along; the others' (a few percent of the tokens) are
-   joined by word.
+4. Every document is scored by its ids: ``SCORE_DOCS`` documents at a time go
+   through the network in step, each from its first token to its end.
 
 Null, empty and odd rows: a null or empty text has the end token only; a null
 doc_id counts as the empty string in the folds; repeated rows are scored once
@@ -225,32 +225,32 @@ def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
 
 
 def recurrence(net: dict):
-    """What a token adds to the gates and the candidate, the weights of the state,
-    with the gates' biases as the last row and negated for the gates' exponential,
-    and the candidate's bias."""
-    state = np.concatenate([net["state"], net["gate"][:, None]], axis=1)
-    np.negative(state[:2], out=state[:2])
-    state[2, -1] = 0  # that of the candidate is not multiplied by the gate
+    """What a token adds to the gates and the candidate; the weights of the state of
+    the candidate and the gates, the latter with their biases as the last row and
+    negated for their exponential; and the candidate's bias."""
+    state = np.concatenate([net["state"], net["gate"][:, None]], axis=1)[[2, 0, 1]]
+    np.negative(state[1:], out=state[1:])
+    state[0, -1] = 0  # that of the candidate is not multiplied by the gate
     return net["input"], state, net["gate"][2]
 
 
 def advance(weights: tuple, h: np.ndarray, with_ones: np.ndarray, ids: np.ndarray, a: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The state after reading ``ids``. Leaves the gates and the state's share of the
-    candidate in ``a`` and the candidate in ``v``. ``weights`` are those of
+    """The state after reading ``ids``. Leaves the state's share of the candidate and
+    the gates in ``a`` and the candidate in ``v``. ``weights`` are those of
     ``recurrence``; ``with_ones`` is the state ``h`` and a column of ones."""
     given, state, bias = weights
-    x, gates = given.take(ids, axis=1), a[:2]
+    x, gates = given.take(ids, axis=1), a[1:]
     np.matmul(with_ones, state, out=a)
     gates -= x[:2]
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    np.multiply(a[1], a[2], out=v)
+    np.multiply(a[0], a[2], out=v)
     v += x[2]
     v += bias
     np.tanh(v, out=v)
     h = h - v
-    h *= a[0]
+    h *= a[1]
     h += v
     return h
 
@@ -258,24 +258,25 @@ def advance(weights: tuple, h: np.ndarray, with_ones: np.ndarray, ids: np.ndarra
 def unrolled(weights: tuple, h: np.ndarray, ids: np.ndarray, start: np.ndarray):
     """The states before each of the tokens ``ids`` (steps, rows), with a column of
     ones which the biases are multiplied with, the last state and what
-    backpropagation needs. ``start`` (rows, steps) marks where the state is new."""
+    backpropagation needs: the state's share of the candidate, the gates and the
+    candidate. ``start`` (rows, steps) marks where the state is new."""
     steps, rows = ids.shape
     n, dtype = h.shape[1], weights[1].dtype
     new_at = start.any(axis=0)
-    parts, new = np.empty((steps, 3, rows, n), dtype), np.empty((steps, rows, n), dtype)
+    parts = np.empty((4, steps, rows, n), dtype)
     states = np.ones((steps, rows, n + 1), dtype)
     for t in range(steps):
         if new_at[t]:
             h = h * ~start[:, t, None]
         states[t, :, :-1] = h
-        h = advance(weights, h, states[t], ids[t], parts[t], new[t])
-    return states, h, (*parts.swapaxes(0, 1), new)
+        h = advance(weights, h, states[t], ids[t], parts[:3, t], parts[3, t])
+    return states, h, parts
 
 
 def step(net: dict, h: np.ndarray, ids: np.ndarray):
     """The state after reading ``ids``, and what backpropagation needs."""
     _, last, parts = unrolled(recurrence(net), h, ids[None], np.zeros((len(ids), 1), bool))
-    return last, tuple(p[0] for p in parts)
+    return last, parts[:, 0]
 
 
 def by_id(ids: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -416,7 +417,7 @@ def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarra
     streams, steps = ids.shape
     classes, n, dtype = len(net["member"]), h.shape[1], net["state"].dtype
     ids = np.ascontiguousarray(ids.T)
-    states, last, (z, r, c, new) = unrolled(recurrence(net), h, ids, start)
+    states, last, parts = unrolled(recurrence(net), h, ids, start)
     ones, own, states = states.reshape(-1, n + 1), ids.ravel(), states[:, :, :-1]
     head, scale = class_of(own, classes), 1.0 / own.size
     grad = Flat(net, np.zeros(sum(v.size for v in net.values()), dtype))
@@ -459,35 +460,35 @@ def window_gradients(net: dict, h: np.ndarray, ids: np.ndarray, start: np.ndarra
     grad["member"][:], grad["member_bias"][:] = sums[:, :-1], sums[:, -1]
     d_states[rows] += d_rows
     d_states = d_states.reshape(steps, streams, n)
-    d = np.empty((4, steps, streams, n), dtype)  # of the candidate's share of the state, the gates and the candidate
     back, held = np.ascontiguousarray(net["state"][[2, 0, 1]].swapaxes(1, 2)), np.empty((3, streams, n), dtype)
-    dh, mixed, new_at = np.zeros_like(last), np.empty_like(last), start.any(axis=0)
-    for t in range(steps - 1, -1, -1):
-        (dc, dz, dr, dn), zt, rt, nt = d[:, t], z[t], r[t], new[t]
-        np.subtract(1, zt, out=mixed)
+    dh, new_at = np.zeros_like(last), start.any(axis=0)
+    mixed, d = np.empty_like(last), np.empty_like(last)
+    for t in range(steps - 1, -1, -1):  # ``parts`` become their gradients
+        c, z, r, new = parts[:, t]
+        np.subtract(1, z, out=mixed)
         mixed *= dh
-        np.multiply(nt, nt, out=dn)
-        np.subtract(1, dn, out=dn)
-        dn *= mixed
-        np.subtract(states[t], nt, out=dz)
-        dz *= zt
-        dz *= mixed
-        np.subtract(1, rt, out=dr)
-        dr *= rt
-        dr *= c[t]
-        dr *= dn
-        np.multiply(rt, dn, out=dc)
-        dh *= zt
-        for part in np.matmul(d[:3, t], back, out=held):
+        np.subtract(states[t], new, out=d)
+        d *= mixed
+        dh *= z
+        z *= d
+        new *= new
+        np.subtract(1, new, out=new)
+        new *= mixed
+        np.subtract(1, r, out=d)
+        d *= c
+        d *= new
+        np.multiply(r, new, out=c)
+        r *= d
+        for part in np.matmul(parts[:3, t], back, out=held):
             dh += part
         dh += d_states[t]
         if new_at[t]:
             dh *= ~start[:, t, None]
-    sums = np.matmul(ones.reshape(steps, streams, n + 1).swapaxes(1, 2), d[:3]).sum(axis=1)
+    sums = np.matmul(ones.reshape(steps, streams, n + 1).swapaxes(1, 2), parts[:3]).sum(axis=1)
     grad["state"][[2, 0, 1]] = sums[:, :-1]
-    d = d.reshape(4, -1, n)
-    grad["gate"][:2], grad["gate"][2] = sums[1:, -1], np.ones(own.size, dtype) @ d[3]
-    add_groups(grad["input"], own, d[1:], order, groups)
+    parts = parts.reshape(4, -1, n)
+    grad["gate"][:2], grad["gate"][2] = sums[1:, -1], np.ones(own.size, dtype) @ parts[3]
+    add_groups(grad["input"], own, parts[1:], order, groups)
     return loss * scale, grad, last
 
 

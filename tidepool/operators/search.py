@@ -20,15 +20,19 @@ from tidepool.functions.text import (  # noqa: F401 - re-exported for callers of
     STOPWORDS,
     SYNONYMS,
     distinct_tokens,
+    key_slot,
     page_focus,
+    passage_key,
     query_terms,
     raw_words,
     stem,
+    text_keys,
     tokens,
     word_grams,
     words_of,
 )
 from tidepool.functions.vectors import dot, unit
+from tidepool.operators.termscore import term_scores
 
 VECTOR_BLOCK = 256
 
@@ -42,22 +46,30 @@ def document_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return per.select(id_col, F.sort_array(F.when(F.size("__all") == 1, F.get("__all", 0)).otherwise(F.array_distinct(F.flatten("__all")))).alias("terms"))
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, fields: Sequence[tuple[str, int]]) -> DataFrame:
+def keyword_scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, fields: Sequence[tuple[str, int]], best: int | None = None) -> DataFrame:
     """Score = sum over fields of weight x |query terms & field terms|,
-    through an inverted index: (term, doc, field) joined to (query, term).
-
-    A field's tokens are made distinct where the document is read, and only terms
-    that a query has go on. They are dealt by document, so that a document's
-    scores are summed where its terms are, unless there are too many queries to
-    broadcast."""
-    q = queries.select(F.col(qid).alias("q"), F.explode(F.col("terms")).alias("term")).distinct()
-    by_field = F.array(*[F.struct(F.lit(i).alias("field"), distinct_tokens(F.col(c)).alias("terms")) for i, (c, _) in enumerate(fields)])
-    held = docs.select(F.col(did).alias("d"), F.explode(by_field).alias("f")).select("d", "f.field", F.explode("f.terms").alias("term"))
-    asked = held.join(q.select("term").distinct(), "term", "left_semi")
-    once = asked.repartition("d").dropDuplicates(["d", "field", "term"])
-    weight = F.get(F.array(*[F.lit(w) for _, w in fields]), F.col("field"))
-    idx = once.groupBy("d", "term").agg(F.sum(weight).alias("w"))
-    return idx.join(q, "term").groupBy("q", "d").agg(F.sum("w").alias("score"))
+    through an inverted index of the queries (``term_scores``): a field's tokens are
+    made distinct where the document is read, and its scores are summed where it is.
+    With ``best`` at least each query's ``best`` documents, by score and id."""
+    q = _asked_terms(queries, qid).withColumn("n", F.size("terms"))
+    own = docs.select(F.col(did).alias("d"), F.array(*[distinct_tokens(F.col(c)) for c, _ in fields]).alias("terms"))
+    return term_scores(q, own, [w for _, w in fields], best)
+
+
+def overlap_scores(queries: DataFrame, docs: DataFrame, qid: str, did: str, best: int | None = None) -> DataFrame:
+    """(q, d, jac): Jaccard overlap of the terms of queries and of documents (both
+    with ``terms``, documents one row an id). With ``best`` at least each query's
+    ``best`` documents, by overlap and id."""
+    own = queries.select(F.col(qid).alias("q"), F.size("terms").alias("n"))
+    q = _asked_terms(queries, qid).join(own, "q")
+    s = term_scores(q, docs.select(F.col(did).alias("d"), F.array("terms").alias("terms")), [1], best, jaccard=True)
+    return s.withColumnRenamed("score", "jac")
+
+
+def _asked_terms(queries: DataFrame, qid: str) -> DataFrame:
+    """(q, terms): the distinct terms of each id's queries that have any."""
+    q = queries.select(F.col(qid).alias("q"), "terms").filter(F.size("terms") > 0)
+    return q.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
 
 
 def top_k(scored: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
@@ -130,22 +142,22 @@ def passage_hits(passages: DataFrame, pid: str, ptext: str, docs: DataFrame, did
     A contained passage's interior words (all but the first and last, which
     may be cut mid-word) occur in the doc as whole whitespace words, and so do
     its interior word n-grams. Each passage is keyed by one interior n-gram
-    (or, with fewer than n + 2 words, one interior word) - the smallest by
-    hash - and joined to the docs' n-gram / word index. Passages of one or two
-    words have no interior and are found through the documents' vocabulary.
-    Only candidates are verified with ``contains``. A passage without a word
-    is no passage.
+    (or, with fewer than n + 2 words, one interior word) - the smallest hash -
+    and joined to the docs' n-gram / word index, which holds hashes too, of slots
+    that a passage has (the driver gets these slots' numbers only). Passages
+    of one or two words have no interior and are found through the documents'
+    vocabulary, which is searched only if there are any. Candidates, those by a
+    chance equality of hashes among them, are verified with ``contains``. A passage
+    without a word is no passage.
     """
     pw = passages.select(F.col(pid).alias("p"), F.col(ptext).alias("pt")).withColumn("w", words_of(F.col("pt")))
-    pw = pw.withColumn("inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(1))))
-    grams = F.when(F.size("w") >= n + 2, word_grams(F.col("inner"), n)).otherwise(F.col("inner"))
-    keyed = pw.withColumn("g", grams).filter((F.size("w") >= 3) & (F.size("g") > 0)).select(
-        "p", "pt", F.array_min(F.transform("g", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"].alias("gram")
-    )
+    keyed = pw.select("p", "pt", passage_key(F.col("pt"), n).alias("gram")).filter("gram IS NOT NULL")
     d = docs.select(F.col(did).alias("d"), F.col(dtext).alias("dt"))
-    dw = d.select("d", words_of(F.col("dt")).alias("w"))
-    index = dw.select("d", F.explode(F.array_distinct(F.concat(word_grams(F.col("w"), n), F.col("w")))).alias("gram"))
+    slots = [r[0] for r in keyed.select(key_slot(F.col("gram"))).distinct().collect()]
+    index = d.select("d", text_keys(F.col("dt"), n, slots).alias("keys")).select("d", F.explode("keys").alias("gram"))
+    cand = keyed.join(index, "gram").select("p", "pt", "d")
     short = pw.filter((F.size("w") >= 1) & (F.size("w") <= 2))
-    cand = keyed.join(index, "gram").select("p", "pt", "d").unionByName(_short_candidates(short, dw)).distinct()
-    full = cand.join(d, "d")
+    if not short.isEmpty():
+        cand = cand.unionByName(_short_candidates(short, d.select("d", words_of(F.col("dt")).alias("w"))))
+    full = cand.distinct().join(d, "d")
     return full.filter(F.contains(F.col("dt"), F.col("pt"))).select(F.col("p").alias(pid), F.col("d").alias(did))

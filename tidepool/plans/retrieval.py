@@ -24,8 +24,8 @@ DEPTH, TOPK, FLOOR = 20, 5, 0.05
 
 def documents(spark, sf_dir) -> DataFrame:
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    lines = F.split("text", "\n")
-    return d.select(
+    lines = F.col("lines")
+    return d.select("doc_id", "text", F.split("text", "\n").alias("lines")).select(
         "doc_id", "text",
         F.try_element_at(lines, F.lit(1)).alias("title"),
         F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")).alias("description"),
@@ -40,22 +40,14 @@ def questions(spark, sf_dir) -> DataFrame:
 
 def keyword_ranked(spark, sf_dir, depth: int) -> DataFrame:
     s = SR.keyword_scores(questions(spark, sf_dir), documents(spark, sf_dir), "item_id", "doc_id",
-                          [("title", 3), ("description", 2), ("detect", 1)])
+                          [("title", 3), ("description", 2), ("detect", 1)], depth)
     return SR.top_k(s.filter("score > 0"), "q", [F.desc("score"), F.asc("d")], depth)
 
 
 def overlap_ranked(spark, sf_dir, depth: int) -> DataFrame:
-    """Second ranking: Jaccard overlap of question terms and document terms
-    (through the same term join)."""
-    q = questions(spark, sf_dir).select(F.col("item_id").alias("q"), "terms")
-    qn = q.select("q", F.size("terms").alias("nq"))
+    """Second ranking: Jaccard overlap of question terms and document terms."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).filter("doc_id IS NOT NULL")
-    dt = SR.document_terms(d, "doc_id", "text").select(F.col("doc_id").alias("d"), F.size("terms").alias("nd"), F.explode("terms").alias("term"))
-    inter = (
-        dt.join(q.select("q", F.explode("terms").alias("term")).distinct(), "term")
-        .groupBy("q", "d", "nd").agg(F.count(F.lit(1)).alias("i"))
-    )
-    j = inter.join(qn, "q").withColumn("jac", F.col("i") / (F.col("nq") + F.col("nd") - F.col("i")))
+    j = SR.overlap_scores(questions(spark, sf_dir), SR.document_terms(d, "doc_id", "text"), "item_id", "doc_id", depth)
     return SR.top_k(j, "q", [F.desc("jac"), F.asc("d")], depth)
 
 
@@ -197,7 +189,8 @@ def q_passage_lookup(spark, sf_dir):
 def q_retrieval_eval(spark, sf_dir):
     b = read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    truth = SR.passage_hits(b, "item_id", "text", d, "doc_id", "text").select(F.col("item_id").alias("q"), F.col("doc_id").alias("d"))
+    found = SR.passage_hits(b, "item_id", "text", d, "doc_id", "text")
+    truth = cut_lineage(found.select(F.col("item_id").alias("q"), F.col("doc_id").alias("d")))
     kw, ov = (cut_lineage(ranked(spark, sf_dir, DEPTH)) for ranked in (keyword_ranked, overlap_ranked))
     lists = (
         kw.select(F.lit("keyword").alias("method"), "q", "d", "rank")

@@ -149,3 +149,51 @@ def test_component_rounds_broadcast_nothing(spark, monkeypatch):
     monkeypatch.setattr(type(edges), "checkpoint", seen)
     assert {r.component for r in I.connected_components(edges).collect()} == {"n00"}
     assert joins and all("strategy=merge" in x for x in joins)
+
+
+def test_links_become_stars_of_the_same_components(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tidepool.operators import identity as I
+
+    rng = random.Random(6)
+    clique = [(f"c{i}", f"c{j}") for i in range(30) for j in range(i)]
+    loose = [(f"n{rng.randint(0, 60):02d}", f"n{rng.randint(0, 60):02d}") for _ in range(40)]
+    chain = [(f"z{i:03d}", f"z{i + 1:03d}") for i in range(50)]
+    links = [*clique, *loose, *chain, *clique]
+    rng.shuffle(links)
+    for most in (10_000, 7):
+        monkeypatch.setattr(I, "LINKS", 100)
+        monkeypatch.setattr(I, "STARS", most)
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in links[k : k + 33]]) for i in (0, 1)], ["a", "b"]) for k in range(0, len(links), 33)]
+        stars = [(a, b) for r in I._stars(iter(batches)) for a, b in zip(*(r.column(c).to_pylist() for c in "ab"))]
+        if most > 100:  # a pair of the clique's 435 goes no further
+            assert len(stars) < len({x for link in links for x in link})
+        got, want = ({r.id: r.component for r in I.connected_components(spark.createDataFrame(x, "src string, dst string")).collect()} for x in (stars, links))
+        assert got == want and want["c9"] == "c0" and want["z050"] == "z000"
+
+
+def test_distinct_pairs_are_counted_from_lists(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidepool.operators import identity as I
+
+    rng = random.Random(7)
+    pairs = [(f"a{rng.randint(0, 9)}", f"b{rng.randint(0, 40)}") for _ in range(900)] + [("hot", f"b{i % 300}") for i in range(700)]
+    df = spark.createDataFrame(pairs, "patient_id_a string, patient_id_b string").repartition(5)
+    monkeypatch.setattr(I, "LINKS", 64)
+    assert I.distinct_pairs(df).collect() == [(len(set(pairs)),)]
+    assert I.distinct_pairs(df.where(F.lit(False))).collect() == [(0,)]
+
+
+def test_summary_does_not_write_the_candidates(spark, monkeypatch, tmp):
+    from tidepool.operators import identity as I
+    from tidepool.plans import identity as P
+
+    spark.range(400).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp}/customer.parquet")
+    written, real = [], P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    got = {r.measure: r.value for r in P.q_identity_summary(spark, tmp).collect()}
+    assert not [c for c in written if "patient_ids" in c]
+    pairs = P.pair_candidates(I.candidates(P.admissions(spark, tmp))).select("patient_id_a", "patient_id_b").distinct()
+    assert got["pairs"] == pairs.count() > 0 and pairs.where("patient_id_a >= patient_id_b").isEmpty()

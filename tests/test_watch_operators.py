@@ -284,3 +284,15 @@ def test_a_hot_key_is_joined_in_pieces(spark, monkeypatch):
         assert len({r.task for r in rows if r.k == "hot"}) > 4
         if how == "left":
             assert seen.rows() == {"rows_before": 204, "rows_after": 2004, "unmatched": 2, "most_copies": 10}
+
+
+def test_joined_rows_take_little_disk(spark, tmp):
+    import os
+
+    facts = spark.range(2_000).selectExpr("id AS v", "id % 2 AS k")
+    dim = spark.range(1_200).selectExpr("hash(id) AS w", "id % 2 AS k")
+    out, seen = grain.checked_join(facts, dim, "k")
+    grain.write_joined(out.coalesce(1), f"{tmp}/joined")
+    size = sum(os.path.getsize(f"{tmp}/joined/{f}") for f in os.listdir(f"{tmp}/joined") if f.endswith(".parquet"))
+    assert spark.read.parquet(f"{tmp}/joined").count() == seen.rows()["rows_after"] == 1_200_000
+    assert size < 150_000  # 1.2 MB of codes of ten bits in pages of 20,000 rows

@@ -1,19 +1,11 @@
 """Text column builders: tokens, query terms, page focus, word n-grams.
 
-Pure Column expressions (no jobs), tokens and hashes of whole texts as Arrow
-functions; operators in ``operators/search.py``
+Pure Column expressions (no jobs); operators in ``operators/search.py``
 turn them into scans and joins.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pandas.util import hash_array
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,74 +97,9 @@ def tokens(text: Column) -> Column:
     return tokens_of(raw_words(text))
 
 
-TEXTS_BYTES = 8_000_000
-KEY_SLOTS = 1 << 20
-_WORD_BYTES = bytes(c if re.match(WORD_PATTERN, chr(c)) else 32 for c in range(256))
-
-
-def distinct_numbers(numbers: np.ndarray) -> np.ndarray:
-    """The distinct numbers, by sorting (numpy's hashing takes 70 times as long)."""
-    numbers = np.sort(numbers)
-    return numbers[np.append(True, numbers[1:] != numbers[:-1])[: len(numbers)]]
-
-
-def _tokens_of_words(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(tokens, which, token): ``tokens_of`` of distinct raw words; words[which[i]] makes tokens[token[i]]."""
-    split = np.flatnonzero(np.asarray(pc.match_substring(words, "_")))
-    parts = [[x for x in w.as_py().split("_") if x] for w in words.take(pa.array(split))]
-    which = np.concatenate([np.arange(len(words)), np.repeat(split, [len(x) for x in parts]).astype(int)])
-    raw = pa.concat_arrays([words, pa.array([x for p in parts for x in p], words.type)])
-    kept = np.flatnonzero(np.asarray(pc.greater_equal(pc.binary_length(raw), 2)) & ~np.asarray(pc.is_in(raw, value_set=pa.array(STOPWORDS, words.type))))
-    raw, which = raw.take(pa.array(kept)), which[kept]
-    stemmed, length = raw, pc.binary_length(raw)
-    for suf in reversed(STEM_SUFFIXES):  # the first that matches is put last
-        cut = pc.and_(pc.ends_with(raw, suf), pc.greater(length, len(suf) + 3))
-        stemmed = pc.if_else(cut, pc.utf8_slice_codeunits(raw, 0, -len(suf)), stemmed)
-    code = stemmed.dictionary_encode()
-    return code.dictionary, which, np.asarray(code.indices)
-
-
-def _distinct_tokens(texts: list[bytes | None]) -> pa.Array:
-    low = pa.array(["" if x is None else x.decode(errors="replace").lower() for x in texts], pa.string())
-    # every other character becomes a space, byte by byte
-    plain = pa.py_buffer(bytes(low.buffers()[2] or b"").translate(_WORD_BYTES))
-    found = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(low), low.buffers()[1], plain))
-    words = found.flatten().dictionary_encode()
-    text = np.repeat(np.arange(len(low)), np.diff(np.asarray(found.offsets)))
-    n_words = max(1, len(words.dictionary))
-    text, word = np.divmod(distinct_numbers(text * n_words + np.asarray(words.indices)), n_words)
-    tokens, which, token = _tokens_of_words(words.dictionary)
-    order = np.argsort(which, kind="stable")
-    which, token = which[order], token[order]
-    first = np.searchsorted(which, np.arange(n_words + 1))
-    often = (first[1:] - first[:-1])[word]
-    pos = np.arange(often.sum()) + np.repeat(first[word] - np.cumsum(often) + often, often)
-    n_tokens = max(1, len(tokens))
-    text, token = np.divmod(distinct_numbers(np.repeat(text, often) * n_tokens + token[pos]), n_tokens)
-    upto = np.searchsorted(text, np.arange(len(low) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(upto), tokens.take(pa.array(token)), mask=pa.array([x is None for x in texts], pa.bool_()))
-
-
-def _in_portions(of: Callable[[list[bytes | None]], pa.Array]) -> Callable[[pa.Array], pa.Array]:
-    """``of`` for some ``TEXTS_BYTES`` of a batch's texts at a time."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        some, size, out = [], 0, []
-        for text in texts.to_pylist():
-            some.append(text)
-            size += len(text or b"")
-            if size > TEXTS_BYTES:
-                out.append(of(some))
-                some, size = [], 0
-        return pa.concat_arrays([*out, of(some)])
-
-    return run
-
-
 def distinct_tokens(text: Column) -> Column:
-    """The distinct ones of ``tokens``, in Arrow batches; a word that repeats is
-    looked at once. In no order."""
-    return F.arrow_udf(_in_portions(_distinct_tokens), "array<string>")(text.cast("binary"))
+    """The distinct ones of ``tokens``; a word that repeats is looked at once."""
+    return F.array_distinct(tokens_of(F.array_distinct(raw_words(text))))
 
 
 def query_terms(text: Column) -> Column:
@@ -212,64 +139,18 @@ def word_grams(words: Column, n: int = 4) -> Column:
     )
 
 
-def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the texts' words (``words_of``) in order, and whose they are."""
-    raw = pa.array([x or b"" for x in texts], pa.binary())
-    found = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(raw), raw.buffers()[1], raw.buffers()[2] or pa.py_buffer(b"")))
-    words = found.flatten()
-    text = np.repeat(np.arange(len(raw)), np.diff(np.asarray(found.offsets)))
-    full = np.asarray(pc.greater(pc.binary_length(words), 0))
-    code = words.dictionary_encode()
-    each = hash_array(np.array([*code.dictionary.cast(pa.binary()).to_pylist(), None], object)[:-1], categorize=False)
-    return each[np.asarray(code.indices)[full]], text[full]
-
-
-def _gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash for every ``n`` word hashes that follow one another."""
-    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
-    for i in range(n):
-        out = (out ^ hashes[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out
-
-
-def key_slot(key: Column) -> Column:
-    """The place of a key among ``KEY_SLOTS``."""
-    return key.bitwiseAND(KEY_SLOTS - 1)
-
-
-def text_keys(text: Column, n: int, slots: list[int]) -> Column:
-    """Hashes of the words and of the word n-grams of a text, with repeats, those
-    whose slot (``key_slot``) is among ``slots``: a number of bits that no input
-    exceeds, not the keys themselves."""
-    taken = np.zeros(KEY_SLOTS, bool)
-    taken[slots] = True
-    taken = np.packbits(taken).tobytes()
-
-    def of(texts: list[bytes | None]) -> pa.Array:
-        words, whose = _word_hashes(texts)
-        grams, both = _gram_hashes(words, n), np.stack([words, words], axis=1)
-        inside = np.flatnonzero(whose[: len(grams)] == whose[n - 1 :])
-        both[inside, 1] = grams[inside]
-        asked = np.unpackbits(np.frombuffer(taken, np.uint8)).view(bool)[both & np.uint64(KEY_SLOTS - 1)]
-        upto = np.append(0, np.cumsum(asked.sum(axis=1)))[np.searchsorted(whose, np.arange(len(texts) + 1))]
-        return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(both[asked].view(np.int64)))
-
-    return F.arrow_udf(_in_portions(of), "array<bigint>")(text.cast("binary"))
-
-
-def passage_key(text: Column, n: int) -> Column:
-    """The least hash of the word n-grams of a text without its first and last word,
-    of its words if they are fewer than n; NULL for a text of fewer than three words."""
-
-    def of(texts: list[bytes | None]) -> pa.Array:
-        words, whose = _word_hashes(texts)
-        upto = np.searchsorted(whose, np.arange(len(texts) + 1))
-        inner = [words[lo + 1 : hi - 1] for lo, hi in zip(upto, upto[1:])]
-        least = [min((_gram_hashes(x, n) if len(x) >= n else x).view(np.int64).tolist(), default=None) for x in inner]
-        return pa.array(least, pa.int64())
-
-    return F.arrow_udf(_in_portions(of), "bigint")(text.cast("binary"))
+def hashed(words: Column) -> Column:
+    """The 64-bit hash of each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def hashed_grams(hashes: Column, n: int = 4) -> Column:
+    """Word n-grams of an array of word hashes, as a hash each. Pass a column
+    reference (not an expression)."""
+    idx = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)))
+    return F.when(F.size(hashes) >= n, F.transform(idx, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(n)]))).otherwise(
+        F.array().cast("array<bigint>")
+    )
 
 
 # The cited-problem pattern of an answer ("Problem B1: ...").

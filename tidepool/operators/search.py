@@ -20,13 +20,12 @@ from tidepool.functions.text import (  # noqa: F401 - re-exported for callers of
     STOPWORDS,
     SYNONYMS,
     distinct_tokens,
-    key_slot,
+    hashed,
+    hashed_grams,
     page_focus,
-    passage_key,
     query_terms,
     raw_words,
     stem,
-    text_keys,
     tokens,
     word_grams,
     words_of,
@@ -143,21 +142,23 @@ def passage_hits(passages: DataFrame, pid: str, ptext: str, docs: DataFrame, did
     may be cut mid-word) occur in the doc as whole whitespace words, and so do
     its interior word n-grams. Each passage is keyed by one interior n-gram
     (or, with fewer than n + 2 words, one interior word) - the smallest hash -
-    and joined to the docs' n-gram / word index, which holds hashes too, of slots
-    that a passage has (the driver gets these slots' numbers only). Passages
+    and joined to the docs' n-gram / word index, which holds hashes too. Passages
     of one or two words have no interior and are found through the documents'
     vocabulary, which is searched only if there are any. Candidates, those by a
     chance equality of hashes among them, are verified with ``contains``. A passage
     without a word is no passage.
     """
     pw = passages.select(F.col(pid).alias("p"), F.col(ptext).alias("pt")).withColumn("w", words_of(F.col("pt")))
-    keyed = pw.select("p", "pt", passage_key(F.col("pt"), n).alias("gram")).filter("gram IS NOT NULL")
+    inner = pw.filter(F.size("w") >= 3).select("p", "pt", hashed(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))).alias("h"))
+    grams = F.when(F.size("h") >= n, hashed_grams(F.col("h"), n)).otherwise(F.col("h"))
+    keyed = inner.select("p", "pt", F.array_min(grams).alias("gram"))
     d = docs.select(F.col(did).alias("d"), F.col(dtext).alias("dt"))
-    slots = [r[0] for r in keyed.select(key_slot(F.col("gram"))).distinct().collect()]
-    index = d.select("d", text_keys(F.col("dt"), n, slots).alias("keys")).select("d", F.explode("keys").alias("gram"))
+    dw = d.select("d", words_of(F.col("dt")).alias("w"))
+    dh = dw.select("d", hashed(F.col("w")).alias("h"))
+    index = dh.select("d", F.explode(F.array_distinct(F.concat(hashed_grams(F.col("h"), n), F.col("h")))).alias("gram"))
     cand = keyed.join(index, "gram").select("p", "pt", "d")
     short = pw.filter((F.size("w") >= 1) & (F.size("w") <= 2))
     if not short.isEmpty():
-        cand = cand.unionByName(_short_candidates(short, d.select("d", words_of(F.col("dt")).alias("w"))))
+        cand = cand.unionByName(_short_candidates(short, dw))
     full = cand.distinct().join(d, "d")
     return full.filter(F.contains(F.col("dt"), F.col("pt"))).select(F.col("p").alias(pid), F.col("d").alias(did))
